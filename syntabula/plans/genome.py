@@ -247,7 +247,7 @@ def type_sniff(spark, sf):
 @query(
     "clean_sequence",
     r"""WITH u AS (
-      SELECT doc_id, replace(upper(text), 'U', 'T') AS c, regexp_replace(upper(text), '\*', '', 'g') AS p FROM documents
+      SELECT doc_id, replace(upper(replace(text, 'ß', 'SS')), 'U', 'T') AS c, regexp_replace(upper(replace(text, 'ß', 'SS')), '\*', '', 'g') AS p FROM documents
     ) SELECT doc_id, length(c) AS cds_letters, length(p) AS protein_letters,
       CASE WHEN c = '' THEN 'EMPTY' WHEN NOT regexp_full_match(c, '[ACGTNRYKMSWBDHV]+') THEN 'INVALID_LETTERS' END AS cds_issue,
       CASE WHEN p = '' THEN 'EMPTY' WHEN NOT regexp_full_match(p, '[A-Z*.-]+') THEN 'INVALID_LETTERS' END AS protein_issue
