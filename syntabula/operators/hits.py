@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .scale import first_per_group
 
@@ -73,15 +73,14 @@ def validate_hits(
 def homology_qc(
     hits: DataFrame,
     by: Sequence[str],
-    n1: Column,
-    n2: Column,
+    totals: DataFrame,
     query: str = "qseqid",
     subject: str = "sseqid",
     ident: str = "pident",
     score: str = "bitscore",
     evalue: str = "evalue",
 ) -> DataFrame:
-    """One QC row per group. n1 and n2 are the gene totals behind the coverages.
+    """One QC row per group; totals has by, n1 and n2, the gene totals behind the coverages.
 
     Rows collapse to pairs first, so the distinct counts work on pairs.
     """
@@ -102,11 +101,11 @@ def homology_qc(
         F.sum("_zero").alias("zero_evalue_rows"),
         F.sum(F.when(F.col(query) == F.col(subject), F.col("_n")).otherwise(0)).alias("self_identity_rows"),
     )
-    return counted.withColumns(
+    return counted.join(totals.select(*keys, "n1", "n2"), keys).withColumns(
         {
             "duplicate_gene_pairs": F.col("homology_rows") - F.col("unique_gene_pairs"),
-            "query_gene_coverage": F.try_divide("unique_queries", n1),
-            "subject_gene_coverage": F.try_divide("unique_subjects", n2),
+            "query_gene_coverage": F.try_divide("unique_queries", "n1"),
+            "subject_gene_coverage": F.try_divide("unique_subjects", "n2"),
         }
     )
 

@@ -75,7 +75,7 @@ def representative_transcript(transcripts: DataFrame, cds: DataFrame) -> DataFra
         .filter(F.col("_m").isNotNull())
         .select(
             "transcript_id",
-            F.coalesce(F.when(F.col("_m.gene_id") != "", F.col("_m.gene_id")), F.col("transcript_id")).alias("gene_id"),
+            F.coalesce(F.when(F.col("_m.gene_id").cast("string") != "", F.col("_m.gene_id")), F.col("transcript_id")).alias("gene_id"),
             "_m.seqid",
             "_m.start",
             "_m.end",
@@ -208,11 +208,16 @@ def span_totals(loci: DataFrame, lengths: DataFrame, by: Sequence[str], chrom: s
 
 
 def md5_match(a: DataFrame, b: DataFrame, id_a: str, id_b: str, seq_a: str = "sequence", seq_b: str = "sequence") -> DataFrame:
-    """Ids whose sequences are the same, ignoring case.
+    """Each id of a whose sequence, ignoring case, also occurs in b.
 
-    A sequence carried by many ids on both sides yields every pair; counts per side
-    tell whether a match is one to one.
+    id_b is the lowest id of b with that sequence; n_a and n_b say how many ids
+    share it on either side, so copies stay linear instead of becoming all pairs.
     """
     left = a.select(F.col(id_a), F.md5(F.upper(seq_a)).alias("md5"))
     right = b.select(F.col(id_b), F.md5(F.upper(seq_b)).alias("md5"))
-    return left.join(right, "md5")
+    classes = (
+        right.groupBy("md5")
+        .agg(F.min(id_b).alias(id_b), F.count("*").alias("n_b"))
+        .join(left.groupBy("md5").agg(F.count("*").alias("n_a")), "md5")
+    )
+    return left.join(classes, "md5").select(id_a, id_b, "md5", "n_a", "n_b")

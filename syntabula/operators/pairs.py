@@ -171,12 +171,12 @@ def order_check(
 
 
 def collinearity_qc(
-    blocks: DataFrame, pairs: DataFrame, by: Sequence[str], n1: Column, n2: Column
+    blocks: DataFrame, pairs: DataFrame, by: Sequence[str], totals: DataFrame
 ) -> DataFrame:
     """One QC row per group.
 
     blocks: by, block_id, score, pvalue, n, orientation. pairs: by, block_id,
-    gene1, gene2. The median block size is the upper median.
+    gene1, gene2. totals: by, n1, n2. The median block size is the upper median.
     """
     keys = list(by)
     sizes = pairs.groupBy(*keys, "block_id").agg(F.count("*").alias("_size"))
@@ -206,8 +206,9 @@ def collinearity_qc(
     return (
         per_block.join(middle, keys)
         .join(per_pair, keys)
-        .withColumn("species1_block_gene_coverage", F.try_divide("species1_genes_in_blocks", n1))
-        .withColumn("species2_block_gene_coverage", F.try_divide("species2_genes_in_blocks", n2))
+        .join(totals.select(*keys, "n1", "n2"), keys)
+        .withColumn("species1_block_gene_coverage", F.try_divide("species1_genes_in_blocks", "n1"))
+        .withColumn("species2_block_gene_coverage", F.try_divide("species2_genes_in_blocks", "n2"))
     )
 
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ("genome",)
+AREAS = ("genome", "homology", "loci")
 
 
 def load():
