@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -169,7 +170,7 @@ def local_peaks(
         ]
     )
 
-    def detect(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def detect(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x)
         heights = pdf[y].to_numpy(dtype=float)
         at, prom = P.find_peaks(heights, distance, max(floor, share * heights.max()))
@@ -381,7 +382,7 @@ def kde_peaks(curve: DataFrame, by: Sequence[str], spec: KdeSpec = SPEC) -> Data
         + [T.StructField(c, T.DoubleType()) for c in ("location", "log_location", "height", "prominence")]
     )
 
-    def detect(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def detect(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         found = accept_peaks(
             pdf["density"].to_numpy(), pdf["observed_min"].iloc[0], pdf["observed_max"].iloc[0], spec
@@ -422,7 +423,7 @@ def bandwidth_consensus(
         ]
     )
 
-    def agree(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def agree(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for cluster in cluster_by_median(pdf["log_location"], tolerance):
             centre = float(np.median(cluster))
@@ -540,7 +541,7 @@ def _resample_small(weighted: DataFrame, plan: _Resampling) -> DataFrame:
     keys, grid = plan.keys, plan.spec.grid
     schema = plan.schema("location", "log_location")
 
-    def resample(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def resample(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_v")
         v, w = pdf["_v"].to_numpy(), pdf["_w"].to_numpy(dtype=float)
         x, n, rows = np.log(v), int(w.sum()), []
@@ -571,7 +572,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
     bucketed = sized.withColumn("_b", F.pmod(F.xxhash64("_v"), "_buckets"))
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
 
-    def deal(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def deal(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         # One row per bucket.
         pdf = pdf.sort_values("_b")
         share = pdf["_bw"].to_numpy(dtype=float)
@@ -604,7 +605,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
 
     measured = plan.schema("_m", "_mean", "_ss", "_lo", "_hi")
 
-    def measure(key, values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+    def measure(key: tuple[Any, ...], values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r, v, w in resamples(key, values, task):
             x, m = np.log(v), float(w.sum())
@@ -632,7 +633,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
     lookup = widths.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("replicate", "_width"))).alias("_widths"))
     summed = plan.schema(arrays=["part"])
 
-    def kernel(key, values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple[Any, ...], values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         width_of = dict(task["_widths"].iloc[0])
         rows = [
             (*key[:-2], r, P.kernel_sum(grid, np.log(v), w, width_of[r]).tolist())
@@ -644,7 +645,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
     curves = left.cogroup(tasks.join(lookup, keys).groupBy(*task_keys)).applyInPandas(kernel, summed)
     found = plan.schema("location", "log_location")
 
-    def recover(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def recover(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         # One short vector per bucket; a common scale does not move peaks.
         density = np.sum(np.stack(pdf["part"].to_list()), axis=0) / np.exp(grid)
         rows = plan.peaks(key[:-1], int(key[-1]), density, pdf["_lo"].iloc[0], pdf["_hi"].iloc[0])
