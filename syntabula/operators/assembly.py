@@ -11,40 +11,49 @@ from ..functions import sequence as S
 COARSE = 1 << 16
 
 
-def n50(df: DataFrame, by: Sequence[str], length: str, name: str = "n50") -> DataFrame:
+def n50(df: DataFrame, by: Sequence[str], length: str, name: str = "n50", count: str | None = None) -> DataFrame:
     """Smallest length of the descending running sum that reaches half the total.
 
-    Lengths collapse to (length, bp) first. The crossing is found among coarse
+    Lengths collapse to (length, count) first. The crossing is found among coarse
     length buckets and then among the lengths of the crossing bucket only, so no
-    window holds more than 2**16 rows of a group.
+    window holds more than 2**16 rows of a group. count names a column for the
+    number of lengths.
     """
     if not by:
-        return n50(df.withColumn("_all", F.lit(1)), ["_all"], length, name).drop("_all")
+        return n50(df.withColumn("_all", F.lit(1)), ["_all"], length, name, count).drop("_all")
     keys = list(by)
-    sized = df.groupBy(*keys, F.col(length).cast("long").alias("_len")).agg(
-        (F.count("*") * F.first(F.col(length).cast("long"))).alias("_bp")
+    known = F.col(length).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    # Stated here, so that both uses of `sized` plan alike and share one shuffle.
+    sized = (
+        df.filter(known)
+        .groupBy(*keys, F.col(length).cast("long").alias("_len"))
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_bp", F.col("_n") * F.col("_len"))
+        .withColumn("_c", F.floor(F.col("_len") / COARSE))
     )
-    coarse = F.floor(F.col("_len") / COARSE)
     down = W.partitionBy(*keys).orderBy(F.desc("_c"))
     crossing = (
-        sized.groupBy(*keys, coarse.alias("_c"))
-        .agg(F.sum("_bp").alias("_bp"))
+        sized.groupBy(*keys, "_c")
+        .agg(F.sum("_bp").alias("_bp"), F.sum("_n").alias("_n"))
         .withColumn("_above", F.coalesce(F.sum("_bp").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_bp").over(W.partitionBy(*keys)))
+        .withColumn("_count", F.sum("_n").over(W.partitionBy(*keys)))
         .filter((F.col("_above") + F.col("_bp")) * 2 >= F.col("_total"))
         .groupBy(*keys)
-        .agg(F.max_by(F.struct("_c", "_above", "_total"), "_c").alias("_x"))
+        .agg(F.max_by(F.struct("_c", "_above", "_total", "_count"), "_c").alias("_x"))
     )
     fine = W.partitionBy(*keys).orderBy(F.desc("_len")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        sized.withColumn("_c", coarse)
-        .join(crossing, keys)
-        .filter(F.col("_c") == F.col("_x._c"))
+    found = (
+        sized.join(crossing, keys)
+        .filter(F.col("_c").eqNullSafe(F.col("_x._c")))
         .withColumn("_upto", F.sum("_bp").over(fine) + F.col("_x._above"))
         .filter(F.col("_upto") * 2 >= F.col("_x._total"))
         .groupBy(*keys)
-        .agg(F.max("_len").alias(name))
+        .agg(F.max("_len").alias(name), F.max("_x._count").alias("_count"))
     )
+    return found.select(*keys, name, *([F.col("_count").alias(count)] if count else []))
 
 
 def sequence_lengths(seqs: DataFrame, by: Sequence[str], sequence: str = "sequence") -> DataFrame:
@@ -74,13 +83,11 @@ def assembly_stats(
         return assembly_stats(seqs.withColumn("_all", F.lit(1)), ["_all"], sequence, min_bp).drop("_all")
     keys = list(by)
     seq = F.col(sequence)
-    # One pass over the letters; what follows works on numbers only.
     measured = seqs.select(
         *keys,
         F.length(seq).cast("long").alias("_bp"),
         S.count_letters(seq, "N").cast("long").alias("_n"),
         F.size(S.n_runs(seq)).alias("_runs"),
-        F.transform(S.contigs(seq), lambda piece: F.length(piece).cast("long")).alias("_contigs"),
     )
     totals = measured.groupBy(*keys).agg(
         F.sum("_bp").alias("assembled_genome_size_bp"),
@@ -90,15 +97,15 @@ def assembly_stats(
         F.sum("_n").alias("total_n_bases"),
         F.try_divide(F.sum("_n") * 100, F.sum("_bp")).alias("assembly_gap_percent"),
         F.sum("_runs").alias("number_n_runs"),
-        F.sum(F.size("_contigs")).alias("inferred_contig_count"),
     )
-    contigs = measured.select(*keys, F.explode("_contigs").alias("_piece"))
+    contigs = contig_lengths(seqs, keys, sequence)
     zero = F.lit(0).cast("long")
     return (
         totals.join(n50(measured.select(*keys, "_bp"), keys, "_bp", "scaffold_n50_bp"), keys, "left")
-        .join(n50(contigs, keys, "_piece", "inferred_contig_n50_bp"), keys, "left")
+        .join(n50(contigs, keys, "contig_bp", "inferred_contig_n50_bp", "inferred_contig_count"), keys, "left")
         .withColumn("scaffold_n50_bp", F.coalesce("scaffold_n50_bp", zero))
         .withColumn("inferred_contig_n50_bp", F.coalesce("inferred_contig_n50_bp", zero))
+        .withColumn("inferred_contig_count", F.coalesce("inferred_contig_count", zero))
     )
 
 

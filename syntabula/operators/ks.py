@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import peaks as P
 from ..session import cut_lineage
-from .scale import exact_quantiles, largest_group
+from .scale import exact_quantiles, largest_group, spread
 
 # Block limits.
 MAX_PVALUE, MIN_LENGTH, MIN_KS, MAX_KS, MAX_TANDEM = 0.2, 10, 0.0, 3.0, 0.5
@@ -348,7 +348,7 @@ def _kde(weighted: DataFrame, by: Sequence[str], factors: Sequence[float], spec:
         if held:
             yield flush()
 
-    parts = rows.select(*keys, "_v", "_w", "_n", "_sd").mapInPandas(partial, schema)
+    parts = spread(rows.select(*keys, "_v", "_w", "_n", "_sd"), *keys, "_v").mapInPandas(partial, schema)
     step = (math.log(spec.high) - math.log(spec.low)) / (spec.points - 1)
     x = F.exp(F.lit(math.log(spec.low)) + F.col("i") * step)
     seen = stats.select(*keys, F.col("_min").alias("observed_min"), F.col("_max").alias("observed_max"))
@@ -556,8 +556,8 @@ def _resample_small(weighted: DataFrame, plan: _Resampling) -> DataFrame:
                 rows += plan.peaks(key[:-1], r, density, float(v[hit].min()), float(v[hit].max()))
         return pd.DataFrame(rows, columns=schema.names)
 
-    spread = weighted.select(*keys, "_v", "_w").withColumn("_chunk", plan.chunks())
-    return spread.groupBy(*keys, "_chunk").applyInPandas(resample, schema)
+    tasks = weighted.select(*keys, "_v", "_w").withColumn("_chunk", plan.chunks())
+    return spread(tasks, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(resample, schema)
 
 
 def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
@@ -591,7 +591,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
         "_draws", F.slice("_draws", F.col("_chunk") * plan.per_task + 1, F.lit(plan.per_task))
     )
     task_keys = [*keys, "_b", "_chunk"]
-    left = bucketed.select(*keys, "_b", "_v", "_w").withColumn("_chunk", plan.chunks()).groupBy(*task_keys)
+    left = spread(bucketed.select(*keys, "_b", "_v", "_w").withColumn("_chunk", plan.chunks()), *task_keys).groupBy(*task_keys)
 
     def resamples(key, values: pd.DataFrame, task: pd.DataFrame):
         """(replicate, values, draws) of one bucket, the same on every call."""
@@ -615,7 +615,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
 
     m, mean = F.col("_m"), F.col("_mean")
     widths = (
-        left.cogroup(tasks.groupBy(*task_keys))
+        left.cogroup(spread(tasks, *task_keys).groupBy(*task_keys))
         .applyInPandas(measure, measured)
         .groupBy(*keys, "replicate")
         .agg(
@@ -642,7 +642,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
         ]
         return pd.DataFrame(rows, columns=summed.names)
 
-    curves = left.cogroup(tasks.join(lookup, keys).groupBy(*task_keys)).applyInPandas(kernel, summed)
+    curves = left.cogroup(spread(tasks.join(lookup, keys), *task_keys).groupBy(*task_keys)).applyInPandas(kernel, summed)
     found = plan.schema("location", "log_location")
 
     def recover(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,30 +9,28 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BY = ("comparison",)
 
 
-def partner_depth(pairs: DataFrame, by: Sequence[str] = BY, gene_list: bool = False) -> DataFrame:
+def partner_depth(
+    pairs: DataFrame, by: Sequence[str] = BY, chromosome_list: bool = True, gene_list: bool = False
+) -> DataFrame:
     """Distinct partner genes and chromosomes per reference gene, with their classes.
 
-    pairs: by, ref_chr, ref_gene, tgt_chr, tgt_gene. The chromosome list is short by
-    nature; gene_list adds the partner genes, which puts all of a gene's partners
-    into one cell.
+    pairs: by, ref_chr, ref_gene, tgt_chr, tgt_gene. Partners are made distinct
+    before they are counted. The chromosome list is short by nature; gene_list adds
+    the partner genes, which puts all of a gene's partners into one cell.
     """
     keys = [*by, "ref_chr", "ref_gene"]
-    distinct = pairs.select(*keys, "tgt_chr", "tgt_gene").distinct()
-    genes, chroms = F.col("partner_gene_count"), F.col("partner_chromosome_count")
 
-    def joined(col: str) -> Column:
-        return F.array_join(F.array_sort(F.collect_set(F.col(col).cast("string"))), ",")
+    def per_gene(col: str, count: str, listed: str | None) -> DataFrame:
+        aggregates = [F.count(col).alias(count)]
+        if listed:
+            text = F.array_sort(F.collect_list(F.col(col).cast("string")))
+            aggregates.append(F.array_join(text, ",").alias(listed))
+        return pairs.select(*keys, col).distinct().groupBy(*keys).agg(*aggregates)
 
-    lists = [joined("tgt_chr").alias("target_chromosomes")]
-    if gene_list:
-        lists.append(joined("tgt_gene").alias("target_genes"))
+    genes, chroms = F.col("partner_gene_count"), F.col("partner_chromosome_count")
     return (
-        distinct.groupBy(*keys)
-        .agg(
-            F.count_distinct("tgt_gene").alias("partner_gene_count"),
-            F.count_distinct("tgt_chr").alias("partner_chromosome_count"),
-            *lists,
-        )
+        per_gene("tgt_gene", "partner_gene_count", "target_genes" if gene_list else None)
+        .join(per_gene("tgt_chr", "partner_chromosome_count", "target_chromosomes" if chromosome_list else None), keys)
         .withColumn("partner_depth_class", F.when(genes > 2, ">2").otherwise(genes.cast("string")))
         .withColumn(
             "chromosome_depth_class", F.when(chroms > 2, ">2_chr").otherwise(F.concat(chroms.cast("string"), F.lit("_chr")))
@@ -84,11 +82,14 @@ def chromosome_support(pairs: DataFrame, by: Sequence[str] = BY, ordered: DataFr
     ordered (by, ref_chr, ordered_genes) adds the fraction of the reference
     chromosome's genes.
     """
-    out = pairs.groupBy(*by, "ref_chr", "tgt_chr").agg(
-        F.count_distinct("ref_gene").alias("ref_genes"),
-        F.count_distinct("tgt_gene").alias("tgt_genes"),
-        F.count("*").alias("gene_pairs"),
+    keys = [*by, "ref_chr", "tgt_chr"]
+    # Two plain two-step counts instead of one aggregate with two distinct columns,
+    # which would multiply every row.
+    ref = pairs.groupBy(*keys, "ref_gene").agg(F.count("*").alias("_n")).groupBy(*keys).agg(
+        F.count("*").alias("ref_genes"), F.sum("_n").alias("gene_pairs")
     )
+    tgt = pairs.select(*keys, "tgt_gene").distinct().groupBy(*keys).agg(F.count("*").alias("tgt_genes"))
+    out = ref.join(tgt, keys)
     if ordered is None:
         return out
     return out.join(ordered, [*by, "ref_chr"], "left").withColumn(

@@ -37,7 +37,7 @@ def with_rank(
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in by]
     # The slice number has to stay the same in both branches below, also after a
-    # lost executor: hence the checkpoint.
+    # lost executor: hence the written copy.
     sliced = cut_lineage(
         df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
     )
@@ -61,6 +61,15 @@ def with_rank(
     )
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition rows that are costly to process in Python.
+
+    The planner merges small shuffle partitions by their bytes, which says nothing
+    about the work per row; an explicit count is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, str]]) -> DataFrame:
     """First row of each group; an aggregate, so hot groups combine map-side.
 

@@ -179,14 +179,14 @@ de AS (SELECT comparison, count(DISTINCT ref_gene) AS a, count(DISTINCT tgt_gene
 )
 def integrate_evidence(spark, sf):
     mapped = synteny.mapped(spark, sf)
-    pairs = synteny.unique_pairs(spark, sf)
+    pairs = synteny.stored_pairs(spark, sf)
     macro = mapped.groupBy("comparison", "ref_chr", "tgt_chr").agg(F.count("*").alias("n")).groupBy("comparison").agg(
         F.sum("n").alias("mapped_anchor_pairs"), F.count("*").alias("chromosome_pairs")
     )
     depth = pairs.groupBy("comparison").agg(
         F.count_distinct("ref_gene").alias("genes"), F.lit("").alias("blank"), F.count_distinct("tgt_gene").alias("partners")
     )
-    multi = synteny.ms.multisynteny_summary(synteny._classes(spark, sf, "balanced"), pairs, rule="balanced")
+    multi = synteny.ms.multisynteny_summary(synteny._classes(pairs, spark, sf, "balanced"), pairs, rule="balanced")
     peaks = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("comparison"), "l_linestatus").agg(
         F.round(F.avg("l_discount"), 6).alias("peak_ks")
     )

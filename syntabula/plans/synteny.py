@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals, multisynteny as ms, synteny as sy
+from ..session import cut_lineage
 from .homology import lines, rounded
 from .registry import query, table
 
@@ -394,6 +395,11 @@ def unique_pairs(spark, sf):
     return mapped(spark, sf).select("comparison", "ref_chr", "ref_gene", "tgt_chr", "tgt_gene").distinct()
 
 
+def stored_pairs(spark, sf):
+    """Written once, for queries that read the pairs several times."""
+    return cut_lineage(unique_pairs(spark, sf))
+
+
 DEPTH_SQL = f"""{PAIRS_SQL}, dp AS (
   SELECT comparison, ref_chr, ref_gene, count(DISTINCT tgt_gene) AS genes, count(DISTINCT tgt_chr) AS chroms,
     string_agg(DISTINCT CAST(tgt_chr AS VARCHAR), ',' ORDER BY CAST(tgt_chr AS VARCHAR)) AS target_chromosomes FROM up GROUP BY ALL
@@ -426,7 +432,7 @@ def partner_depth(spark, sf):
 def depth_summary(spark, sf):
     flags = F.explode(F.array(*[F.lit(f) for f in "ANR"]))
     totals = table(spark, sf, "customer").agg(F.count("*").alias("ordered_genes")).withColumn("comparison", flags)
-    summary = ms.depth_summary(ms.partner_depth(unique_pairs(spark, sf)), totals, negative_zero="error")
+    summary = ms.depth_summary(ms.partner_depth(unique_pairs(spark, sf), chromosome_list=False), totals, negative_zero="error")
     return rounded(summary, *[c for c in summary.columns if c.startswith("fraction")])
 
 
@@ -493,8 +499,7 @@ def gene_support_class(spark, sf):
     return ms.gene_support_class(pairs, ms.top2_partners(_ranked(pairs, spark, sf)))
 
 
-def _classes(spark, sf, rule):
-    pairs = unique_pairs(spark, sf)
+def _classes(pairs, spark, sf, rule):
     top2 = ms.top2_partners(_ranked(pairs, spark, sf))
     return ms.two_partner_class(top2, ms.gene_support_class(pairs, top2), rule=rule)
 
@@ -517,12 +522,12 @@ CLASS_FRACTIONS = ("top1_fraction", "top2_fraction", "second_to_first_ratio", "u
 
 @query("two_partner_class", f"WITH {RANKED_SQL} {class_columns_sql('secondary')}")
 def two_partner_class(spark, sf):
-    return rounded(_classes(spark, sf, "secondary"), *CLASS_FRACTIONS)
+    return rounded(_classes(stored_pairs(spark, sf), spark, sf, "secondary"), *CLASS_FRACTIONS)
 
 
 @query("two_partner_class_balanced", f"WITH {RANKED_SQL} {class_columns_sql('balanced')}")
 def two_partner_class_balanced(spark, sf):
-    return rounded(_classes(spark, sf, "balanced"), *CLASS_FRACTIONS)
+    return rounded(_classes(stored_pairs(spark, sf), spark, sf, "balanced"), *CLASS_FRACTIONS)
 
 
 @query(
@@ -540,5 +545,6 @@ def two_partner_class_balanced(spark, sf):
     FROM s JOIN g USING (comparison)""",
 )
 def multisynteny_summary(spark, sf):
-    summary = ms.multisynteny_summary(_classes(spark, sf, "secondary"), unique_pairs(spark, sf))
+    pairs = stored_pairs(spark, sf)
+    summary = ms.multisynteny_summary(_classes(pairs, spark, sf, "secondary"), pairs)
     return rounded(summary, *[c for c in summary.columns if c.startswith("median") or "fraction" in c])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df once as a table below the shared checkpoint folder and read it back.
+
+    Compared with checkpoint() the copy is columnar: later steps read only their
+    columns, and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
