@@ -262,8 +262,8 @@ def clean_sequence(spark, sf):
     )
     return cleaned.select(
         "doc_id",
-        F.length("c.sequence").alias("cds_letters"),
-        F.length("p.sequence").alias("protein_letters"),
+        F.length("c.sequence").cast("long").alias("cds_letters"),
+        F.length("p.sequence").cast("long").alias("protein_letters"),
         F.col("c.issue").alias("cds_issue"),
         F.col("p.issue").alias("protein_issue"),
     )

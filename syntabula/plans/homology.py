@@ -527,7 +527,7 @@ def latest_runs(spark, sf):
       SELECT c_nationkey AS q, s_nationkey AS s, min(l_orderkey) AS run FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
         WHERE o_orderpriority = '1-URGENT' AND c_nationkey < s_nationkey GROUP BY ALL
-    ), want AS (SELECT c_nationkey AS a, c_custkey % 25 AS b FROM customer GROUP BY ALL)
+    ), want AS (SELECT CAST(c_nationkey AS BIGINT) AS a, c_custkey % 25 AS b FROM customer GROUP BY ALL)
     SELECT a, b, coalesce(f.q, r.q, a) AS stored_query, coalesce(f.s, r.s, b) AS stored_subject, coalesce(f.run, r.run) AS run,
       CASE WHEN f.q IS NOT NULL THEN 'FORWARD' WHEN r.q IS NOT NULL THEN 'REVERSE_AVAILABLE' ELSE 'NONE' END AS orientation,
       CASE WHEN f.q IS NULL AND r.q IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS status

@@ -119,7 +119,7 @@ hd AS (SELECT e.event_type, b.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT eve
 
 @query(
     "histogram",
-    f"WITH {EVENTS_SQL}, {HISTOGRAM_SQL} SELECT event_type, bin, round((bin + 0.5) * 0.05, 8) AS center, n FROM hd",
+    f"WITH {EVENTS_SQL}, {HISTOGRAM_SQL} SELECT event_type, bin, CAST((bin + 0.5) * 0.05 AS DOUBLE) AS center, n FROM hd",
 )
 def histogram(spark, sf):
     return rounded(ks.histogram(event_values(spark, sf), ["event_type"], "ks"), "center")
@@ -127,7 +127,7 @@ def histogram(spark, sf):
 
 @query(
     "smooth_bins",
-    f"""WITH {EVENTS_SQL}, {HISTOGRAM_SQL} SELECT event_type, bin, round((bin + 0.5) * 0.05, 8) AS center, n,
+    f"""WITH {EVENTS_SQL}, {HISTOGRAM_SQL} SELECT event_type, bin, CAST((bin + 0.5) * 0.05 AS DOUBLE) AS center, n,
       round((coalesce(lag(n, 2) OVER w, 0) + 2 * coalesce(lag(n) OVER w, 0) + 3 * n + 2 * coalesce(lead(n) OVER w, 0)
         + coalesce(lead(n, 2) OVER w, 0)) / 9, 8) AS smooth FROM hd WINDOW w AS (PARTITION BY event_type ORDER BY bin)""",
 )
@@ -173,7 +173,7 @@ def distribution_audit(spark, sf):
 @query(
     "blockinfo_qc",
     f"""WITH {BLOCKS_SQL} SELECT b.comparison, count(*) AS blockinfo_rows, count(*) FILTER (ks_median > 0) AS ks_finite,
-      count(*) FILTER (ks_median <= 0) AS ks_missing, 0 AS ks_nonnumeric, 0 AS ks_nan, 0 AS ks_infinite, any_value(expected_blocks) AS expected_blocks,
+      count(*) FILTER (ks_median <= 0) AS ks_missing, CAST(0 AS BIGINT) AS ks_nonnumeric, CAST(0 AS BIGINT) AS ks_nan, CAST(0 AS BIGINT) AS ks_infinite, any_value(expected_blocks) AS expected_blocks,
       CASE WHEN count(*) = any_value(expected_blocks) AND count(*) FILTER (ks_median > 0) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status
     FROM bl b JOIN (SELECT substr(p_brand, 7, 1) AS comparison, count(*) AS expected_blocks FROM part GROUP BY ALL) e
       ON e.comparison = b.comparison GROUP BY b.comparison""",
@@ -196,7 +196,7 @@ GRID_STEP = (math.log(3.0) - math.log(0.1)) / 1600
     s AS (SELECT event_type, count(*) AS n, stddev_samp(ln(ks)) AS sd, min(ks) AS mn, max(ks) AS mx FROM ev WHERE ks BETWEEN 0.1 AND 3 GROUP BY ALL),
     f AS (SELECT *, factor * sd * pow(n, -0.2) AS h FROM s CROSS JOIN (SELECT unnest([CAST(0.6 AS DOUBLE), 1.5]) AS factor)),
     g AS (SELECT i, ln(CAST(0.1 AS DOUBLE)) + i * CAST({GRID_STEP!r} AS DOUBLE) AS lx FROM (SELECT unnest(generate_series(0, 1600)) AS i))
-    SELECT f.event_type, factor, i, round(exp(lx), 8) AS x,
+    SELECT f.event_type, factor, CAST(i AS INTEGER) AS i, round(exp(lx), 8) AS x,
       round(sum(w * exp(-0.5 * pow((lx - x) / h, 2))) / any_value(n) / any_value(h) / sqrt(2 * pi()) / exp(lx), 6) AS density,
       any_value(mn) AS observed_min, any_value(mx) AS observed_max
     FROM f JOIN k ON k.event_type = f.event_type CROSS JOIN g GROUP BY f.event_type, factor, i, lx""",

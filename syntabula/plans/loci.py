@@ -294,7 +294,7 @@ def md5_match(spark, sf):
     "id_columns",
     r"""SELECT c_custkey, 'TOM_' || c_name AS prefixed,
       'customer#' || chr(1) || lpad(CAST(length(CAST(c_custkey AS VARCHAR)) AS VARCHAR), 5, '0') || c_custkey AS natural_key,
-      c_custkey AS chromosome_number, c_nationkey AS described_number,
+      CAST(c_custkey AS INTEGER) AS chromosome_number, c_nationkey AS described_number,
       c_custkey - 1 AS start0, c_custkey + 1 AS start1,
       CASE WHEN c_nationkey < 10 THEN c_nationkey ELSE 0 END AS ploidy,
       CASE WHEN c_nationkey = 4 THEN 'TETRAPLOID' WHEN c_acctbal < 0 THEN 'OUTGROUP' ELSE 'DIPLOID' END AS ploidy_group
