@@ -90,28 +90,40 @@ def classify_repeat(col: Column) -> Column:
     )
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once; lambdas would repeat it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_attributes(col: Column) -> Column:
-    """Map of `key "value"` pairs, then `key=value` pairs whose key is not there yet."""
-    quoted = r'([A-Za-z0-9_.:-]+)\s+"([^"]*)"'
+    """Map of `key "value"` pairs, then `key=value` pairs whose key is not there yet.
+
+    Of repeated quoted keys the last counts, of repeated `key=value` keys the first.
+    """
+    # Keys start where a word starts and nothing backtracks: linear in the text.
+    quoted = F.lit(r'(?<![A-Za-z0-9_.:-])([A-Za-z0-9_.:-]++)\s++"([^"]*+)"')
     parts = F.filter(F.transform(F.split(F.trim(col), ";"), lambda p: F.trim(p)), lambda p: p.contains("="))
-    keys = F.concat(
-        F.regexp_extract_all(col, F.lit(quoted), F.lit(1)),
-        F.transform(parts, lambda p: F.trim(F.substring_index(p, "=", 1))),
-    )
-    values = F.concat(
-        F.regexp_extract_all(col, F.lit(quoted), F.lit(2)),
-        F.transform(parts, lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p)))),
+    raw = F.struct(
+        F.regexp_extract_all(col, quoted, F.lit(1)).alias("k"),
+        F.regexp_extract_all(col, quoted, F.lit(2)).alias("v"),
+        F.transform(parts, lambda p: F.trim(F.substring_index(p, "=", 1))).alias("pk"),
+        F.transform(parts, lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).alias("pv"),
     )
-    entries = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    # Later duplicates of a key=value key are ignored; a later quoted one wins.
-    n_quoted = F.size(F.regexp_extract_all(col, F.lit(quoted), F.lit(1)))
-    chosen = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("at"))),
-        lambda e: F.when(
-            e["at"] < n_quoted, ~F.array_contains(F.slice(keys, e["at"] + 2, F.greatest(n_quoted - e["at"] - 1, F.lit(0))), e["key"])
-        ).otherwise(~F.array_contains(F.slice(keys, F.lit(1), e["at"]), e["key"])),
-    )
-    return F.map_from_entries(F.transform(chosen, lambda e: F.struct(e["key"], e["value"])))
+
+    def later(keys: Column, at: Column) -> Column:
+        return F.slice(keys, at + 2, F.size(keys))
+
+    def entries(r: Column) -> Column:
+        named = F.zip_with(r["k"], r["v"], lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        plain = F.zip_with(r["pk"], r["pv"], lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        last = F.filter(named, lambda e, i: ~F.array_contains(later(r["k"], i), e["key"]))
+        first = F.filter(
+            plain,
+            lambda e, i: ~F.array_contains(r["k"], e["key"]) & ~F.array_contains(F.slice(r["pk"], F.lit(1), i), e["key"]),
+        )
+        return F.map_from_entries(F.concat(last, first))
+
+    return _bind(raw, entries)
 
 
 def _first_of(attributes: Column, names: list[str]) -> Column:

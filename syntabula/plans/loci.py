@@ -353,7 +353,7 @@ def repeat_categories(spark, sf):
     SELECT event_id, CASE WHEN raw = '' THEN 'missing' WHEN raw = 'NaN' THEN 'nan' WHEN raw = '-inf' THEN 'infinite'
       WHEN raw = 'x1' THEN 'nonnumeric' ELSE 'finite' END AS class,
       CASE WHEN raw NOT IN ('', 'NaN', '-inf', 'x1') THEN CASE WHEN value < 50 THEN -value ELSE value END END AS value,
-      raw NOT IN ('', 'NaN', '-inf', 'x1') AND value < 50 AS negative FROM e""",
+      raw NOT IN ('', 'NaN', '-inf', 'x1') AND value < 50 AND value > 1e-12 AS negative FROM e""",
 )
 def number_class(spark, sf):
     kind, value = F.col("event_type"), F.col("value")
