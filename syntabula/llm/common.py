@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -58,12 +58,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, UTF-8 texts) in pieces of about CHUNK_BYTES; null is empty."""
+def chunks(texts: Iterable) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, UTF-8 texts) of an Arrow column in pieces of about CHUNK_BYTES; null is empty."""
     held: list[bytes] = []
     first = size = 0
     for i, text in enumerate(texts):
-        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        data = (text.as_py() or "").encode()
         if held and size + len(data) > CHUNK_BYTES:
             yield first, held
             held, first, size = [], i, 0

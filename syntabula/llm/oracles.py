@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .secrets import ASSIGN, COPIED_OWNERS, KINDS, LEAST_VALUE, PATTERNS
+from . import rules
+from .secrets import COPIED_OWNERS, KINDS, LEAST_VALUE, PATTERNS
 
 
 def _spans(no: int, kind: str) -> str:
@@ -39,3 +40,45 @@ SELECT d.doc_id,
   count(*) FILTER (n = 1) AS n_live, count(*) FILTER (n >= {COPIED_OWNERS}) AS n_copied, count(*) FILTER (no = 3) AS n_opaque
 FROM d LEFT JOIN said USING (doc_id) GROUP BY d.doc_id
 """
+
+
+_W = rules.WORD
+_MEASURES = {
+    "symbols": "1000 * n_symbols // greatest(word_chars, 1)",
+    "upper": "1000 * n_upper // greatest(word_chars, 1)",
+    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
+    "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
+    "long_words": "100 * word_chars // greatest(n_words, 1)",
+}
+_TESTS = " UNION ALL ".join(
+    f"SELECT lang, '{r}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM held GROUP BY lang"
+    for r, cs in rules.CUTOFFS.items()
+    for c in cs
+)
+_N_TESTS = sum(map(len, rules.CUTOFFS.values()))
+_PART = rules.FALSE_REJECTION / len(rules.CUTOFFS)
+RULES = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_W}')) AS w, generate_subscripts(regexp_extract_all(t, '{_W}'), 1) AS i FROM d),
+windows AS (SELECT doc_id, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS x FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows WHERE x IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, range(3) AS r(o) GROUP BY doc_id),
+words AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS c FROM w GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_W}') GROUP BY doc_id),
+counts AS (SELECT d.doc_id, d.lang, CAST(coalesce(words.n, 0) AS BIGINT) AS n_words, CAST(coalesce(words.c, 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n - lines.u, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper
+  FROM d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+measured AS (SELECT *, {', '.join(f'{e} AS {m}' for m, e in _MEASURES.items())},
+  n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed FROM counts),
+held AS (SELECT * FROM measured WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+tests AS ({_TESTS}),
+probs AS (SELECT lang, rule, cutoff, (SELECT count(DISTINCT coalesce(lang, '')) FROM held) AS strata,
+  sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_PART}) + (n - j) * ln(1 - {_PART}))) AS p
+  FROM (SELECT *, unnest(range(k + 1)) AS j FROM tests) GROUP BY lang, rule, cutoff),
+cuts AS (SELECT lang, {', '.join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in rules.CUTOFFS)}
+  FROM probs WHERE p <= {rules.ERROR} / {_N_TESTS} / strata GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({' OR '.join(f'coalesce({r} > cut_{r}, false)' for r in rules.CUTOFFS)}) AS kept
+FROM measured m LEFT JOIN cuts ON m.lang IS NOT DISTINCT FROM cuts.lang
+"""

@@ -38,3 +38,43 @@ def simhash_components(spark, folder):
     with Scratch(spark) as scratch:
         found = near_duplicates(scratch, documents(spark, folder))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_risk_controlled_rules", oracles.RULES)
+def risk_controlled_rules(spark, folder):
+    from .rules import controlled
+
+    with Scratch(spark) as scratch:
+        return controlled(scratch, documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op10_edit_decontamination")
+def edit_decontamination(spark, folder):
+    from .decontamination import contaminated
+
+    return contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query("op4_histogram_packing")
+def histogram_packing(spark, folder):
+    from .packing import pack
+
+    with Scratch(spark) as scratch:
+        return pack(scratch, documents(spark, folder))
+
+
+@query("op9_recompression_windows")
+def recompression_windows(spark, folder):
+    from .words import repeated_windows
+
+    with Scratch(spark) as scratch:
+        return repeated_windows(scratch, documents(spark, folder)).drop("spans")
+
+
+@query("op7_suffix_array_strings")
+def suffix_array_strings(spark, folder):
+    from .strings import repeated_strings
+
+    with Scratch(spark) as scratch:
+        found = repeated_strings(scratch, documents(spark, folder))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

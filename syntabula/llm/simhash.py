@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,11 +20,11 @@ CODE = 31
 
 
 def _shingles(size: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out = np.zeros(len(batch), np.uint64)
-            for first, texts in chunks(batch["text"].tolist()):
+            out = np.zeros(batch.num_rows, np.uint64)
+            for first, texts in chunks(batch.column(1)):
                 hashes: list[int] = []
                 bounds = [0]
                 for text in texts:
@@ -36,7 +37,7 @@ def _shingles(size: int, seed: int):
                         hashes.extend([digest(line[a:b], seed) for a, b in zip(starts, stops)])
                     bounds.append(len(hashes))
                 out[first : first + len(texts)] = majority(np.array(hashes, np.uint64), np.array(bounds))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": out.view(np.int64)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
@@ -51,7 +52,7 @@ def fingerprints(
     have it. Fewer words than a shingle: the whole sequence. No words or null: 0.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(_shingles(shingle, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
+    return rows.mapInArrow(_shingles(shingle, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
