@@ -43,9 +43,25 @@ def best_match(pattern: str, text: str, places: dict[str, int] | None = None) ->
 
 
 def distance(a: str, b: str) -> int:
-    """Edit distance of two whole strings."""
+    """Edit distance of two whole strings; what both begin and end with is left out first."""
     if len(a) > len(b):
         a, b = b, a
+    low, high = 0, len(a)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    a, b = a[low:], b[low:]
+    low, high = 0, len(a)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[len(a) - middle :] == b[len(b) - middle :]:
+            low = middle
+        else:
+            high = middle - 1
+    a, b = a[: len(a) - low], b[: len(b) - low]
     m = len(a)
     if m == 0:
         return len(b)

@@ -12,22 +12,29 @@ from .common import Scratch, partitions_for
 
 #: Fingerprints of one key that a task compares at a time, and rows of a partition.
 BLOCK, TASK_ROWS = 4096, 1_000_000
+#: Hashes whose bits are counted at a time.
+BATCH = 65_536
 #: Largest table of hot keys that is broadcast (16 bytes a row); a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Fingerprint of each slice bounds[i]:bounds[i+1]: bits set in over half of its hashes."""
+    """Fingerprint of each slice bounds[i]:bounds[i+1]: bits set in over half of its hashes; empty: 0."""
     out = np.zeros(len(bounds) - 1, np.uint64)
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if b > a:
-            ones = np.zeros(64, np.int64)
-            for s in range(a, b, 65_536):
-                part = hashes[s : min(b, s + 65_536)]
-                bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones += bits.sum(axis=0, dtype=np.uint32)
-            out[i] = (powers[2 * ones > b - a]).sum(dtype=np.uint64)
+    sizes = np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    at = 0
+    while at < len(full):
+        # As many slices as fit the batch, or one longer slice.
+        limit = bounds[full[at]] + BATCH
+        stop = max(at + 1, int(np.searchsorted(bounds[full + 1], limit, side="right")))
+        rows = full[at:stop]
+        begin, end = bounds[rows[0]], bounds[rows[-1] + 1]
+        bits = np.unpackbits(hashes[begin:end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, bounds[rows] - begin, axis=0, dtype=np.int32)
+        out[rows] = ((2 * ones > sizes[rows][:, None]) * powers).sum(axis=1, dtype=np.uint64)
+        at = stop
     return out
 
 
@@ -80,26 +87,68 @@ def _compare(bits: int):
     return run
 
 
+def _across(bits: int):
+    """All pairs of a key that are near and of different labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pd.concat(held).sort_values("key", kind="stable")
+        key, fp = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        name, label = rows["id"].to_numpy(), rows["label"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for s, n in zip(starts, np.diff(np.r_[starts, len(key)])):
+            f, who, of = fp[s : s + n], name[s : s + n], label[s : s + n]
+            if n < 2 or (of == of[0]).all():
+                continue
+            found = []
+            for i in range(n - 1):
+                near = np.flatnonzero((np.bitwise_count(f[i + 1 :] ^ f[i]) <= bits) & (of[i + 1 :] != of[i])) + i + 1
+                if len(near):
+                    found.append(np.stack([np.full(len(near), who[i]), who[near]], axis=1))
+            if found:
+                both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return run
+
+
 def near_links(scratch: Scratch, keyed: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) between fingerprints of (key, fp) that share a key and differ in at most bits.
 
     Per key only a spanning forest comes out, which joins the same fingerprints. fp must
-    be distinct within a key. A key with more than BLOCK fingerprints is dealt out to
-    pairs of blocks, each compared by its own task, so that no task holds a hot key.
+    be distinct within a key.
+    """
+    return _dealt(scratch, keyed.select("key", "fp"), "fp").mapInPandas(_compare(bits), "a long, b long")
+
+
+def near_pairs(scratch: Scratch, keyed: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of ids of (key, fp, id, label) that share a key, differ in at most bits, and in their labels."""
+    dealt = _dealt(scratch, keyed.select("key", "fp", "id", "label"), "id")
+    return dealt.mapInPandas(_across(bits), "a long, b long").distinct()
+
+
+def _dealt(scratch: Scratch, keyed: DataFrame, member: str) -> DataFrame:
+    """Rows of a key together in one partition.
+
+    A key with more than BLOCK rows is dealt out to pairs of blocks, each compared by
+    its own task, so that no task holds a hot key.
     """
     spark = keyed.sparkSession
-    keyed = scratch.table(keyed.select("key", "fp"))
+    rest = [c for c in keyed.columns if c != "key"]
+    keyed = scratch.table(keyed)
     hot = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     n_hot = hot.count()
     dealt = keyed
     if n_hot:
         sized = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "key", "left")
         blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("long")
-        own = F.pmod(F.xxhash64("fp"), blocks)
+        own = F.pmod(F.xxhash64(member), blocks)
         other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
         pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
-        dealt = sized.select("key", "fp", "n", own.alias("i"), other.alias("j")).select(
-            F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp"
+        dealt = sized.select("key", *rest, "n", own.alias("i"), other.alias("j")).select(
+            F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), *rest
         )
     n = partitions_for(keyed.count(), TASK_ROWS, spark)
-    return dealt.repartition(n, "key").mapInPandas(_compare(bits), "a long, b long")
+    return dealt.repartition(n, "key")

@@ -78,3 +78,27 @@ def suffix_array_strings(spark, folder):
     with Scratch(spark) as scratch:
         found = repeated_strings(scratch, documents(spark, folder))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op1_fuzzy_lines")
+def fuzzy_lines(spark, folder):
+    from .lines import deduplicated
+
+    with Scratch(spark) as scratch:
+        return deduplicated(scratch, documents(spark, folder).select("doc_id", "text"))
+
+
+@query("op8_string_kernel_toxicity")
+def string_kernel_toxicity(spark, folder):
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op2_ordinal_quality")
+def ordinal_quality(spark, folder):
+    from .quality import grade_of, graded, train
+
+    docs, labels = documents(spark, folder), table(spark, folder, "labels")
+    model = train(docs, labels.select("doc_id", grade_of(labels).alias("grade")), grades=3)
+    return graded(docs, model)
