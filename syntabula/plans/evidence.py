@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence, quality
 from . import synteny
 from .homology import rounded
-from .registry import query, table
+from .registry import missing_sql, missing_where, query, table
 
 
 def _sources(spark, sf):
@@ -203,9 +203,9 @@ def integrate_evidence(spark, sf):
 
 @query(
     "final_annotation_table",
-    """WITH f AS (SELECT n_nationkey AS species, n_name FROM nation),
-    p AS (SELECT c_nationkey AS species, avg(c_acctbal) AS c, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY ALL),
-    g AS (SELECT s_nationkey AS species, avg(s_acctbal) AS c, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL)
+    f"""WITH f AS (SELECT n_nationkey AS species, n_name FROM nation),
+    p AS (SELECT c_nationkey AS species, avg(c_acctbal) AS c, count(*) AS n FROM {missing_sql("customer", "c_nationkey", "c_acctbal > 9000")} GROUP BY ALL),
+    g AS (SELECT s_nationkey AS species, avg(s_acctbal) AS c, count(*) AS n FROM {missing_sql("supplier", "s_nationkey", "s_acctbal > 5000")} GROUP BY ALL)
     SELECT species, n_name, round(p.c, 6) AS protein_complete, p.n AS protein_n, round(g.c, 6) AS genome_complete, g.n AS genome_n,
       CASE WHEN p.c IS NULL AND g.c IS NULL THEN 'FAIL_PARSE_PROTEIN_BUSCO;FAIL_PARSE_GENOME_BUSCO'
         WHEN p.c IS NULL THEN 'FAIL_PARSE_PROTEIN_BUSCO' WHEN g.c IS NULL THEN 'FAIL_PARSE_GENOME_BUSCO' ELSE 'PASS' END AS status
@@ -213,7 +213,7 @@ def integrate_evidence(spark, sf):
 )
 def final_annotation_table(spark, sf):
     def completeness(name, key, balance, least):
-        scored = table(spark, sf, name).filter(F.col(balance) > least).groupBy(F.col(key).alias("species"))
+        scored = missing_where(table(spark, sf, name), key, f"{balance} > {least}").groupBy(F.col(key).alias("species"))
         other = [F.lit(0.0).alias(c) for c in ("single", "duplicated", "fragmented", "missing")]
         return scored.agg(F.avg(balance).alias("complete"), F.count("*").alias("n"), *other)
 

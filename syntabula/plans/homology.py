@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hits, pairs
-from .registry import query, table
+from .registry import missing_sql, missing_where, query, table
 
 
 def rounded(df, *names, digits=8):
@@ -82,11 +82,11 @@ def hit_threshold(spark, sf):
 
 @query(
     "validate_hits",
-    """SELECT l_returnflag,
+    f"""SELECT l_returnflag,
       p.p_partkey IS NULL OR s.s_suppkey IS NULL AS invalid_id,
       l_quantity > 40 AS malformed, count(*) AS n
-    FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) p ON l_partkey = p_partkey
-      LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) s ON l_suppkey = s_suppkey GROUP BY ALL""",
+    FROM lineitem LEFT JOIN {missing_sql("part", "p_partkey", "p_size > 10")} p ON l_partkey = p_partkey
+      LEFT JOIN {missing_sql("supplier", "s_suppkey", "s_acctbal > 0")} s ON l_suppkey = s_suppkey GROUP BY ALL""",
 )
 def validate_hits(spark, sf):
     found = line_hits(spark, sf).withColumns(
@@ -101,8 +101,8 @@ def validate_hits(spark, sf):
             "send": F.col("l_orderkey") + 1,
         }
     )
-    ids1 = table(spark, sf, "part").filter("p_size > 10").select("p_partkey")
-    ids2 = table(spark, sf, "supplier").filter("s_acctbal > 0").select("s_suppkey")
+    ids1 = missing_where(table(spark, sf, "part"), "p_partkey", "p_size > 10").select("p_partkey")
+    ids2 = missing_where(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal > 0").select("s_suppkey")
     checked = hits.validate_hits(found, ids1, ids2)
     return checked.groupBy("l_returnflag", "invalid_id", "malformed").agg(F.count("*").alias("n"))
 
@@ -127,8 +127,8 @@ def homology_qc(spark, sf):
     return rounded(qc, "mean_percent_identity", "query_gene_coverage", "subject_gene_coverage")
 
 
-CANDIDATES_SQL = """
-w AS (SELECT c_mktsegment AS species, c_custkey AS seq_id FROM customer WHERE c_acctbal > 0),
+CANDIDATES_SQL = f"""
+w AS (SELECT c_mktsegment AS species, c_custkey AS seq_id FROM {missing_sql("customer", "c_custkey", "c_acctbal > 0")}),
 f AS (SELECT DISTINCT c_mktsegment AS species, o_orderpriority AS path, o_custkey AS seq_id
       FROM orders JOIN customer ON o_custkey = c_custkey),
 t AS (SELECT species, count(*) AS protein_ids FROM w GROUP BY ALL),
@@ -141,7 +141,7 @@ scored AS (SELECT species, path, cds_ids, intersection, protein_ids,
 
 def candidate_ids(spark, sf):
     customers = table(spark, sf, "customer")
-    wanted = customers.filter("c_acctbal > 0").select(
+    wanted = missing_where(customers, "c_custkey", "c_acctbal > 0").select(
         F.col("c_mktsegment").alias("species"), F.col("c_custkey").alias("seq_id")
     )
     found = (
@@ -315,18 +315,18 @@ def chunk_assign(spark, sf):
 
 @query(
     "presence_check",
-    """SELECT comparison, gene, 'protein' AS missing_from FROM (
+    f"""SELECT comparison, gene, 'protein' AS missing_from FROM (
       SELECT DISTINCT l_returnflag AS comparison, unnest([l_partkey, l_suppkey]) AS gene FROM lineitem)
-    WHERE gene NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""",
+    WHERE gene NOT IN (SELECT p_partkey FROM {missing_sql("part", "p_partkey", "p_size > 5")})""",
 )
 def presence_check(spark, sf):
-    ids = table(spark, sf, "part").filter("p_size > 5").select(F.col("p_partkey").alias("gene"))
+    ids = missing_where(table(spark, sf, "part"), "p_partkey", "p_size > 5").select(F.col("p_partkey").alias("gene"))
     return pairs.presence_check(line_pairs(spark, sf), ["comparison"], ["reference_gene", "target_gene"], ids, "protein")
 
 
-COMPLETE_SQL = """
-want AS (SELECT DISTINCT l_linestatus, l_partkey, l_suppkey FROM lineitem WHERE l_tax <= 0.04),
-have AS (SELECT l_linestatus, l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL),
+COMPLETE_SQL = f"""
+want AS (SELECT DISTINCT l_linestatus, l_partkey, l_suppkey FROM {missing_sql("lineitem", "l_partkey", "l_tax <= 0.04")}),
+have AS (SELECT l_linestatus, l_partkey, l_suppkey, count(*) AS n FROM {missing_sql("lineitem", "l_partkey", "l_discount >= 0.05")} GROUP BY ALL),
 both_sides AS (SELECT coalesce(w.l_linestatus, h.l_linestatus) AS l_linestatus,
   coalesce(w.l_partkey, h.l_partkey) AS l_partkey, coalesce(w.l_suppkey, h.l_suppkey) AS l_suppkey,
   w.l_partkey IS NOT NULL AS wanted, h.n AS n
@@ -336,7 +336,10 @@ both_sides AS (SELECT coalesce(w.l_linestatus, h.l_linestatus) AS l_linestatus,
 def _completeness(spark, sf):
     df = lines(spark, sf)
     return pairs.completeness_check(
-        df.filter("l_tax <= 0.04"), df.filter("l_discount >= 0.05"), ["l_linestatus"], ["l_partkey", "l_suppkey"]
+        missing_where(df, "l_partkey", "l_tax <= 0.04"),
+        missing_where(df, "l_partkey", "l_discount >= 0.05"),
+        ["l_linestatus"],
+        ["l_partkey", "l_suppkey"],
     )
 
 
@@ -363,16 +366,16 @@ def completeness_issues(spark, sf):
 
 @query(
     "order_check",
-    """WITH g1 AS (SELECT l_partkey AS gene, min(l_linenumber) AS o FROM lineitem WHERE l_quantity > 10 GROUP BY ALL),
-    g2 AS (SELECT s_suppkey AS gene, s_nationkey AS o FROM supplier WHERE s_acctbal > 0)
+    f"""WITH g1 AS (SELECT l_partkey AS gene, min(l_linenumber) AS o FROM {missing_sql("lineitem", "l_partkey", "l_quantity > 10")} GROUP BY ALL),
+    g2 AS (SELECT s_suppkey AS gene, s_nationkey AS o FROM {missing_sql("supplier", "s_suppkey", "s_acctbal > 0")})
     SELECT l_returnflag, count(*) AS pairs, count(*) FILTER (g1.o IS NULL OR g2.o IS NULL) AS unknown_gene_pairs,
       count(*) FILTER (g1.o IS NOT NULL AND g2.o IS NOT NULL AND (l_linenumber <> g1.o OR l_linenumber <> g2.o)) AS order_mismatches
     FROM lineitem LEFT JOIN g1 ON l_partkey = g1.gene LEFT JOIN g2 ON l_suppkey = g2.gene GROUP BY ALL""",
 )
 def order_check(spark, sf):
     df = lines(spark, sf)
-    genes1 = df.filter("l_quantity > 10").groupBy(F.col("l_partkey").alias("gene")).agg(F.min("l_linenumber").alias("order"))
-    genes2 = table(spark, sf, "supplier").filter("s_acctbal > 0").select(
+    genes1 = missing_where(df, "l_partkey", "l_quantity > 10").groupBy(F.col("l_partkey").alias("gene")).agg(F.min("l_linenumber").alias("order"))
+    genes2 = missing_where(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal > 0").select(
         F.col("s_suppkey").alias("gene"), F.col("s_nationkey").alias("order")
     )
     stated = df.select(
@@ -524,9 +527,9 @@ def latest_runs(spark, sf):
 @query(
     "undirected_lookup",
     """WITH runs AS (
-      SELECT c_nationkey AS q, s_nationkey AS s, min(l_orderkey) AS run FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-        WHERE o_orderpriority = '1-URGENT' AND c_nationkey < s_nationkey GROUP BY ALL
+      SELECT c_nationkey + CASE WHEN o_orderpriority = '1-URGENT' AND c_nationkey < s_nationkey THEN 0 ELSE 1000 END AS q,
+        s_nationkey AS s, min(l_orderkey) AS run FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL
     ), want AS (SELECT CAST(c_nationkey AS BIGINT) AS a, c_custkey % 25 AS b FROM customer GROUP BY ALL)
     SELECT a, b, coalesce(f.q, r.q, a) AS stored_query, coalesce(f.s, r.s, b) AS stored_subject, coalesce(f.run, r.run) AS run,
       CASE WHEN f.q IS NOT NULL THEN 'FORWARD' WHEN r.q IS NOT NULL THEN 'REVERSE_AVAILABLE' ELSE 'NONE' END AS orientation,
@@ -535,12 +538,13 @@ def latest_runs(spark, sf):
 )
 def undirected_lookup(spark, sf):
     df = lines(spark, sf)
+    # All other runs belong to nations that no one asks for.
+    shifted = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("c_nationkey") < F.col("s_nationkey")), 0).otherwise(1000)
     runs = (
-        df.join(table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
+        df.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter("c_nationkey < s_nationkey")
-        .groupBy(F.col("c_nationkey").cast("long").alias("q"), F.col("s_nationkey").cast("long").alias("s"))
+        .groupBy((F.col("c_nationkey") + shifted).cast("long").alias("q"), F.col("s_nationkey").cast("long").alias("s"))
         .agg(F.min("l_orderkey").alias("run"))
     )
     wanted = (
@@ -551,12 +555,16 @@ def undirected_lookup(spark, sf):
     return pairs.undirected_lookup(wanted, runs, "a", "b", "q", "s")
 
 
+BUYERS_SQL = missing_sql("customer", "c_nationkey", "c_acctbal > 9000")
+SELLERS_SQL = missing_sql("supplier", "s_nationkey", "s_acctbal > 5000")
+
+
 def _manifests(spark, sf):
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
-    buyers = table(spark, sf, "customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("nation")).agg(
+    buyers = missing_where(table(spark, sf, "customer"), "c_nationkey", "c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(
         F.count("*").alias("customers")
     )
-    sellers = table(spark, sf, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(
+    sellers = missing_where(table(spark, sf, "supplier"), "s_nationkey", "s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(
         F.count("*").alias("suppliers")
     )
     return nations, buyers, sellers
@@ -564,9 +572,9 @@ def _manifests(spark, sf):
 
 @query(
     "join_manifests",
-    """SELECT n_nationkey AS nation, n_name, customers, suppliers FROM nation
-      JOIN (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal > 0 GROUP BY ALL) ON n_nationkey = c_nationkey
-      JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) ON n_nationkey = s_nationkey""",
+    f"""SELECT n_nationkey AS nation, n_name, customers, suppliers FROM nation
+      JOIN (SELECT c_nationkey, count(*) AS customers FROM {BUYERS_SQL} GROUP BY ALL) ON n_nationkey = c_nationkey
+      JOIN (SELECT s_nationkey, count(*) AS suppliers FROM {SELLERS_SQL} GROUP BY ALL) ON n_nationkey = s_nationkey""",
 )
 def join_manifests(spark, sf):
     nations, buyers, sellers = _manifests(spark, sf)
@@ -575,8 +583,8 @@ def join_manifests(spark, sf):
 
 @query(
     "manifest_gaps",
-    """SELECT n_nationkey AS nation, 0 AS manifest FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0)
-    UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)""",
+    f"""SELECT n_nationkey AS nation, 0 AS manifest FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {BUYERS_SQL})
+    UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM {SELLERS_SQL})""",
 )
 def manifest_gaps(spark, sf):
     nations, buyers, sellers = _manifests(spark, sf)

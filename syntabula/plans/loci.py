@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, values
 from ..operators import loci
 from .homology import lines, rounded
-from .registry import query, table
+from .registry import missing_sql, missing_where, query, table
 
 
 def orders(spark, sf):
@@ -102,11 +102,14 @@ def representative_transcript(spark, sf):
     return best.withColumn("gene_id", F.col("gene_id").cast("string"))
 
 
+URGENT_SQL = missing_sql("orders", "o_custkey", "o_orderpriority = '1-URGENT'")
+
+
 def _matches(spark, sf):
     transcripts = table(spark, sf, "customer").select(
         F.concat(F.lit("transcript:c"), F.col("c_custkey").cast("string"), F.lit(".t1")).alias("transcript_id")
     )
-    proteins = orders(spark, sf).filter("o_orderpriority = '1-URGENT'").select(
+    proteins = missing_where(orders(spark, sf), "o_custkey", "o_orderpriority = '1-URGENT'").select(
         F.concat(
             F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".p"), F.col("o_orderkey").cast("string")
         ).alias("protein_id"),
@@ -117,8 +120,8 @@ def _matches(spark, sf):
 
 @query(
     "match_by_variants",
-    """SELECT 'transcript:c' || c_custkey || '.t1' AS transcript_id, 'c' || c_custkey || '.p' || min(o_orderkey) AS protein_id,
-       'c' || c_custkey AS variant FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY c_custkey""",
+    f"""SELECT 'transcript:c' || c_custkey || '.t1' AS transcript_id, 'c' || c_custkey || '.p' || min(o_orderkey) AS protein_id,
+       'c' || c_custkey AS variant FROM customer JOIN {URGENT_SQL} ON o_custkey = c_custkey GROUP BY c_custkey""",
 )
 def match_by_variants(spark, sf):
     return _matches(spark, sf)[0]
@@ -126,8 +129,8 @@ def match_by_variants(spark, sf):
 
 @query(
     "unmatched_transcripts",
-    """SELECT 'transcript:c' || c_custkey || '.t1' AS transcript_id FROM customer
-       WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    f"""SELECT 'transcript:c' || c_custkey || '.t1' AS transcript_id FROM customer
+       WHERE c_custkey NOT IN (SELECT o_custkey FROM {URGENT_SQL})""",
 )
 def unmatched_transcripts(spark, sf):
     return _matches(spark, sf)[1]
@@ -135,24 +138,23 @@ def unmatched_transcripts(spark, sf):
 
 @query(
     "ambiguous_variants",
-    """SELECT 'c' || o_custkey AS variant, 'c' || o_custkey || '.p' || min(o_orderkey) AS protein_id
-       FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey HAVING count(*) > 1""",
+    f"""SELECT 'c' || o_custkey AS variant, 'c' || o_custkey || '.p' || min(o_orderkey) AS protein_id
+       FROM {URGENT_SQL} GROUP BY o_custkey HAVING count(*) > 1""",
 )
 def ambiguous_variants(spark, sf):
     return _matches(spark, sf)[2]
 
 
 RESTRICT_SQL = """
-m AS (SELECT l_returnflag, l_suppkey, 'chr' || l_suppkey AS new_id FROM lineitem WHERE l_quantity = 50
-      GROUP BY ALL HAVING count(*) > 1)"""
+m AS (SELECT l_returnflag, l_suppkey, 'chr' || l_suppkey AS new_id FROM lineitem
+      GROUP BY ALL HAVING count(*) FILTER (l_quantity = 50) > 1)"""
 
 
 def _restricted(spark, sf):
     df = lines(spark, sf)
     id_map = (
-        df.filter("l_quantity = 50")
-        .groupBy("l_returnflag", "l_suppkey")
-        .agg(F.count("*").alias("n"))
+        df.groupBy("l_returnflag", "l_suppkey")
+        .agg(F.count_if(F.col("l_quantity") == 50).alias("n"))
         .filter("n > 1")
         .select("l_returnflag", "l_suppkey", F.concat(F.lit("chr"), F.col("l_suppkey").cast("string")).alias("new_id"))
     )
@@ -179,12 +181,12 @@ def retention_counts(spark, sf):
 
 @query(
     "validate_coordinates",
-    """SELECT l_orderkey, l_linenumber, l_partkey AS chrom, CASE
+    f"""SELECT l_orderkey, l_linenumber, l_partkey AS chrom, CASE
       WHEN p_partkey IS NULL THEN 'BED_CHROMOSOME_NOT_IN_GENOME' WHEN l_orderkey - 50 < 0 THEN 'NEGATIVE_BED_START'
       WHEN l_quantity - 5 <= 0 THEN 'BED_END_NOT_GREATER_THAN_START'
       WHEN l_orderkey - 55 + CAST(l_quantity AS BIGINT) > p_size * 1000 THEN 'BED_END_EXCEEDS_CHROMOSOME'
       WHEN l_returnflag = 'N' THEN 'INVALID_BED_STRAND' END AS issue
-    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 2) ON l_partkey = p_partkey""",
+    FROM lineitem LEFT JOIN {missing_sql("part", "p_partkey", "p_size > 2")} ON l_partkey = p_partkey""",
 )
 def validate_coordinates(spark, sf):
     genes = lines(spark, sf).select(
@@ -195,7 +197,7 @@ def validate_coordinates(spark, sf):
         (F.col("l_orderkey") - 55 + F.col("l_quantity").cast("long")).alias("end"),
         F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise("?").alias("strand"),
     )
-    lengths = table(spark, sf, "part").filter("p_size > 2").select(
+    lengths = missing_where(table(spark, sf, "part"), "p_partkey", "p_size > 2").select(
         F.col("p_partkey").alias("chrom"), (F.col("p_size") * 1000).alias("length_bp")
     )
     return loci.validate_coordinates(genes, lengths, by=[]).select("l_orderkey", "l_linenumber", "chrom", "issue")
@@ -204,14 +206,14 @@ def validate_coordinates(spark, sf):
 @query(
     "id_set_diff",
     """WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'),
-    b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R')
+    b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A')
     SELECT *, 'A_ONLY' AS issue FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT *, 'B_ONLY' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 )
 def id_set_diff(spark, sf):
     df = lines(spark, sf)
     return loci.id_set_diff(
-        df.filter("l_returnflag = 'A'"), df.filter("l_returnflag = 'R'"), ["l_suppkey", "l_partkey"], "A_ONLY", "B_ONLY"
+        df.filter("l_returnflag = 'A'"), df.filter("l_returnflag <> 'A'"), ["l_suppkey", "l_partkey"], "A_ONLY", "B_ONLY"
     )
 
 
@@ -229,14 +231,14 @@ def missing_prefix(spark, sf):
 
 @query(
     "id_sets",
-    """WITH a AS (SELECT l_partkey FROM lineitem WHERE l_quantity = 1), b AS (SELECT l_partkey FROM lineitem WHERE l_quantity = 2)
+    """WITH a AS (SELECT l_partkey FROM lineitem WHERE l_quantity <= 3), b AS (SELECT l_partkey FROM lineitem WHERE l_quantity > 3)
     SELECT 'intersect' AS op, l_partkey FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
     UNION ALL SELECT 'difference', l_partkey FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'union', l_partkey FROM (SELECT * FROM a UNION SELECT * FROM b)""",
 )
 def id_sets(spark, sf):
     df = lines(spark, sf)
-    a, b = df.filter("l_quantity = 1"), df.filter("l_quantity = 2")
+    a, b = df.filter("l_quantity <= 3"), df.filter("l_quantity > 3")
     out = None
     for op in ("intersect", "difference", "union"):
         part = loci.id_sets(a, b, ["l_partkey"], op).withColumn("op", F.lit(op))
@@ -246,11 +248,11 @@ def id_sets(spark, sf):
 
 @query(
     "genes_per_chromosome",
-    """SELECT n_nationkey AS nation, count(s_suppkey) AS genes FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000)
-       ON s_nationkey = n_nationkey GROUP BY ALL""",
+    f"""SELECT n_nationkey AS nation, count(s_suppkey) AS genes FROM nation
+       LEFT JOIN {missing_sql("supplier", "s_nationkey", "s_acctbal > 5000")} ON s_nationkey = n_nationkey GROUP BY ALL""",
 )
 def genes_per_chromosome(spark, sf):
-    genes = table(spark, sf, "supplier").filter("s_acctbal > 5000").withColumnRenamed("s_nationkey", "nation")
+    genes = missing_where(table(spark, sf, "supplier"), "s_nationkey", "s_acctbal > 5000").withColumnRenamed("s_nationkey", "nation")
     chroms = table(spark, sf, "nation").withColumnRenamed("n_nationkey", "nation")
     return loci.genes_per_chromosome(genes, chroms, ["nation"])
 
@@ -279,14 +281,15 @@ def span_totals(spark, sf):
 
 @query(
     "md5_match",
-    """WITH a AS (SELECT doc_id AS id_a, md5(upper(replace(text, 'ß', 'SS'))) AS md5 FROM documents WHERE lang = 'en'),
+    """WITH a AS (SELECT doc_id AS id_a, md5(upper(replace(CASE WHEN lang = 'en' THEN text ELSE text || '*' END, 'ß', 'SS'))) AS md5 FROM documents),
     b AS (SELECT doc_id AS id_b, md5(upper(replace(text, 'ß', 'SS'))) AS md5 FROM documents)
     SELECT id_a, min(id_b) AS id_b, md5, any_value(n_a) AS n_a, count(*) AS n_b
     FROM a JOIN b USING (md5) JOIN (SELECT md5, count(*) AS n_a FROM a GROUP BY ALL) USING (md5) GROUP BY id_a, md5""",
 )
 def md5_match(spark, sf):
     docs = table(spark, sf, "documents")
-    a = docs.filter("lang = 'en'").withColumnRenamed("doc_id", "id_a")
+    changed = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit("*")))
+    a = docs.withColumn("text", changed).withColumnRenamed("doc_id", "id_a")
     return loci.md5_match(a, docs.withColumnRenamed("doc_id", "id_b"), "id_a", "id_b", "text", "text")
 
 

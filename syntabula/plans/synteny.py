@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from ..operators import intervals, multisynteny as ms, synteny as sy
 from ..session import cut_lineage
 from .homology import lines, rounded
-from .registry import query, table
+from .registry import missing_sql, missing_where, query, table
 
 MIN_N, REL, GAP = 20, 0.875, 0.01
 
-MAPPED_SQL = """
-cu AS (SELECT * FROM customer WHERE c_acctbal > -900),
-su AS (SELECT * FROM supplier WHERE s_acctbal > -900),
+MAPPED_SQL = f"""
+cu AS {missing_sql("customer", "c_custkey", "c_acctbal > -900")},
+su AS {missing_sql("supplier", "s_suppkey", "s_acctbal > -900")},
 mp AS (
   SELECT l_returnflag AS comparison, c_custkey AS ref_gene, c_nationkey AS ref_chr, c_custkey + CAST(0.5 AS DOUBLE) AS ref_mid,
     s_suppkey AS tgt_gene, s_nationkey AS tgt_chr, s_suppkey + CAST(0.5 AS DOUBLE) AS tgt_mid
@@ -34,8 +34,8 @@ st AS (
 
 
 def _loci(spark, sf):
-    customers = table(spark, sf, "customer").filter("c_acctbal > -900")
-    suppliers = table(spark, sf, "supplier").filter("s_acctbal > -900")
+    customers = missing_where(table(spark, sf, "customer"), "c_custkey", "c_acctbal > -900")
+    suppliers = missing_where(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal > -900")
     return (
         customers.select(
             F.col("c_custkey").alias("gene"), F.col("c_nationkey").alias("chrom"), (F.col("c_custkey") + 0.5).alias("midpoint")
