@@ -11,12 +11,17 @@ class GateError(ValueError):
     """Rows broke a rule that has to hold."""
 
 
+def failing(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that fail the condition (NULL fails)."""
+    return df.filter(~F.coalesce(condition, F.lit(False)))
+
+
 def expect(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """df itself, after raising if any row fails the condition (NULL fails).
 
     Only a count and five example rows come to the driver.
     """
-    bad = df.filter(~F.coalesce(condition, F.lit(False)))
+    bad = failing(df, condition)
     count = bad.count()
     if count:
         raise GateError(f"{message}: {count} rows, e.g. {[r.asDict() for r in bad.take(5)]}")

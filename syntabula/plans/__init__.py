@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ("genome", "homology", "loci", "synteny", "ks", "evidence")
+AREAS = ("genome", "homology", "loci", "synteny", "ks", "evidence", "files")
 
 
 def load():

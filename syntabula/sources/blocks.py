@@ -21,13 +21,18 @@ BLOCKINFO_NUMBERS = ("pvalue", "length", "ks_median", "ks_average", "tandem_rati
 
 
 def read_collinearity(spark: SparkSession, path) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parse_blocks() of files."""
+    return parse_blocks(text_records(spark, path, "# Alignment "))
+
+
+def parse_blocks(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, pairs, rejects) of `# Alignment` files; a record is one whole block.
 
     blocks: path, block_id, score, pvalue, n, chr_pair, orientation. pairs: path,
     block_id, gene1, order1, gene2, order2, cls. Rejects are malformed headers and
     malformed rows. Text before the first block is a preamble of comment lines.
     """
-    records = text_records(spark, path, "# Alignment ").withColumn("value", F.regexp_replace("value", "\r", ""))
+    records = records.withColumn("value", F.regexp_replace("value", "\r", ""))
     header = F.substring_index("value", "\n", 1)
     known = records.withColumn("_h", header).withColumn("_ok", F.col("_h").rlike(HEADER))
 
@@ -68,8 +73,13 @@ def read_collinearity(spark: SparkSession, path) -> tuple[DataFrame, DataFrame,
 
 
 def read_anchors(spark: SparkSession, path) -> DataFrame:
+    """parse_anchors() of files."""
+    return parse_anchors(text_records(spark, path, "###"))
+
+
+def parse_anchors(records: DataFrame) -> DataFrame:
     """path, block_no, gene1, gene2. `###` opens a block; other `#` lines are skipped."""
-    records = text_records(spark, path, "###").withColumn("value", F.regexp_replace("value", "\r", ""))
+    records = records.withColumn("value", F.regexp_replace("value", "\r", ""))
     # Numbered before exploding: one row per block. Text before the first mark is block 0.
     numbered = with_rank(records, ["path"], [F.col("block"), F.col("row")], "_n")
     lines = numbered.select("path", (F.col("_n") - 1).alias("block_no"), F.explode(F.split("value", "\n")).alias("line"))

@@ -11,6 +11,11 @@ from .text import FILE_ORDER, text_records
 
 
 def read_fasta(spark: SparkSession, path, unique: bool = False) -> DataFrame:
+    """parse_fasta() of files."""
+    return parse_fasta(text_records(spark, path, "\n>"), unique)
+
+
+def parse_fasta(records: DataFrame, unique: bool = False) -> DataFrame:
     """seq_id, description, sequence and the place in the file, one row per record.
 
     Records are split on a line-starting `>`, so a `>` inside a description is
@@ -18,7 +23,7 @@ def read_fasta(spark: SparkSession, path, unique: bool = False) -> DataFrame:
     file and raises on repeats.
     """
     record = F.regexp_replace("value", "\r", "")
-    parts = text_records(spark, path, "\n>").withColumn("_r", F.regexp_replace(record, "^>", ""))
+    parts = records.withColumn("_r", F.regexp_replace(record, "^>", ""))
     header = F.substring_index("_r", "\n", 1)
     # What follows the first line break; nothing when there is none.
     body = F.when(F.instr("_r", "\n") > 0, F.expr("substr(_r, instr(_r, '\n') + 1)")).otherwise("")
@@ -40,6 +45,10 @@ def sequence_order(seqs: DataFrame) -> DataFrame:
     return with_rank(light, ["path"], [F.col("block"), F.col("row")], "ord").select("path", "seq_id", "ord")
 
 
+def fasta_records(df: DataFrame, seq_id: str = "seq_id", sequence: str = "sequence", width: int = 60) -> DataFrame:
+    """One text value per record: the header and the wrapped sequence."""
+    return df.select(F.concat(F.lit(">"), F.col(seq_id), F.lit("\n"), wrap_sequence(F.col(sequence), width)).alias("value"))
+
+
 def write_fasta(df: DataFrame, path: str, seq_id: str = "seq_id", sequence: str = "sequence", width: int = 60) -> None:
-    lines = F.concat(F.lit(">"), F.col(seq_id), F.lit("\n"), wrap_sequence(F.col(sequence), width))
-    df.select(lines.alias("value")).write.mode("overwrite").text(path)
+    fasta_records(df, seq_id, sequence, width).write.mode("overwrite").text(path)

@@ -9,9 +9,14 @@ from .text import data_lines, field, text_records, whole_number
 
 
 def read_gff(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """parse_gff() of files."""
+    return parse_gff(text_records(spark, path))
+
+
+def parse_gff(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nine columns with the attributes as a map; too few fields or non-integer
     coordinates are rejects."""
-    parts = data_lines(spark, path).withColumn("_f", F.split("value", "\t"))
+    parts = data_lines(records).withColumn("_f", F.split("value", "\t"))
     start, end = whole_number(field("_f", 3)), whole_number(field("_f", 4))
     issue = F.when(F.size("_f") < 9, "FEWER_THAN_NINE_FIELDS").when(start.isNull() | end.isNull(), "NON_INTEGER_COORDINATE")
     judged = parts.withColumn("issue", issue)
@@ -34,12 +39,17 @@ def gene_loci(features: DataFrame, feature: str = "gene") -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path, strict6: bool = True) -> tuple[DataFrame, DataFrame]:
+    """parse_bed() of files."""
+    return parse_bed(text_records(spark, path), strict6)
+
+
+def parse_bed(records: DataFrame, strict6: bool = True) -> tuple[DataFrame, DataFrame]:
     """chrom, start, end, gene_id, score, strand (half-open).
 
     strict6 wants exactly six tab fields. Otherwise four are enough, blanks may
     separate them, and the strand is looked for in column 6, then 5, else `+`.
     """
-    lines = data_lines(spark, path)
+    lines = data_lines(records)
     tabs = F.split("value", "\t")
     if strict6:
         parts = lines.withColumn("_f", tabs)
@@ -71,8 +81,13 @@ def read_bed(spark: SparkSession, path, strict6: bool = True) -> tuple[DataFrame
 
 
 def read_repeat_out(spark: SparkSession, path) -> DataFrame:
+    """parse_repeats() of files."""
+    return parse_repeats(text_records(spark, path))
+
+
+def parse_repeats(records: DataFrame) -> DataFrame:
     """chrom, start, end, repeat_class, category of the rows whose first field is an integer."""
-    parts = text_records(spark, path).withColumn("_f", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "))
+    parts = records.withColumn("_f", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "))
     return (
         parts.filter((F.size("_f") >= 11) & whole_number(field("_f", 0)).isNotNull())
         .select(
@@ -87,8 +102,13 @@ def read_repeat_out(spark: SparkSession, path) -> DataFrame:
 
 
 def read_chromosome_map(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """parse_chromosome_map() of files."""
+    return parse_chromosome_map(text_records(spark, path))
+
+
+def parse_chromosome_map(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """genome_id, repeat_id, display; rows without exactly two columns are rejects."""
-    parts = data_lines(spark, path).withColumn("_f", F.split("value", "\t"))
+    parts = data_lines(records).withColumn("_f", F.split("value", "\t"))
     rows = parts.filter(F.size("_f") == 2).select(
         F.trim(field("_f", 0)).alias("genome_id"),
         F.trim(field("_f", 1)).alias("repeat_id"),
@@ -99,9 +119,14 @@ def read_chromosome_map(spark: SparkSession, path) -> tuple[DataFrame, DataFrame
 
 
 def read_lens(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """parse_lens() of files."""
+    return parse_lens(text_records(spark, path))
+
+
+def parse_lens(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """chrom, length_bp, ordered_genes per file, and issues: short rows, repeated
     chromosomes, counts that are not positive."""
-    parts = data_lines(spark, path, comment=None).withColumn("_f", F.split(F.trim("value"), r"\s+"))
+    parts = data_lines(records, comment=None).withColumn("_f", F.split(F.trim("value"), r"\s+"))
     rows = parts.filter(F.size("_f") >= 3).select(
         "path",
         field("_f", 0).alias("chrom"),

@@ -16,8 +16,9 @@ HIT11 = {
 }
 
 
-def _read_typed(spark: SparkSession, path, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    lines = text_records(spark, path).withColumn("value", F.regexp_replace("value", "\r$", "")).filter(F.trim("value") != "")
+def parse_hits(records: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of as many cells as columns, and the malformed lines."""
+    lines = records.withColumn("value", F.regexp_replace("value", "\r$", "")).filter(F.trim("value") != "")
     parts = lines.withColumn("_f", F.split("value", "\t"))
 
     def cell(i: int, kind: str):
@@ -37,15 +38,20 @@ def _read_typed(spark: SparkSession, path, columns: dict[str, str]) -> tuple[Dat
 
 def read_hits12(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """Twelve-column hits and the malformed lines."""
-    return _read_typed(spark, path, HIT12)
+    return parse_hits(text_records(spark, path), HIT12)
 
 
 def read_hits11(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """Eleven-column hits with coverages and the malformed lines."""
-    return _read_typed(spark, path, HIT11)
+    return parse_hits(text_records(spark, path), HIT11)
 
 
 def read_domain_hits(spark: SparkSession, path) -> DataFrame:
+    """parse_domain_hits() of files."""
+    return parse_domain_hits(text_records(spark, path))
+
+
+def parse_domain_hits(records: DataFrame) -> DataFrame:
     """protein_id and application of the rows with at least four columns."""
-    parts = text_records(spark, path).withColumn("_f", F.split(F.regexp_replace("value", "\r$", ""), "\t"))
+    parts = records.withColumn("_f", F.split(F.regexp_replace("value", "\r$", ""), "\t"))
     return parts.filter(F.size("_f") >= 4).select(field("_f", 0).alias("protein_id"), field("_f", 3).alias("application"))

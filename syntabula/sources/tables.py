@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ids import natural_key
@@ -33,6 +32,13 @@ def read_table(
     columns are an error.
     """
     df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    return typed_cells(df, types, required, null_values)
+
+
+def typed_cells(
+    df: DataFrame, types: dict[str, str] | None = None, required: Sequence[str] = (), null_values: Sequence[str] = ("NA",)
+) -> DataFrame:
+    """Text columns with null values taken out and the wanted columns cast; see read_table()."""
     require_columns(df, [*required, *(types or {})])
     cells = {c: F.when(~F.col(f"`{c}`").isin(list(null_values)), F.col(f"`{c}`")) for c in df.columns} if null_values else {}
     if cells:
@@ -41,29 +47,31 @@ def read_table(
 
 
 def fixed(col: Column, digits: int) -> Column:
-    """Text with a fixed number of decimals, rounding the exact binary value; NULL stays.
-
-    Java's formatter rounds the shortest decimal form instead, which differs in ties.
-    """
+    """Text with a fixed number of decimals, rounding the exact binary value, half to even; NULL and NaN stay NULL."""
+    value = col.cast("double")
+    return F.when(~F.isnan(value), F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0")))
 
-    @F.pandas_udf("string")
-    def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
 
-    return text(col.cast("double"))
+def shown_cells(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
+    """df with the columns of digits as text of so many decimals."""
+    return df.withColumns({c: fixed(F.col(c), n) for c, n in digits.items()}) if digits else df
 
 
 def write_table(
     df: DataFrame, path: str, sep: str = "\t", digits: dict[str, int] | None = None, null_value: str = "NA"
 ) -> None:
     """TSV or CSV with a header; digits fixes the decimals of columns."""
-    shown = df.withColumns({c: fixed(F.col(c), n) for c, n in (digits or {}).items()}) if digits else df
-    shown.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", null_value).csv(path)
+    shown_cells(df, digits).write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", null_value).csv(path)
 
 
 def read_key_values(spark: SparkSession, path) -> DataFrame:
+    """parse_key_values() of files."""
+    return parse_key_values(text_records(spark, path))
+
+
+def parse_key_values(records: DataFrame) -> DataFrame:
     """path, key, value of `key=value` lines; the last line of a key wins."""
-    lines = text_records(spark, path).filter(F.col("value").contains("="))
+    lines = records.filter(F.col("value").contains("="))
     return (
         lines.select(
             "path",
@@ -84,7 +92,11 @@ def pivot_keys(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def read_busco(spark: SparkSession, path) -> DataFrame:
     """Completeness parts of each file's last summary line; NULLs without one. Files are short reports."""
-    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return parse_busco(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
+
+
+def parse_busco(texts: DataFrame) -> DataFrame:
+    """The same for whole texts: value, path."""
     return texts.select(
         "path",
         *[

@@ -1,7 +1,8 @@
 """Text readers shared by the format readers.
 
 Every reader takes a path, a glob or a list of them; compressed files work by their
-extension. Readers that can meet malformed rows return (rows, rejects).
+extension. Readers that can meet malformed rows return (rows, rejects). Each reader is
+text_records() and a parser; parsers take any table of value, path, block and row.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ def text_records(spark: SparkSession, path, separator: str | None = None) -> Dat
     )
 
 
-def data_lines(spark: SparkSession, path, comment: str | None = "#") -> DataFrame:
+def data_lines(records: DataFrame, comment: str | None = "#") -> DataFrame:
     """Non-blank lines without their carriage return and without comment lines."""
-    lines = text_records(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = records.withColumn("value", F.regexp_replace("value", "\r$", ""))
     lines = lines.filter(F.trim("value") != "")
     return lines if comment is None else lines.filter(~F.startswith(F.col("value"), F.lit(comment)))
 
