@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .scale import first_per_group
+from .scale import distinct_in, first_per_group
 
 HIT12 = (
     "qseqid", "sseqid", "pident", "length", "mismatch", "gapopen",
@@ -94,14 +94,17 @@ def homology_qc(
     counted = pairs.groupBy(*keys).agg(
         F.sum("_n").alias("homology_rows"),
         F.count("*").alias("unique_gene_pairs"),
-        F.count_distinct(query).alias("unique_queries"),
-        F.count_distinct(subject).alias("unique_subjects"),
         (F.sum("_ident") / F.sum("_n")).alias("mean_percent_identity"),
         (F.sum("_score") / F.sum("_n")).alias("mean_bitscore"),
         F.sum("_zero").alias("zero_evalue_rows"),
         F.sum(F.when(F.col(query) == F.col(subject), F.col("_n")).otherwise(0)).alias("self_identity_rows"),
     )
-    return counted.join(totals.select(*keys, "n1", "n2"), keys).withColumns(
+    # A group without hits keeps its row, with counts of zero.
+    joined = totals.select(*keys, "n1", "n2").join(counted, keys, "full")
+    for column, name in ((query, "unique_queries"), (subject, "unique_subjects")):
+        joined = joined.join(distinct_in(pairs, keys, column, name), keys, "left")
+    counts = ("homology_rows", "unique_gene_pairs", "zero_evalue_rows", "self_identity_rows", "unique_queries", "unique_subjects")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts}).withColumns(
         {
             "duplicate_gene_pairs": F.col("homology_rows") - F.col("unique_gene_pairs"),
             "query_gene_coverage": F.try_divide("unique_queries", "n1"),

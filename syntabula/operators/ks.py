@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import peaks as P
 from ..session import cut_lineage
-from .scale import exact_quantiles, largest_group, spread
+from .scale import exact_quantiles, spread
 
 # Block limits.
 MAX_PVALUE, MIN_LENGTH, MIN_KS, MAX_KS, MAX_TANDEM = 0.2, 10, 0.0, 3.0, 0.5
@@ -132,7 +132,7 @@ def histogram(
         .agg(F.count("*").alias("n"))
     )
     axis = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
-    every = counts.select(*by).distinct().withColumn("bin", F.explode(axis))
+    every = values.select(*by).distinct().withColumn("bin", F.explode(axis))
     return every.join(counts, [*by, "bin"], "left").select(
         *by,
         "bin",
@@ -456,35 +456,28 @@ def bootstrap_support(
     min_support: float = 0.60,
     factor: float = 1.0,
     spec: KdeSpec = SPEC,
-    bucket_rows: int = 20_000,
+    buckets: int = 16,
 ) -> DataFrame:
     """How often each reference peak returns in resamples of the values.
 
     references: by, peak_rank, location, log_location, bandwidth_support. Resampling
     n values with replacement is a multinomial over the distinct values, so equal
-    values cost one kernel. Groups of at most bucket_rows distinct values resample
-    in one task per few replicates; larger ones in two levels (_resample_large).
-    Draws depend on group, bucket and replicate only, not on partitioning.
+    values cost one kernel. It is drawn in two levels for every group, whatever its
+    size: first into `buckets` parts of the values, then within a part (_resample).
+    Draws depend on group, bucket and replicate only, not on partitioning; a task
+    holds one part, so `buckets` bounds the memory for very large groups.
     """
     weighted = cut_lineage(_weighted(values, by, value, spec))
     return _bootstrap(
-        weighted, cut_lineage(references), by, replicates, seed, tolerance, min_support, factor, spec, bucket_rows
+        weighted, cut_lineage(references), by, replicates, seed, tolerance, min_support, factor, spec, buckets
     )
 
 
-def _bootstrap(weighted, references, by, replicates, seed, tolerance, min_support, factor, spec, bucket_rows) -> DataFrame:
+def _bootstrap(weighted, references, by, replicates, seed, tolerance, min_support, factor, spec, buckets) -> DataFrame:
     keys = list(by)
     stats = _log_stats(weighted, keys, spec)
     plan = _Resampling(keys, [weighted.schema[c] for c in keys], replicates, seed, factor, spec)
-    if largest_group(weighted, keys) <= bucket_rows:
-        found = _resample_small(weighted, plan)
-    else:
-        sized = weighted.join(
-            weighted.groupBy(*keys).agg(F.ceil(F.count("*") / bucket_rows).alias("_buckets")), keys
-        )
-        found = _resample_small(sized.filter("_buckets = 1"), plan).unionByName(
-            _resample_large(sized.filter("_buckets > 1"), plan)
-        )
+    found = _resample(weighted, buckets, plan)
     # Peaks per curve are few; references per group too.
     near = (
         references.select(*keys, "peak_rank", F.col("log_location").alias("_ref"))
@@ -536,32 +529,8 @@ class _Resampling:
         return [(*key, r, loc, math.log(loc)) for loc, _, _ in accept_peaks(density, low, high, self.spec)]
 
 
-def _resample_small(weighted: DataFrame, plan: _Resampling) -> DataFrame:
-    """Peaks of every resample; a task holds one group's distinct values and a few replicates."""
-    keys, grid = plan.keys, plan.spec.grid
-    schema = plan.schema("location", "log_location")
-
-    def resample(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_v")
-        v, w = pdf["_v"].to_numpy(), pdf["_w"].to_numpy(dtype=float)
-        x, n, rows = np.log(v), int(w.sum()), []
-        first = int(key[-1]) * plan.per_task
-        for r in range(first, min(first + plan.per_task, plan.replicates)):
-            drawn = _replicate_seed(plan.seed, *key[:-1], r).multinomial(n, w / n).astype(float)
-            mean = float(x @ drawn) / n
-            sd = math.sqrt(float((x - mean) ** 2 @ drawn) / (n - 1))
-            hit = drawn > 0
-            if sd > 0:
-                density = P.kernel_sum(grid, x[hit], drawn[hit], n ** (-0.2) * plan.factor * sd) / np.exp(grid)
-                rows += plan.peaks(key[:-1], r, density, float(v[hit].min()), float(v[hit].max()))
-        return pd.DataFrame(rows, columns=schema.names)
-
-    tasks = weighted.select(*keys, "_v", "_w").withColumn("_chunk", plan.chunks())
-    return spread(tasks, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(resample, schema)
-
-
-def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
-    """The same for groups spread over several value buckets.
+def _resample(weighted: DataFrame, buckets: int, plan: _Resampling) -> DataFrame:
+    """Peaks of every resample.
 
     First it is drawn how many of the n draws fall into each bucket, then the draws
     inside a bucket: together a multinomial over all values, with no task holding
@@ -569,7 +538,7 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
     pass for the moments and one for the densities, which repeat the same draws.
     """
     keys, grid = plan.keys, plan.spec.grid
-    bucketed = sized.withColumn("_b", F.pmod(F.xxhash64("_v"), "_buckets"))
+    bucketed = weighted.withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(buckets)).cast("long"))
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
 
     def deal(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -631,12 +600,12 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
     )
     # One entry per replicate.
     lookup = widths.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("replicate", "_width"))).alias("_widths"))
-    summed = plan.schema(arrays=["part"])
+    summed = T.StructType([*plan.schema(arrays=["part"]).fields, T.StructField("_b", T.LongType())])
 
     def kernel(key: tuple[Any, ...], values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
         width_of = dict(task["_widths"].iloc[0])
         rows = [
-            (*key[:-2], r, P.kernel_sum(grid, np.log(v), w, width_of[r]).tolist())
+            (*key[:-2], r, P.kernel_sum(grid, np.log(v), w, width_of[r]).tolist(), int(key[-2]))
             for r, v, w in resamples(key, values, task)
             if width_of.get(r)
         ]
@@ -646,8 +615,8 @@ def _resample_large(sized: DataFrame, plan: _Resampling) -> DataFrame:
     found = plan.schema("location", "log_location")
 
     def recover(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        # One short vector per bucket; a common scale does not move peaks.
-        density = np.sum(np.stack(pdf["part"].to_list()), axis=0) / np.exp(grid)
+        # One vector per part, so `buckets` of them; a common scale does not move peaks.
+        density = np.sum(np.stack(pdf.sort_values("_b")["part"].to_list()), axis=0) / np.exp(grid)
         rows = plan.peaks(key[:-1], int(key[-1]), density, pdf["_lo"].iloc[0], pdf["_hi"].iloc[0])
         return pd.DataFrame(rows, columns=found.names)
 
@@ -675,26 +644,28 @@ def nearest_within(
     rows = ref.select(*keys, F.struct(*ref.columns).alias("_row"), F.col(ref_x).cast("double").alias("_x")).withColumn(
         "_b", bucket(F.col("_x"))
     )
-    line = W.partitionBy(*keys, "_b").orderBy("_x")
-    upto, onward = line.rangeBetween(W.unboundedPreceding, 0), line.rangeBetween(0, W.unboundedFollowing)
-    both = rows.withColumn("_c", F.lit(None).cast("double")).unionByName(
-        points.withColumn("_c", F.col("_x")), allowMissingColumns=True
-    )
-    local = (
-        both.withColumn("_below", F.max("_c").over(upto))
-        .withColumn("_above", F.min("_c").over(onward))
-        .filter(F.col("_row").isNotNull())
-    )
+    # One pass up and one down, each with a growing frame: linear in the bucket. Equal
+    # values are one row there, and the full rows stay out of it.
+    wanted = rows.select(*keys, "_x", "_b").distinct().withColumns({"_c": F.lit(None).cast("double"), "_ask": F.lit(True)})
+    both = wanted.unionByName(points.withColumns({"_c": F.col("_x"), "_ask": F.lit(False)}))
+    cell = W.partitionBy(*keys, "_b")
+    upto = cell.orderBy("_x").rangeBetween(W.unboundedPreceding, 0)
+    downto = cell.orderBy(F.desc("_x")).rangeBetween(W.unboundedPreceding, 0)
+    local = both.withColumn("_below", F.max("_c").over(upto)).withColumn("_above", F.min("_c").over(downto)).filter("_ask")
     options = F.filter(
         F.array("_below", "_above", "_before", "_after"),
         lambda c: c.isNotNull() & (F.abs(c - F.col("_x")) <= tolerance),
     )
     ranked = F.array_sort(F.transform(options, lambda c: F.struct(F.abs(c - F.col("_x")).alias("gap"), c.alias("at"))))
-    return (
+    found = (
         local.join(before, [*keys, "_b"], "left")
         .join(after, [*keys, "_b"], "left")
-        .select("_row.*", F.get(ranked, F.lit(0))["at"].alias(name))
+        .select(*keys, "_x", F.get(ranked, F.lit(0))["at"].alias(name))
     )
+    same = F.lit(True)
+    for c in (*keys, "_x"):
+        same = same & rows[c].eqNullSafe(found[c])
+    return rows.join(found, same, "left").select(rows["_row"].alias("_row"), found[name]).select("_row.*", name)
 
 
 def cross_dataset_class(
@@ -729,7 +700,7 @@ def validated_peaks(
     peaks = kde_peaks(_kde(weighted, keys, FACTORS, spec), [*keys, "factor"], spec)
     references = cut_lineage(bandwidth_consensus(peaks, keys))
     supported = cut_lineage(
-        _bootstrap(weighted, references, keys, replicates, 20260805, 0.12, 0.60, 1.0, spec, 20_000)
+        _bootstrap(weighted, references, keys, replicates, 20260805, 0.12, 0.60, 1.0, spec, 16)
     )
     valid = supported.filter("valid").withColumn("location", F.col("bootstrap_median"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import id_variants
-from .scale import first_per_group, with_rank
+from .scale import expect_known, first_per_group, with_rank
 
 
 def gene_order(loci: DataFrame, by: Sequence[str], order: Sequence[str] = ("start", "end", "gene_id")) -> DataFrame:
@@ -191,12 +191,12 @@ def genes_per_chromosome(loci: DataFrame, chroms: DataFrame, by: Sequence[str])
 
 
 def span_totals(loci: DataFrame, lengths: DataFrame, by: Sequence[str], chrom: str = "chrom", length: str = "length_bp") -> DataFrame:
-    """Genome bp of the chromosomes in use and summed gene spans, per group."""
+    """Genome bp of the chromosomes in use and summed gene spans, per group; a chromosome without length is an error."""
     used = loci.groupBy(*by, chrom).agg(
         F.sum(F.col("end") - F.col("start")).alias("_span"), F.count("*").alias("_genes")
     )
     return (
-        used.join(lengths.select(*by, chrom, length), [*by, chrom])
+        expect_known(used, lengths.select(*by, chrom, length), [*by, chrom], "chromosome without length")
         .groupBy(*by)
         .agg(
             F.count("*").alias("chromosomes_used"),

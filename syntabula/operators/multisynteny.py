@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scale import expect_known
+
 BY = ("comparison",)
 
 
@@ -64,7 +66,10 @@ def depth_summary(depth: DataFrame, totals: DataFrame, by: Sequence[str] = BY, n
     def share(part: str, whole: Column) -> Column:
         return F.coalesce(F.try_divide(F.col(part), whole), F.lit(0.0))
 
-    return flat.join(totals.select(*by, "ordered_genes"), list(by)).withColumns(
+    # A comparison without any partner keeps its row.
+    every = totals.select(*by, "ordered_genes").join(flat, list(by), "full")
+    counted = {c: F.coalesce(c, F.lit(0).cast("long")) for c in flat.columns if c not in by}
+    return every.withColumns(counted).withColumns(
         {
             "genes_with_0_partners": zero,
             "fraction_any_partner": share("genes_with_any_partner", ordered),
@@ -107,7 +112,9 @@ def ranked_partners(support: DataFrame, pairs: DataFrame, tgt_order: DataFrame,
     totals = pairs.groupBy(*keys).agg(F.count_distinct("ref_gene").alias("ref_chr_genes"))
     best = W.partitionBy(*keys).orderBy(F.desc("ref_genes"), F.desc("gene_pairs"), "_tgt_rank")
     return (
-        support.join(tgt_order.select(*by, "tgt_chr", F.col("rank").alias("_tgt_rank")), [*by, "tgt_chr"])
+        expect_known(
+            support, tgt_order.select(*by, "tgt_chr", F.col("rank").alias("_tgt_rank")), [*by, "tgt_chr"], "target chromosome without rank"
+        )
         .withColumn("target_rank", F.row_number().over(best))
         .join(totals, keys)
         .withColumn("support_fraction", F.col("ref_genes") / F.col("ref_chr_genes"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import parse_gene_list
-from .scale import exact_quantiles, first_per_group, with_rank
+from .scale import distinct_in, exact_quantiles, first_per_group, with_rank
 
 
 def unordered_pairs(
@@ -15,15 +15,18 @@ def unordered_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs without x=x; self comparisons ignore the order within a pair.
 
+    A pair with a missing gene is never a pair with itself: it counts in the raw number only.
+
     Returns (pairs, counts per group: raw, self, repeated, reverse, retained).
     """
     keys = list(by)
     flagged = pairs.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"), is_self.alias("_self"))
+    turned = F.col("_self") & (F.col("_a") > F.col("_b"))
     named = flagged.select(
         *keys,
         "_self",
-        F.when(F.col("_self"), F.least("_a", "_b")).otherwise(F.col("_a")).alias(a),
-        F.when(F.col("_self"), F.greatest("_a", "_b")).otherwise(F.col("_b")).alias(b),
+        F.when(turned, F.col("_b")).otherwise(F.col("_a")).alias(a),
+        F.when(turned, F.col("_a")).otherwise(F.col("_b")).alias(b),
     )
     seen = named.groupBy(*keys, "_self", a, b).agg(F.count("*").alias("_n"))
     kept = seen.filter(F.col(a) != F.col(b)).select(*keys, a, b)
@@ -200,13 +203,17 @@ def collinearity_qc(
         F.count("*").alias("unique_collinear_gene_pairs"),
         F.sum(F.col("_n") - 1).alias("duplicate_gene_pairs"),
         F.sum(F.when(F.col("gene1") == F.col("gene2"), F.col("_n")).otherwise(0)).alias("same_gene_pairs"),
-        F.count_distinct("gene1").alias("species1_genes_in_blocks"),
-        F.count_distinct("gene2").alias("species2_genes_in_blocks"),
     )
+    # A group without blocks or without pairs keeps its row, with counts of zero.
+    joined = totals.select(*keys, "n1", "n2").join(per_block, keys, "full").join(middle, keys, "left").join(per_pair, keys, "full")
+    for gene, name in (("gene1", "species1_genes_in_blocks"), ("gene2", "species2_genes_in_blocks")):
+        joined = joined.join(distinct_in(distinct, keys, gene, name), keys, "left")
+    counts = [
+        "block_count", "plus_blocks", "minus_blocks", "other_orientation_blocks", "block_size_mismatches", "collinear_gene_pairs",
+        "unique_collinear_gene_pairs", "duplicate_gene_pairs", "same_gene_pairs", "species1_genes_in_blocks", "species2_genes_in_blocks",
+    ]
     return (
-        per_block.join(middle, keys)
-        .join(per_pair, keys)
-        .join(totals.select(*keys, "n1", "n2"), keys)
+        joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts})
         .withColumn("species1_block_gene_coverage", F.try_divide("species1_genes_in_blocks", "n1"))
         .withColumn("species2_block_gene_coverage", F.try_divide("species2_genes_in_blocks", "n2"))
     )

@@ -11,6 +11,8 @@ from ..session import cut_lineage
 # A plain window sorts one whole group in one task; beyond this many rows in the
 # largest group the range-partitioned form is used.
 WINDOW_GROUP_ROWS = 4_000_000
+# Rows of a range partition.
+SLICE_ROWS = 2_000_000
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -27,14 +29,18 @@ def with_rank(
 ) -> DataFrame:
     """1-based row number per group under a total order.
 
+    Columns that the order does not name follow it, so rows that still tie are equal and
+    the numbers don't depend on the size of a group.
+
     The largest group is measured first. Small groups take the built-in window.
     Otherwise rows are range-partitioned on (by, order), so that a hot group is
     spread over many slices; each slice is numbered on its own and shifted by the
     number of that group's rows in earlier slices.
     """
+    order = [*order, *[F.col(f.name) for f in df.schema if f.name not in by and f.dataType.typeName() not in ("map", "variant")]]
     if by and largest_group(df, by) <= group_rows:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
     keys = [F.col(c) for c in by]
     # The slice number has to stay the same in both branches below, also after a
     # lost executor: hence the written copy.
@@ -73,16 +79,36 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, str]]) -> DataFrame:
     """First row of each group; an aggregate, so hot groups combine map-side.
 
-    order lists (column, "asc" | "desc"); descending columns must be numeric.
+    order lists (column, "asc" | "desc"); descending columns must be numeric. A null
+    comes after every value, whichever way the column is ordered.
     """
-    rank = F.struct(
-        *[(F.col(c) if way == "asc" else -F.col(c)).alias(f"o{i}") for i, (c, way) in enumerate(order)]
-    )
+    parts = []
+    for i, (c, way) in enumerate(order):
+        parts += [F.col(c).isNull().alias(f"n{i}"), (F.col(c) if way == "asc" else -F.col(c)).alias(f"o{i}")]
+    rank = F.struct(*parts)
     rest = [c for c in df.columns if c not in by]
     picked = df.groupBy(*by).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
     return picked.select(*[F.col(c) if c in by else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def distinct_in(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Distinct non-null values per group, as its own two-step aggregate.
+
+    Two distinct counts in one aggregate would copy every row per count.
+    """
+    once = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.lit(1).alias("_one"))
+    return once.groupBy(*by).agg(F.count("*").alias(name))
+
+
+def expect_known(df: DataFrame, known: DataFrame, on: Sequence[str], what: str) -> DataFrame:
+    """Inner join that fails on a row of df without a partner instead of dropping it."""
+    joined = df.join(known.withColumn("_known", F.lit(True)), list(on), "left")
+    key = on[-1]
+    text = F.concat(F.lit(f"{what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(text).cast(df.schema[key].dataType))
+    return joined.withColumn(key, checked).drop("_known")
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -119,12 +145,13 @@ def exact_quantiles(
             F.when(small, F.array_repeat("_max", width)).otherwise(F.slice("_q", width + 1, width)).alias("_high"),
         )
     )
-    # One row per group: AQE broadcasts it when small, else splits skewed partitions.
     joined = data.join(brackets, list(by))
     passed = sum(
         (F.col("_v") >= F.col("_low")[i]).cast("int") for i in range(width)
     )
-    spread = joined.withColumn("_segment", passed)
+    # Dealt out anew by value: else the count below would reuse the join's partitioning
+    # by group, with all rows of a hot group in one task that no one may split.
+    spread = joined.withColumn("_segment", passed).repartition(*by, "_segment", "_v")
     inside = (F.col("_segment") > 0) & (F.col("_v") <= F.get("_high", F.col("_segment") - 1))
     collapsed = (
         spread.withColumn("_outside", ~inside)

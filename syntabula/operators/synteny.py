@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ids import natural_key, ploidy_number
 from ..session import cut_lineage
-from .scale import with_rank
+from .scale import expect_known, with_rank
 
 BY = ("comparison",)
 
@@ -60,6 +60,8 @@ def dense_matrix(
 ) -> DataFrame:
     """Every cell of the ref x target axes with its ranks, zero where nothing is supported.
 
+    Support for a chromosome that is on neither axis is an error.
+
     The result has one row per cell by definition; the target axis of a comparison
     (a chromosome list) travels as one array.
     """
@@ -69,9 +71,10 @@ def dense_matrix(
         .join(axis, list(by))
         .select(*by, "ref_chr", "ref_rank", F.inline("_axis"))
     )
-    return cells.join(support.select(*by, "ref_chr", "tgt_chr", value), [*by, "ref_chr", "tgt_chr"], "left").withColumn(
-        value, F.coalesce(value, F.lit(0))
-    )
+    joined = cells.join(support.select(*by, "ref_chr", "tgt_chr", value), [*by, "ref_chr", "tgt_chr"], "full")
+    off = F.raise_error(F.concat(F.lit("support off the axes: "), F.concat_ws(" ", "ref_chr", "tgt_chr")))
+    placed = F.when(F.col("ref_rank").isNotNull(), F.coalesce(value, F.lit(0))).otherwise(off.cast(support.schema[value].dataType))
+    return joined.withColumn(value, placed)
 
 
 def wide_matrix(dense: DataFrame, targets: Sequence, value: str, by: Sequence[str] = BY) -> DataFrame:
@@ -237,7 +240,8 @@ def order_targets(matrix: DataFrame, ref_order: DataFrame, targets: DataFrame, b
     """
     keys = list(by)
     axis = ref_order.groupBy(*keys).agg(F.count("*").alias("_axis"), F.min_by("ref_chr", "rank").alias("_first"))
-    ranked = matrix.join(ref_order.select(*keys, "ref_chr", "rank"), [*keys, "ref_chr"]).filter("n > 0")
+    found = matrix.filter("n > 0")
+    ranked = expect_known(found, ref_order.select(*keys, "ref_chr", "rank"), [*keys, "ref_chr"], "reference chromosome without rank")
     stats = ranked.groupBy(*keys, "tgt_chr").agg(
         F.max_by(F.struct("ref_chr", "rank", "n"), F.struct("n", -F.col("rank"))).alias("_s"),
         F.sum("n").alias("total_anchors"),
@@ -272,7 +276,8 @@ def orientation(
     keys = list(by)
     ref = ref_order.join(ref_lengths.select(*keys, "ref_chr", F.col("length_bp").alias("_rl")), [*keys, "ref_chr"])
     tgt = tgt_lengths.select(*keys, "tgt_chr", F.col("length_bp").alias("_tl"))
-    placed = mapped.join(ref.select(*keys, "ref_chr", "rank", "_rl"), [*keys, "ref_chr"]).join(tgt, [*keys, "tgt_chr"])
+    known = expect_known(mapped, ref.select(*keys, "ref_chr", "rank", "_rl"), [*keys, "ref_chr"], "reference chromosome without rank or length")
+    placed = expect_known(known, tgt, [*keys, "tgt_chr"], "target chromosome without length")
     x = F.col("rank") + F.col("ref_mid") / F.greatest(F.lit(1), F.col("_rl"))
     y = F.col("tgt_mid") / F.greatest(F.lit(1), F.col("_tl"))
     # Pearson r from its parts: the built-in corr fails on a constant side.
@@ -374,11 +379,9 @@ def link_positions(
             *[F.col(c).alias(f"_{prefix}_{c}") for c in ("length_bp", "start", "end")],
         )
 
-    joined = (
-        mapped.join(side(ref_layout, "ref"), [*keys, "ref_chr"])
-        .join(side(tgt_layout, "tgt"), [*keys, "tgt_chr"])
-        .join(signs.select(*keys, "tgt_chr", "orientation"), [*keys, "tgt_chr"])
-    )
+    joined = expect_known(mapped, side(ref_layout, "ref"), [*keys, "ref_chr"], "reference chromosome without place")
+    targets = side(tgt_layout, "tgt").join(signs.select(*keys, "tgt_chr", "orientation"), [*keys, "tgt_chr"])
+    joined = expect_known(joined, targets, [*keys, "tgt_chr"], "target chromosome without place or sign")
     x = {
         p: link_x(F.col(f"{p}_mid"), F.col(f"_{p}_length_bp"), F.col(f"_{p}_start"), F.col(f"_{p}_end"), s)
         for p, s in (("ref", None), ("tgt", F.col("orientation")))

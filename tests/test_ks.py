@@ -59,7 +59,7 @@ def test_consensus_and_bootstrap(spark):
     again = {(r["k"], r["peak_rank"]): r for r in ks.bootstrap_support(df.repartition(3), references, ["k"], "v", **args).collect()}
     large = {
         (r["k"], r["peak_rank"]): r
-        for r in ks.bootstrap_support(df, references, ["k"], "v", bucket_rows=90, **args).collect()
+        for r in ks.bootstrap_support(df, references, ["k"], "v", buckets=3, **args).collect()
     }
     assert len(small) == 4 and small == again
     for key, row in small.items():
@@ -70,13 +70,39 @@ def test_consensus_and_bootstrap(spark):
         assert abs(math.log(other["bootstrap_median"] / row["bootstrap_median"])) < 0.03
 
 
+def test_bootstrap_does_not_depend_on_other_groups(spark):
+    """A group gives the same numbers alone and beside a much larger one."""
+    small, large = two_hills(), two_hills(3000, 3)
+    both = frame(spark, {"a": small, "b": large})
+    references = ks.bandwidth_consensus(ks.kde_peaks(ks.log_kde(both, ["k"], "v"), ["k", "factor"]), ["k"])
+    got = [
+        [tuple(r) for r in ks.bootstrap_support(df, references.filter("k = 'a'"), ["k"], "v", replicates=20).orderBy("peak_rank").collect()]
+        for df in (both, frame(spark, {"a": small}))
+    ]
+    assert got[0] == got[1]
+
+
+def test_nearest_within_one_full_bucket(spark):
+    """Linear work in one bucket, ties and repeated rows included."""
+    n = 40_000
+    ref = spark.range(n).selectExpr("'k' AS k", "id", "id * 1e-6 AS x")
+    cand = spark.range(n).selectExpr("'k' AS k", "id * 1e-6 + 3e-7 AS y")
+    got = ks.nearest_within(ref.union(ref.limit(5)), cand, ["k"], "x", "y", 0.12)
+    assert got.count() == n + 5 and got.filter("nearest IS NULL OR abs(nearest - x) > 4e-7").count() == 0
+
+
+def test_histogram_keeps_groups_out_of_range(spark):
+    got = ks.histogram(frame(spark, {"a": [0.1], "b": [7.0, 8.0]}), ["k"], "v")
+    assert got.groupBy("k").sum("n").orderBy("k").collect() == [("a", 1), ("b", 0)]
+
+
 def test_resampled_spread_is_the_same_in_two_levels(spark):
     """Widths of interval come out alike when a group is spread over buckets."""
     df = frame(spark, {"a": two_hills(500, 4)})
     references = ks.bandwidth_consensus(ks.kde_peaks(ks.log_kde(df, ["k"], "v"), ["k", "factor"]), ["k"])
     spans = []
-    for rows_per_bucket in (20_000, 60):
-        got = ks.bootstrap_support(df, references, ["k"], "v", replicates=120, bucket_rows=rows_per_bucket)
+    for buckets in (1, 16):
+        got = ks.bootstrap_support(df, references, ["k"], "v", replicates=120, buckets=buckets)
         spans.append([r["bootstrap_upper"] - r["bootstrap_lower"] for r in got.orderBy("peak_rank").collect()])
     assert np.allclose(spans[0], spans[1], rtol=0.5)
 

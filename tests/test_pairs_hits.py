@@ -120,3 +120,29 @@ def test_validate_hits(spark, length, issue):
     ids = spark.createDataFrame([("a",)], "id string")
     checked = hits.validate_hits(spark.createDataFrame([row]), ids, ids).first()
     assert checked["invalid_id"] and checked["malformed"] is issue
+
+
+def test_null_score_never_wins(spark):
+    schema = "qseqid string, sseqid string, evalue double, bitscore double, pident double, qstart long"
+    data = [("q", "s", 1e-9, None, 99.0, 1), ("q", "s", 1e-9, 50.0, 10.0, 2), ("q", "s", None, 90.0, 99.0, 3)]
+    assert hits.best_pair_hit(spark.createDataFrame(data, schema)).collect()[0]["qstart"] == 2
+
+
+def test_pair_with_a_missing_gene_is_no_self_pair(spark):
+    df = spark.createDataFrame([("c", 1, None), ("c", 2, 1), ("c", 1, 2), ("c", 3, 3)], "c string, a long, b long")
+    kept, counts = pairs.unordered_pairs(df, ["c"], "a", "b", F.lit(True))
+    assert [tuple(r) for r in kept.collect()] == [("c", 1, 2)]
+    row = counts.collect()[0]
+    assert (row["raw_assignments"], row["self_pairs_removed"], row["retained_pairs"]) == (4, 1, 1)
+
+
+def test_comparison_without_pairs_keeps_its_row(spark):
+    blocks = spark.createDataFrame([("x", 1, 1.0, 0.1, 2, "plus"), ("y", 2, 1.0, 0.1, 0, "minus")], "c string, block_id long, score double, pvalue double, n long, orientation string")
+    members = spark.createDataFrame([("x", 1, 10, 20), ("x", 1, 11, 20)], "c string, block_id long, gene1 long, gene2 long")
+    totals = spark.createDataFrame([("x", 50, 60), ("y", 50, 60), ("z", 1, 1)], "c string, n1 long, n2 long")
+    got = {r["c"]: r for r in pairs.collinearity_qc(blocks, members, ["c"], totals).collect()}
+    assert set(got) == {"x", "y", "z"} and got["x"]["species1_genes_in_blocks"] == 2 and got["x"]["species2_genes_in_blocks"] == 1
+    assert got["y"]["collinear_gene_pairs"] == 0 and got["y"]["block_count"] == 1 and got["z"]["block_count"] == 0
+    found = spark.createDataFrame([("x", 1, 2, 90.0, 5.0, 0.0)], "c string, qseqid long, sseqid long, pident double, bitscore double, evalue double")
+    qc = {r["c"]: r for r in hits.homology_qc(found, ["c"], totals).collect()}
+    assert qc["x"]["unique_queries"] == 1 and qc["y"]["homology_rows"] == 0 and qc["z"]["query_gene_coverage"] == 0

@@ -155,3 +155,18 @@ def test_published_fractions_are_consistent(spark):
     assert (row["genes_with_any_partner"], row["genes_with_0_partners"]) == (1152, 48205)
     got = [f"{row[c]:.8f}" for c in ("fraction_any_partner", "fraction_1_partner", "fraction_2_partners", "fraction_gt2_partners")]
     assert got == ["0.02334015", "0.98090278", "0.01562500", "0.00347222"]
+
+
+def test_unknown_chromosomes_are_an_error(spark):
+    """A chromosome that the order table lacks must not vanish."""
+    from syntabula.operators import multisynteny as ms
+    from syntabula.operators import synteny
+
+    support = spark.createDataFrame([("c", "r1", "t9", 5, 9), ("c", "r1", "t1", 3, 4)], "comparison string, ref_chr string, tgt_chr string, ref_genes long, gene_pairs long")
+    pairs = spark.createDataFrame([("c", "r1", "g")], "comparison string, ref_chr string, ref_gene string")
+    order = spark.createDataFrame([("c", "t1", 1)], "comparison string, tgt_chr string, rank int")
+    with pytest.raises(Exception, match="target chromosome without rank: t9"):
+        ms.ranked_partners(support, pairs, order).collect()
+    refs = spark.createDataFrame([("c", "r1", 1)], "comparison string, ref_chr string, rank int")
+    with pytest.raises(Exception, match="support off the axes: r1 t9"):
+        synteny.dense_matrix(support, refs, order, "gene_pairs").collect()
