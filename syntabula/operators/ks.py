@@ -456,7 +456,7 @@ def bootstrap_support(
     min_support: float = 0.60,
     factor: float = 1.0,
     spec: KdeSpec = SPEC,
-    buckets: int = 16,
+    buckets: int = 4,
 ) -> DataFrame:
     """How often each reference peak returns in resamples of the values.
 
@@ -515,7 +515,7 @@ class _Resampling:
     seed: int
     factor: float
     spec: KdeSpec
-    per_task: int = 50
+    per_task: int = 125
 
     def chunks(self):
         return F.explode(F.sequence(F.lit(0), F.lit(math.ceil(self.replicates / self.per_task) - 1)))
@@ -700,7 +700,7 @@ def validated_peaks(
     peaks = kde_peaks(_kde(weighted, keys, FACTORS, spec), [*keys, "factor"], spec)
     references = cut_lineage(bandwidth_consensus(peaks, keys))
     supported = cut_lineage(
-        _bootstrap(weighted, references, keys, replicates, 20260805, 0.12, 0.60, 1.0, spec, 16)
+        _bootstrap(weighted, references, keys, replicates, 20260805, 0.12, 0.60, 1.0, spec, 4)
     )
     valid = supported.filter("valid").withColumn("location", F.col("bootstrap_median"))
 

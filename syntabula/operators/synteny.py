@@ -236,12 +236,12 @@ def order_targets(matrix: DataFrame, ref_order: DataFrame, targets: DataFrame, b
     ref_order: by, ref_chr, rank. targets: by, tgt_chr, number (999 if it has none).
     Sorted by rank of the strongest reference, anchor-weighted mean rank, strongest
     count, natural name. Without anchors the strongest reference is the first one
-    and the position is the axis length plus the number.
+    and the position is the axis length plus the number. Anchors on reference
+    chromosomes outside the axis have no place on it and do not count.
     """
     keys = list(by)
     axis = ref_order.groupBy(*keys).agg(F.count("*").alias("_axis"), F.min_by("ref_chr", "rank").alias("_first"))
-    found = matrix.filter("n > 0")
-    ranked = expect_known(found, ref_order.select(*keys, "ref_chr", "rank"), [*keys, "ref_chr"], "reference chromosome without rank")
+    ranked = matrix.join(ref_order.select(*keys, "ref_chr", "rank"), [*keys, "ref_chr"]).filter("n > 0")
     stats = ranked.groupBy(*keys, "tgt_chr").agg(
         F.max_by(F.struct("ref_chr", "rank", "n"), F.struct("n", -F.col("rank"))).alias("_s"),
         F.sum("n").alias("total_anchors"),

@@ -44,15 +44,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+_WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df once as a table below the shared checkpoint folder and read it back.
 
     Compared with checkpoint() the copy is columnar: later steps read only their
-    columns, and its size is known to the planner.
+    columns, and its size is known to the planner. The job runs at once, while the plan
+    that uses the table is built. release_tables() deletes what was written.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/tables/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete every table of cut_lineage(); DataFrames that read one can't be used any more."""
+    released = 0
+    while _WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        released += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return released

@@ -74,3 +74,24 @@ def test_every_nth_and_chunks(spark):
         (2, 5, 8),
         (3, 9, 10),
     }
+
+
+def test_tables_are_released(spark):
+    from pathlib import Path
+
+    from syntabula import session
+
+    session.release_tables(spark)
+    table = session.cut_lineage(spark.range(10).selectExpr("id", "id % 2 AS k"))
+    assert table.count() == 10
+    path = Path(session._WRITTEN[-1].removeprefix("file:"))
+    assert path.is_dir() and session.release_tables(spark) == 1 and not path.exists()
+
+
+def test_quantiles_of_a_hot_group_are_dealt_out(spark):
+    """The rows of a group meet neither in one partition before the count nor in the result's way."""
+    df = spark.range(30_000).selectExpr("CASE WHEN id < 20000 THEN 'hot' ELSE 'cold' END AS k", "CAST(id AS DOUBLE) AS v")
+    found = exact_quantiles(df, ["k"], "v", {"mid": 0.5})
+    assert {r["k"]: r["mid"] for r in found.collect()} == {"hot": 9999.5, "cold": 24999.5}
+    plan = found._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [k" in plan and "_segment" in plan
