@@ -26,16 +26,26 @@ def text(*parts, sep="\t"):
     return F.concat_ws(sep, *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-KEY, LINE, PART, SUPP = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-FLAG, STATUS = F.col("l_returnflag"), F.col("l_linestatus")
+class _Line:
+    """Line-item columns by short names; made when asked for, so that importing needs no session."""
+
+    NAMES = {
+        "order": "l_orderkey", "line": "l_linenumber", "part": "l_partkey", "supplier": "l_suppkey", "flag": "l_returnflag", "status": "l_linestatus",
+    }
+
+    def __getattr__(self, name):
+        return F.col(self.NAMES[name])
+
+
+L = _Line()
 
 
 def _gff(spark, sf):
-    end = F.when(FLAG == "R", F.concat(F.lit("x"), KEY.cast("string"))).otherwise((KEY + 9).cast("string"))
-    whole = text(PART, "lab", "gene", KEY, end, ".", STATUS, ".", F.concat(F.lit("ID=g"), SUPP.cast("string"), F.lit(";Name=n"), LINE.cast("string")))
-    short = text(PART, "lab", "gene", KEY, end)
-    comment = F.concat(F.lit("# "), KEY.cast("string"))
-    value = F.when(LINE == 7, comment).when((FLAG == "A") & (LINE == 1), short).otherwise(whole)
+    end = F.when(L.flag == "R", F.concat(F.lit("x"), L.order.cast("string"))).otherwise((L.order + 9).cast("string"))
+    whole = text(L.part, "lab", "gene", L.order, end, ".", L.status, ".", F.concat(F.lit("ID=g"), L.supplier.cast("string"), F.lit(";Name=n"), L.line.cast("string")))
+    short = text(L.part, "lab", "gene", L.order, end)
+    comment = F.concat(F.lit("# "), L.order.cast("string"))
+    value = F.when(L.line == 7, comment).when((L.flag == "A") & (L.line == 1), short).otherwise(whole)
     return features.parse_gff(records(lines(spark, sf), value))
 
 
@@ -60,9 +70,9 @@ def rejected_gff(spark, sf):
 
 
 def _bed(spark, sf):
-    start = F.when(FLAG == "R", F.lit("?")).otherwise(KEY.cast("string"))
-    six = text(PART, start, KEY + LINE, F.concat(F.lit("g"), SUPP.cast("string")), "0", F.when(STATUS == "O", "+").otherwise("-"))
-    value = F.when(LINE == 6, text(PART, start, KEY + LINE)).otherwise(F.concat(six, F.lit("\r")))
+    start = F.when(L.flag == "R", F.lit("?")).otherwise(L.order.cast("string"))
+    six = text(L.part, start, L.order + L.line, F.concat(F.lit("g"), L.supplier.cast("string")), "0", F.when(L.status == "O", "+").otherwise("-"))
+    value = F.when(L.line == 6, text(L.part, start, L.order + L.line)).otherwise(F.concat(six, F.lit("\r")))
     return features.parse_bed(records(lines(spark, sf), value))
 
 
@@ -90,14 +100,14 @@ def rejected_bed(spark, sf):
     FROM lineitem WHERE l_returnflag <> 'N'""",
 )
 def parsed_repeats(spark, sf):
-    score = F.when(FLAG == "N", "SW").otherwise(KEY.cast("string"))
-    row = text(score, "1.0", "0", "0", F.concat(F.lit("c"), PART.cast("string")), KEY, KEY + LINE, "(9)", "+", "rep", F.concat(F.lit("DNA/L"), LINE.cast("string")), "1", sep="   ")
+    score = F.when(L.flag == "N", "SW").otherwise(L.order.cast("string"))
+    row = text(score, "1.0", "0", "0", F.concat(F.lit("c"), L.part.cast("string")), L.order, L.order + L.line, "(9)", "+", "rep", F.concat(F.lit("DNA/L"), L.line.cast("string")), "1", sep="   ")
     return features.parse_repeats(records(lines(spark, sf), F.concat(F.lit("  "), row)))
 
 
 def _hit_lines(spark, sf):
-    cells = [PART, SUPP, LINE * 10, KEY, LINE, LINE - 1, KEY + 1, KEY + 2, KEY + 3, KEY + 4, F.lit("1e-5"), F.when(FLAG == "R", "none").otherwise(KEY.cast("string"))]
-    return records(lines(spark, sf), F.when(LINE == 7, text(*cells[:11])).otherwise(text(*cells)))
+    cells = [L.part, L.supplier, L.line * 10, L.order, L.line, L.line - 1, L.order + 1, L.order + 2, L.order + 3, L.order + 4, F.lit("1e-5"), F.when(L.flag == "R", "none").otherwise(L.order.cast("string"))]
+    return records(lines(spark, sf), F.when(L.line == 7, text(*cells[:11])).otherwise(text(*cells)))
 
 
 @query(
@@ -121,7 +131,7 @@ def rejected_hits(spark, sf):
     """SELECT CAST(l_partkey AS VARCHAR) AS qseqid, l_orderkey + 1 AS qlen, CAST(l_linenumber AS DOUBLE) AS qcovhsp, 'title ' || l_suppkey AS stitle FROM lineitem""",
 )
 def parsed_coverage_hits(spark, sf):
-    cells = [PART, SUPP, LINE, KEY, KEY + 1, KEY + 2, F.lit("0.0"), LINE, LINE, LINE, F.concat(F.lit("title "), SUPP.cast("string"))]
+    cells = [L.part, L.supplier, L.line, L.order, L.order + 1, L.order + 2, F.lit("0.0"), L.line, L.line, L.line, F.concat(F.lit("title "), L.supplier.cast("string"))]
     good = hits.parse_hits(records(lines(spark, sf), text(*cells)), hits.HIT11)[0]
     return good.select("qseqid", "qlen", "qcovhsp", "stitle")
 
@@ -131,19 +141,19 @@ def parsed_coverage_hits(spark, sf):
     "SELECT 'p' || l_partkey AS protein_id, l_returnflag AS application, count(*) AS n FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL",
 )
 def parsed_domain_hits(spark, sf):
-    name = F.concat(F.lit("p"), PART.cast("string"))
-    value = F.when(LINE == 2, text(name, "x")).otherwise(text(name, "md5", KEY, FLAG, "tail"))
+    name = F.concat(F.lit("p"), L.part.cast("string"))
+    value = F.when(L.line == 2, text(name, "x")).otherwise(text(name, "md5", L.order, L.flag, "tail"))
     found = hits.parse_domain_hits(records(lines(spark, sf), value))
     return found.groupBy("protein_id", "application").agg(F.count("*").alias("n"))
 
 
 def _block_records(spark, sf):
     """One record per order: a header and a line per item; line number 5 is malformed."""
-    second = F.when(LINE == 5, F.lit("bad")).otherwise(SUPP.cast("string"))
-    item = text(F.concat(F.lit("a"), PART.cast("string")), LINE, F.concat(F.lit("b"), SUPP.cast("string")), second, "1", sep=" ")
-    grouped = lines(spark, sf).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(LINE.alias("k"), item.alias("v")))).alias("g"))
-    header = F.concat(KEY.cast("string"), F.lit(": score=12.5 pvalue=0.25 N="), F.size("g").cast("string"), F.lit(" c1&c2 plus"))
-    header = F.when(KEY % 10 == 3, F.concat(F.lit("broken "), KEY.cast("string"))).otherwise(header)
+    second = F.when(L.line == 5, F.lit("bad")).otherwise(L.supplier.cast("string"))
+    item = text(F.concat(F.lit("a"), L.part.cast("string")), L.line, F.concat(F.lit("b"), L.supplier.cast("string")), second, "1", sep=" ")
+    grouped = lines(spark, sf).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(L.line.alias("k"), item.alias("v")))).alias("g"))
+    header = F.concat(L.order.cast("string"), F.lit(": score=12.5 pvalue=0.25 N="), F.size("g").cast("string"), F.lit(" c1&c2 plus"))
+    header = F.when(L.order % 10 == 3, F.concat(F.lit("broken "), L.order.cast("string"))).otherwise(header)
     return records(grouped, F.concat(header, F.lit("\n"), F.array_join(F.transform("g", lambda x: x["v"]), "\n"), F.lit("\n\n")))
 
 
@@ -175,14 +185,14 @@ def rejected_blocks(spark, sf):
       'a' || l_partkey AS gene1, 'b' || l_suppkey AS gene2 FROM lineitem WHERE l_linenumber <> 4""",
 )
 def parsed_anchors(spark, sf):
-    item = F.when(LINE == 4, F.lit("#note")).otherwise(text(F.concat(F.lit("a"), PART.cast("string")), F.concat(F.lit("b"), SUPP.cast("string")), "50", sep="\t"))
+    item = F.when(L.line == 4, F.lit("#note")).otherwise(text(F.concat(F.lit("a"), L.part.cast("string")), F.concat(F.lit("b"), L.supplier.cast("string")), "50", sep="\t"))
     grouped = (
         lines(spark, sf).groupBy("l_returnflag", "l_orderkey")
-        .agg(F.array_sort(F.collect_list(F.struct(LINE.alias("k"), item.alias("v")))).alias("g"))
+        .agg(F.array_sort(F.collect_list(F.struct(L.line.alias("k"), item.alias("v")))).alias("g"))
         .filter(F.exists("g", lambda x: x["k"] != 4))
     )
     value = F.concat(F.lit("\n"), F.array_join(F.transform("g", lambda x: x["v"]), "\n"))
-    return blocks.parse_anchors(records(grouped, value, FLAG, KEY))
+    return blocks.parse_anchors(records(grouped, value, L.flag, L.order))
 
 
 def _lens(spark, sf):
@@ -228,8 +238,8 @@ def parsed_chromosome_map(spark, sf):
       row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey DESC) AS r FROM lineitem) WHERE r = 1""",
 )
 def parsed_key_values(spark, sf):
-    value = F.concat(F.lit(" k"), LINE.cast("string"), F.lit(" = "), KEY.cast("string"), F.lit("=x "))
-    return tables.parse_key_values(records(lines(spark, sf), value, FLAG, KEY))
+    value = F.concat(F.lit(" k"), L.line.cast("string"), F.lit(" = "), L.order.cast("string"), F.lit("=x "))
+    return tables.parse_key_values(records(lines(spark, sf), value, L.flag, L.order))
 
 
 @query(
@@ -263,8 +273,8 @@ def printed_and_parsed_fasta(spark, sf):
     FROM lineitem""",
 )
 def typed_cells(spark, sf):
-    number = F.when(FLAG == "A", F.concat(F.lit(" "), SUPP.cast("string"))).when(FLAG == "N", "n/a").otherwise("NA")
-    cells = lines(spark, sf).select(KEY.cast("string").alias("name"), number.alias("number"), F.when(FLAG == "R", "NA").otherwise(STATUS).alias("sign"))
+    number = F.when(L.flag == "A", F.concat(F.lit(" "), L.supplier.cast("string"))).when(L.flag == "N", "n/a").otherwise("NA")
+    cells = lines(spark, sf).select(L.order.cast("string").alias("name"), number.alias("number"), F.when(L.flag == "R", "NA").otherwise(L.status).alias("sign"))
     return tables.typed_cells(cells, {"number": "long"}, required=["name"])
 
 
@@ -275,7 +285,7 @@ def typed_cells(spark, sf):
 )
 def shown_cells(spark, sf):
     found = lines(spark, sf).select(
-        "l_orderkey", "l_linenumber", (LINE.cast("double") / 8 + KEY.cast("double") / 4).alias("shown"), (SUPP.cast("double") / 16).alias("third")
+        "l_orderkey", "l_linenumber", (L.line.cast("double") / 8 + L.order.cast("double") / 4).alias("shown"), (L.supplier.cast("double") / 16).alias("third")
     )
     return tables.shown_cells(found, {"shown": 1, "third": 3})
 
@@ -288,10 +298,10 @@ def shown_cells(spark, sf):
 def locus_tables(spark, sf):
     df = lines(spark, sf)
     loci = df.select(
-        FLAG.alias("species"), LINE.cast("string").alias("chrom"), text(KEY, PART, SUPP, sep="_").alias("gene_id"), KEY.alias("start"),
-        (KEY + 5).alias("end"), F.lit("+").alias("strand"),
+        L.flag.alias("species"), L.line.cast("string").alias("chrom"), text(L.order, L.part, L.supplier, sep="_").alias("gene_id"), L.order.alias("start"),
+        (L.order + 5).alias("end"), F.lit("+").alias("strand"),
     )
-    lengths = df.select(FLAG.alias("species"), LINE.cast("string").alias("chrom"), (LINE * 1000).cast("long").alias("length_bp")).distinct()
+    lengths = df.select(L.flag.alias("species"), L.line.cast("string").alias("chrom"), (L.line * 1000).cast("long").alias("length_bp")).distinct()
     return tables.locus_tables(loci, lengths)["lens"].select("species", "chrom", "ordered_genes", "length_bp")
 
 
