@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import rules, strings, words
 from .secrets import COPIED_OWNERS, KINDS, LEAST_VALUE, PATTERNS
 
 
@@ -82,3 +82,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT ({' OR '.join(f'coalesce({r} > cut_{r}, false)' for r in rules.CUTOFFS)}) AS kept
 FROM measured m LEFT JOIN cuts ON m.lang IS NOT DISTINCT FROM cuts.lang
 """
+
+
+#: Windows of 35 words that start twice or more, word by word.
+WORDS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{rules.WORD}') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + {words.WINDOW - 1}], ' ') AS x
+  FROM (SELECT r, w, unnest(range(1, len(w) - {words.WINDOW - 2})) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY x) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + o AS p FROM twice, range({words.WINDOW}) AS q(o)),
+each_word AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY each_word.p) FILTER (gone.p IS NULL) AS kept
+  FROM each_word LEFT JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+#: Strings of 50 bytes, two hexadecimal digits a byte.
+STRINGS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * strings.LENGTH}) AS x
+  FROM (SELECT r, doc_id, h, unnest(range(length(h) // 2 - {strings.LENGTH - 1})) AS i FROM d)),
+first AS (SELECT x, min(doc_id) AS least FROM strings GROUP BY x),
+gone AS (SELECT DISTINCT r, i + o AS p FROM strings JOIN first USING (x), range({strings.LENGTH}) AS q(o) WHERE least < doc_id),
+spans AS (SELECT r, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans
+  FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM gone) GROUP BY r),
+each_byte AS (SELECT r, substr(h, 2 * p + 1, 2) AS b, p FROM (SELECT r, h, unnest(range(length(h) // 2)) AS p FROM d)),
+kept AS (SELECT r, string_agg(b, '' ORDER BY p) AS kept FROM each_byte ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""

@@ -63,7 +63,7 @@ def histogram_packing(spark, folder):
         return pack(scratch, documents(spark, folder))
 
 
-@query("op9_recompression_windows")
+@query("op9_recompression_windows", oracles.WORDS)
 def recompression_windows(spark, folder):
     from .words import repeated_windows
 
@@ -71,7 +71,7 @@ def recompression_windows(spark, folder):
         return repeated_windows(scratch, documents(spark, folder)).drop("spans")
 
 
-@query("op7_suffix_array_strings")
+@query("op7_suffix_array_strings", oracles.STRINGS)
 def suffix_array_strings(spark, folder):
     from .strings import repeated_strings
 
