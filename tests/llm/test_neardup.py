@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -6,7 +8,7 @@ from llm_data import awkward, table
 from syntabula.llm.common import Scratch
 from syntabula.llm.graph import components
 from syntabula.llm import hamming
-from syntabula.llm.simhash import BITS, anchors, near_duplicates
+from syntabula.llm.simhash import BITS, anchors, near_duplicates, similar_documents
 
 
 def fingerprint(text, size=4):
@@ -68,3 +70,39 @@ def test_long_chain_is_one_component(spark):
 def test_empty_table(spark):
     with Scratch(spark) as scratch:
         assert near_duplicates(scratch, table(spark, [])).count() == 0
+
+
+def test_similar_documents(spark, monkeypatch):
+    """Near copies are found through each other, copies share a component, others stay apart."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, groups = [], {}
+    for g in range(25):
+        base = say(rng.randint(80, 300))
+        for k in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(max(1, len(own) // 120) if k else 0):
+                own[rng.randrange(len(own))] = "edited"
+            rows.append((len(rows), " ".join(own)))
+            groups.setdefault(g, []).append(len(rows) - 1)
+        rows.append((len(rows), rows[-1][1]))
+        groups[g].append(len(rows) - 1)
+    for block in (4096, 3):
+        monkeypatch.setattr(hamming, "BLOCK", block)
+        with Scratch(spark) as scratch:
+            found = {r["doc_id"]: r["component_id"] for r in similar_documents(scratch, table(spark, rows)).collect()}
+        assert len(found) == len(rows)
+        # No component joins two groups; most near copies are with their group.
+        of = {i: g for g, own in groups.items() for i in own}
+        assert all(of[i] == of[c] for i, c in found.items())
+        assert sum(found[i] == own[0] for own in groups.values() for i in own) >= 0.9 * len(rows)
+
+
+def test_similar_documents_awkward(spark):
+    rows = awkward(8)
+    with Scratch(spark) as scratch:
+        found = similar_documents(scratch, table(spark, rows)).collect()
+        assert len(found) == len(rows)
+        assert similar_documents(scratch, table(spark, [])).count() == 0
+    by = {r["doc_id"]: r["component_id"] for r in found}
+    assert by[100] == by[101] == by[102] == 100 and by[3] == by[3]
