@@ -196,14 +196,14 @@ def similar_documents(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id",
     pairs = scratch.table(ordered.distinct())
     good = _near_enough(scratch, pairs, nodes)
     labels = components(scratch, good)
-    busy = scratch.table(forest.select(F.col("a").alias("fp")).union(forest.select("b")).union(of_part.where("n > 1").select("fp")).distinct())
+    busy = scratch.table(_open_parts(forest, of_part))
     play = _own_parts(parts).join(busy, "fp", "left_semi").select("id").distinct()
     named = scratch.table(
         play.join(nodes.select("id", *names), "id")
         .join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
         .select(*names, "id", F.coalesce("label", "id").alias("label"))
     )
-    placed = _own_parts(named, "label").mapInArrow(_at_anchors, "key long, id long, label long, fp long")
+    placed = _own_parts(named, "label").join(busy, "fp", "left_semi").select("id", "label", "fp").mapInArrow(_at_anchors, "key long, id long, label long, fp long")
     crossing = near_pairs(scratch, placed, PART_BITS)
     crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _near_enough(scratch, scratch.table(crossing.join(pairs, ["a", "b"], "left_anti")), nodes)
@@ -215,6 +215,21 @@ def similar_documents(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id",
     return marked.join(of, "id").select("doc_id", "component_id")
 
 
+def _open_parts(forest: DataFrame, of_part: DataFrame) -> DataFrame:
+    """(fp): parts that may be near more than the forest's links say.
+
+    Two parts of one node each that are linked to each other and to nothing else make
+    one pair, which the first round has compared. Chance pairs are like that, so what is
+    left grows with the near copies and not with the square of the input.
+    """
+    links = forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    weight = links.select(F.col("a").alias("fp")).union(links.select("b")).groupBy("fp").agg(F.count("*").alias("links"))
+    weight = weight.join(of_part.select("fp", "n"), "fp").select("fp", (F.col("links") + F.col("n")).alias("weight"))
+    sides = [weight.select(F.col("fp").alias(c), F.col("weight").alias(f"{c}_weight")) for c in ("a", "b")]
+    more = links.join(sides[0], "a").join(sides[1], "b").where("a_weight > 2 OR b_weight > 2")
+    return more.select(F.col("a").alias("fp")).union(more.select("b")).union(of_part.where("n > 1").select("fp")).distinct()
+
+
 def _own_parts(nodes: DataFrame, *more: str) -> DataFrame:
     """(id, ..., fp): the 2 x WORDS parts of each node, each with its number above its bits."""
     mask = (1 << CODE) - 1
