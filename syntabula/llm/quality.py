@@ -119,8 +119,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int64())),
-                pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64())),
+                pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()),
+                pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()),
                 batch.column("grade"),
             ],
             names=["doc_id", "index", "value", "grade"],
@@ -138,9 +138,9 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= MOST_CHARS)
     some = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "grade")
-    schema = f"doc_id {dict(some.dtypes)['doc_id']}, index array<long>, value array<double>, grade int"
+    schema = f"doc_id {dict(some.dtypes)['doc_id']}, index binary, value binary, grade int"
     got = sorted(some.mapInArrow(_sample, schema).toLocalIterator(), key=lambda r: (r["doc_id"], r["index"]))
-    return fit([(np.array(r["index"]), np.array(r["value"]), r["grade"]) for r in got], grades)
+    return fit([(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4"), r["grade"]) for r in got], grades)
 
 
 def _grade(model: Model, least_grade: int):
