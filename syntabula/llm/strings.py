@@ -76,7 +76,8 @@ class Grams:
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(places)] - 1
         self.places, self.run = places, np.cumsum(new) - 1
-        self.run_key = least[first]
+        # Least hashes are small numbers; mixed anew they fill all key ranges evenly.
+        self.run_key = mixed(least[first])
         total = np.r_[np.uint64(0), np.cumsum(mixed(self.chunk_key), dtype=np.uint64)]
         a, b = (self.chunk[places[first]], self.chunk[places[last]]) if len(places) else (np.empty(0, np.int64),) * 2
         self.run_context = mixed(total[b + 1] - total[a] + (b - a).astype(np.uint64)).view(np.int64)
