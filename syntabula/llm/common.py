@@ -12,6 +12,9 @@ from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that a task handles at a time; longer texts are handled alone.
 CHUNK_BYTES = 2_000_000
+#: Rows of a batch for Python while a scratch table is written.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
@@ -43,7 +46,13 @@ class Scratch:
     def table(self, df: DataFrame, keep: bool = False) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
+        # Rows hold whole texts; a batch for Python holds at most BATCH_ROWS of them.
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before))))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         if keep:
             self.kept.add(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -18,22 +18,36 @@ BATCH = 65_536
 BROADCAST_ROWS = 200_000
 
 
+#: The eight bits of each byte value as eight counters of a 64-bit number.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+#: Additions that such a counter holds.
+_COUNTER = 255
+
+
 def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Fingerprint of each slice bounds[i]:bounds[i+1]: bits set in over half of its hashes; empty: 0."""
+    """Fingerprint of each slice bounds[i]:bounds[i+1]: bits set in over half of its hashes; empty: 0.
+
+    64 counters of a byte each are added at a time, over at most _COUNTER hashes; the
+    parts of a longer slice are added as wide numbers.
+    """
     out = np.zeros(len(bounds) - 1, np.uint64)
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    sizes = np.diff(bounds)
-    full = np.flatnonzero(sizes)
+    full = np.flatnonzero(np.diff(bounds))
     at = 0
     while at < len(full):
         # As many slices as fit the batch, or one longer slice.
-        limit = bounds[full[at]] + BATCH
-        stop = max(at + 1, int(np.searchsorted(bounds[full + 1], limit, side="right")))
+        stop = max(at + 1, int(np.searchsorted(bounds[full + 1], bounds[full[at]] + BATCH, side="right")))
         rows = full[at:stop]
-        begin, end = bounds[rows[0]], bounds[rows[-1] + 1]
-        bits = np.unpackbits(hashes[begin:end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, bounds[rows] - begin, axis=0, dtype=np.int32)
-        out[rows] = ((2 * ones > sizes[rows][:, None]) * powers).sum(axis=1, dtype=np.uint64)
+        size = bounds[rows + 1] - bounds[rows]
+        parts = -(-size // _COUNTER)
+        first = np.cumsum(parts) - parts
+        inner = np.arange(int(parts.sum())) - np.repeat(first, parts)
+        begin = bounds[rows[0]]
+        cuts = np.repeat(bounds[rows] - begin, parts) + inner * _COUNTER
+        bytes_ = hashes[begin : bounds[rows[-1] + 1]].view(np.uint8).reshape(-1, 8)
+        counted = np.add.reduceat(_SPREAD[bytes_], cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
+        ones = np.add.reduceat(counted.astype(np.int64), first, axis=0)
+        out[rows] = ((2 * ones > size[:, None]) * powers).sum(axis=1, dtype=np.uint64)
         at = stop
     return out
 
@@ -102,14 +116,16 @@ def _across(bits: int):
             f, who, of = fp[s : s + n], name[s : s + n], label[s : s + n]
             if n < 2 or (of == of[0]).all():
                 continue
-            found = []
+            left, right, size = [], [], 0
             for i in range(n - 1):
                 near = np.flatnonzero((np.bitwise_count(f[i + 1 :] ^ f[i]) <= bits) & (of[i + 1 :] != of[i])) + i + 1
-                if len(near):
-                    found.append(np.stack([np.full(len(near), who[i]), who[near]], axis=1))
-            if found:
-                both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-                yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+                left.append(np.minimum(who[near], who[i]))
+                right.append(np.maximum(who[near], who[i]))
+                size += len(near)
+                # Pairs leave as they are found, so the task holds a batch of them.
+                if size > BATCH or (size and i == n - 2):
+                    yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+                    left, right, size = [], [], 0
 
     return run
 

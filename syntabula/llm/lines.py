@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, mixed
+from .common import CHUNK_BYTES, Scratch, mixed
 from .edit import distance
 from .graph import components
 from .hamming import BROADCAST_ROWS, majority, near_links, near_pairs
@@ -21,43 +21,58 @@ BITS, SIMILARITY = 3, 0.8
 #: Fingerprint bits of each block. Three errors leave two of five blocks whole.
 BLOCK_BITS = (13, 13, 13, 13, 12)
 _A = np.uint64(0x9E3779B97F4A7C15)
-_DIGITS = str.maketrans("123456789", "000000000")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
-def normal(line: str) -> str:
-    """Lower case, every digit as 0, runs of white space as one space."""
-    return " ".join(line.lower().translate(_DIGITS).split())
+def normal_lines(text: str) -> list[bytes]:
+    """Each line in lower case, every digit as 0, runs of ASCII white space as one space."""
+    return [b" ".join(line.split()) for line in text.lower().encode().translate(_DIGITS).split(b"\n")]
 
 
-def line_fingerprints(lines: list[str]) -> np.ndarray:
-    """SimHash over the words and neighbouring word pairs of each normalised line."""
-    features, bounds = [], [0]
-    for line in lines:
-        words = line.encode().split(b" ")
-        names = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        features += [names, mixed(names[:-1] * _A + names[1:])]
-        bounds.append(bounds[-1] + 2 * len(words) - 1)
-    return majority(np.concatenate(features), np.array(bounds)) if features else np.zeros(0, np.uint64)
+def line_fingerprints(lines: list[bytes]) -> np.ndarray:
+    """SimHash over the words and neighbouring word pairs of normalised lines that have words."""
+    if not lines:
+        return np.zeros(0, np.uint64)
+    counts = np.fromiter((line.count(b" ") + 1 for line in lines), np.int64, len(lines))
+    words = np.fromiter(map(xxhash.xxh64_intdigest, b" ".join(lines).split(b" ")), np.uint64, int(counts.sum()))
+    # Word i, and its pair with the next one unless the line ends there.
+    last = np.zeros(len(words), bool)
+    last[np.cumsum(counts) - 1] = True
+    pairs = mixed(words[:-1] * _A + words[1:])
+    features = np.empty(2 * len(words), np.uint64)
+    features[0::2] = words
+    features[1:-1:2] = pairs
+    use = np.ones(len(features), bool)
+    use[1::2] = ~last
+    return majority(features[use], np.r_[0, np.cumsum(2 * counts - 1)])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, number, lines = [], [], []
+        at, number, lines, size = [], [], [], 0
         for i, text in enumerate(batch.column(2)):
-            for k, line in enumerate((text.as_py() or "").split("\n")):
-                if line := normal(line):
+            for k, line in enumerate(normal_lines(text.as_py() or "")):
+                if line:
                     at.append(i)
                     number.append(k)
                     lines.append(line)
-        index = pa.array(at, pa.int64())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(index), batch.column(1).take(index), pa.array(number, pa.int32()),
-                pa.array(hashes.view(np.int64)), pa.array(line_fingerprints(lines).view(np.int64)), pa.array(lines, pa.string()),
-            ],
-            names=["doc_id", "text_hash", "line", "line_hash", "fp", "normal"],
-        )
+                    size += len(line)
+            if size > CHUNK_BYTES // 4:
+                yield _listed(batch, at, number, lines)
+                at, number, lines, size = [], [], [], 0
+        yield _listed(batch, at, number, lines)
+
+
+def _listed(batch: pa.RecordBatch, at: list[int], number: list[int], lines: list[bytes]) -> pa.RecordBatch:
+    index = pa.array(at, pa.int64())
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0).take(index), batch.column(1).take(index), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)),
+            pa.array(line_fingerprints(lines).view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string()),
+        ],
+        names=["doc_id", "text_hash", "line", "line_hash", "fp", "normal"],
+    )
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +95,8 @@ def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                a, b = left.as_py(), right.as_py()
                 most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
                 near.append(abs(len(a) - len(b)) <= most and distance(a, b) <= most)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
@@ -155,7 +171,7 @@ def deduplicated(
 ) -> DataFrame:
     """docs with all columns, near-duplicate lines taken out of the text; n_lines and n_removed follow.
 
-    Lines are split at line feeds and normalised (normal()). Two lines are linked if
+    Lines are split at line feeds and normalised (normal_lines()). Two lines are linked if
     their fingerprints differ in at most 3 bits and the edit distance is at most a fifth
     of the longer line; of each connected group the first occurrence by (id, place)
     stays, wherever it is, and all others go. Lines without words stay and are never
@@ -179,6 +195,7 @@ def deduplicated(
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     new = F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_lines = F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long")
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = F.when(text.isNull(), 0).otherwise(feeds + 1).cast("long")
     changed = joined.withColumns({"n_lines": n_lines, "n_removed": F.size(gone).cast("long"), text_col: new})
     return changed.drop("_own", "_doc", "_gone")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from llm_data import table
@@ -25,6 +27,10 @@ def documents():
     return rows + [(90, None), (91, ""), (92, "\n\n \n"), (93, long), (3, rows[3][1]), (None, rows[5][1]), (None, "only here"), (5, "only here")]
 
 
+def normal(line):
+    return re.sub(r"[ \t\n\v\f\r]+", " ", re.sub("[1-9]", "0", line.lower())).strip(" ")
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -36,8 +42,8 @@ def levenshtein(a, b):
 
 def brute(rows):
     """Text of each row, by all pairs of distinct lines."""
-    known = sorted({lines.normal(x) for _, t in rows if t for x in t.split("\n")} - {""})
-    fps = [int(f) for f in lines.line_fingerprints(known)]
+    known = sorted({normal(x) for _, t in rows if t for x in t.split("\n")} - {""})
+    fps = [int(f) for f in lines.line_fingerprints([k.encode() for k in known])]
     group = list(range(len(known)))
 
     def root(i):
@@ -60,14 +66,14 @@ def kept_text(rows, at, hashes):
     first = {}
     for (key, text), h in zip(rows, hashes):
         for k, line in enumerate((text or "").split("\n")):
-            if n := lines.normal(line):
+            if n := normal(line):
                 where = (key is None, key or 0, h, k)
                 first[at[n]] = min(first.get(at[n], where), where)
     out = []
     for (key, text), h in zip(rows, hashes):
         own = [
             line for k, line in enumerate((text or "").split("\n"))
-            if not (n := lines.normal(line)) or first[at[n]] == (key is None, key or 0, h, k)
+            if not (n := normal(line)) or first[at[n]] == (key is None, key or 0, h, k)
         ]
         out.append((key, None if text is None else "\n".join(own)))
     return sorted(out, key=str)
