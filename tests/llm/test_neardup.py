@@ -106,3 +106,43 @@ def test_similar_documents_awkward(spark):
         assert similar_documents(scratch, table(spark, [])).count() == 0
     by = {r["doc_id"]: r["component_id"] for r in found}
     assert by[100] == by[101] == by[102] == 100 and by[3] == by[3]
+
+
+def shingles(text, size=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def test_similar_documents_at_the_bound(spark, monkeypatch):
+    """Pairs just above similarity 0.8 are linked, pairs just below are not; chains as by all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        rows.append((len(rows), " ".join(base)))
+        # The tail is new, so the similarity is that of the lengths.
+        for wanted in rng.sample([0.6, 0.7, 0.75, 0.79, 0.81, 0.83, 0.9], rng.randint(1, 3)):
+            own = round(2 * wanted / (1 + wanted) * len(base))
+            rows.append((len(rows), " ".join(base[:own] + [f"n{rng.randrange(10**6)}" for _ in range(len(base) - own)])))
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(max(0, i - 4), i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                near += 1
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    assert near > 60
+    for block in (4096, 3):
+        monkeypatch.setattr(hamming, "BLOCK", block)
+        with Scratch(spark) as scratch:
+            found = {r["doc_id"]: r["component_id"] for r in similar_documents(scratch, table(spark, rows)).collect()}
+        assert found == {i: root(i) for i in range(len(rows))}
