@@ -25,8 +25,8 @@ _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
 def normal_lines(text: str) -> list[bytes]:
-    """Each line in lower case, every digit as 0, runs of ASCII white space as one space."""
-    return [b" ".join(line.split()) for line in text.lower().encode().translate(_DIGITS).split(b"\n")]
+    """Each line in lower case, runs of ASCII white space as one space; digits stay."""
+    return [b" ".join(line.split()) for line in text.lower().encode().split(b"\n")]
 
 
 def line_fingerprints(lines: list[bytes]) -> np.ndarray:
@@ -69,7 +69,7 @@ def _listed(batch: pa.RecordBatch, at: list[int], number: list[int], lines: list
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0).take(index), batch.column(1).take(index), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)),
-            pa.array(line_fingerprints(lines).view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string()),
+            pa.array(line_fingerprints([line.translate(_DIGITS) for line in lines]).view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string()),
         ],
         names=["doc_id", "text_hash", "line", "line_hash", "fp", "normal"],
     )
@@ -172,8 +172,8 @@ def deduplicated(
     """docs with all columns, near-duplicate lines taken out of the text; n_lines and n_removed follow.
 
     Lines are split at line feeds and normalised (normal_lines()). Two lines are linked if
-    their fingerprints differ in at most 3 bits and the edit distance is at most a fifth
-    of the longer line; of each connected group the first occurrence by (id, place)
+    their fingerprints, which read every digit as 0, differ in at most 3 bits and the edit
+    distance, digits as they are, is at most a fifth of the longer line; of each connected group the first occurrence by (id, place)
     stays, wherever it is, and all others go. Lines without words stay and are never
     compared. Null texts stay null and have no lines (n_lines 0). A row that repeats
     another's id and whole text is the same document and gets the same text. Null ids

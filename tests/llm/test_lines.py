@@ -97,3 +97,10 @@ def test_equals_all_pairs(spark, monkeypatch, block, broadcast):
 def test_empty_table(spark):
     with Scratch(spark) as scratch:
         assert lines.deduplicated(scratch, table(spark, [])).count() == 0
+
+
+def test_rows_of_numbers_are_verified_with_their_digits(spark):
+    rows = [(0, "1234 56\n2026-01-02 17.50"), (1, "9871 23\n1999-12-31 82.64"), (2, "Page 17 of the report\nonly"), (3, "page 18 of  the report\n1234 57")]
+    with Scratch(spark) as scratch:
+        found = {r["doc_id"]: r["text"] for r in lines.deduplicated(scratch, table(spark, rows)).collect()}
+    assert found == {0: rows[0][1], 1: rows[1][1], 2: rows[2][1], 3: ""}
