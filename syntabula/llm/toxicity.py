@@ -227,7 +227,7 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     return np.where(often & (toxic >= LEAST_DOCS), surprise, 0.0)
 
 
-def _telling(words: Units, doc: np.ndarray, word: np.ndarray, label: np.ndarray, share: float) -> np.ndarray:
+def _telling(words: Units, doc: np.ndarray, word: np.ndarray, label: np.ndarray, share: float, scale: float) -> np.ndarray:
     """Words with a run of four or five characters that toxic documents hold surprisingly often."""
     strong = np.zeros(len(words.size), bool)
     for k in (4, 5):
@@ -247,20 +247,22 @@ def _telling(words: Units, doc: np.ndarray, word: np.ndarray, label: np.ndarray,
         pair = np.unique(pair_doc * len(runs) + pair_run)
         y = label[pair // len(runs)]
         held = [np.bincount((pair % len(runs))[y == v], minlength=len(runs)) for v in (1, 0)]
-        good = _evidence(held[0], held[1], share) >= LEAST_SURPRISE
+        good = _evidence(held[0], scale * held[1], share) >= LEAST_SURPRISE
         strong[of[good[run]]] = True
     return strong
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int], seed: int = 7, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Learns which words make documents toxic from labels of whole documents.
 
     Words with a run of characters that toxic documents hold surprisingly often are
     positive at first; other words of clean documents are negative. Landmarks come from
     both, and the machine is trained on kernels against them; in each further round the
     words that it confuses join. Then a logistic curve over a document's three worst
-    words and its length tells how many insults it takes. Without both classes every
-    document is called clean.
+    words and its length tells how many insults it takes. stands_for: labelled
+    documents for which a given clean and a given toxic one stands; shares and the level of
+    the curve are those of all labelled documents, not of the sample. Without both classes
+    every document is called clean.
     """
     table, rng = _alphabet(), np.random.default_rng(seed)
     label = np.array(toxic)
@@ -269,11 +271,13 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     words, doc, word, times, alone = _vocabulary(texts, table)
     n = len(words.size)
     once = alone[doc]
-    share = label[alone].mean()
-    strong = _telling(words, doc[once], word[once], label, share)
+    # Clean documents count as many as there are for each toxic one of the sample.
+    scale = stands_for[0] / stands_for[1]
+    share = label[alone].sum() / (label[alone].sum() + scale * (1 - label[alone]).sum())
+    strong = _telling(words, doc[once], word[once], label, share, scale)
     hits = np.stack([np.bincount(word[once & (label[doc] == y)], minlength=n) for y in (0, 1)], axis=1)
     # A word that many clean documents hold speaks for itself, whatever its runs say.
-    usual = hits[:, 1] * (1 - share) < np.exp(LEAST_ODDS) * share * hits[:, 0]
+    usual = hits[:, 1] * (1 - share) < np.exp(LEAST_ODDS) * share * scale * hits[:, 0]
     strong &= ~((hits[:, 0] >= LEAST_CLEAN) & usual)
     weights, bias = np.zeros(CODES), -1.0
     chosen = np.flatnonzero(strong & (hits[:, 1] > 0))
@@ -304,7 +308,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         hard = hard[np.argsort(-score[hard], kind="stable")]
     worst = np.repeat(np.stack([doc, word]), np.minimum(times, TOP), axis=1)
     parts = document_parts(worst[0], words.scores(weights, bias)[worst[1]], np.bincount(doc, times, len(label)))
-    return Model(weights.astype(np.float32), bias, _logistic(parts[alone], label[alone]))
+    curve = _logistic(parts[alone], label[alone])
+    # Sampling by class moves the level by the ratio of the sampled parts and nothing else.
+    curve[-1] -= np.log(scale)
+    return Model(weights.astype(np.float32), bias, curve)
 
 
 def document_parts(doc: np.ndarray, margin: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -362,10 +369,15 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0
 
 
+def usable_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """(doc_id, y): one label of each document outside the held-out fold."""
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return usable.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """At most MOST_DOCS labelled rows of each class outside the held-out fold, by hash of the id."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    usable = usable.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
+    usable = usable_labels(labels, label_col)
     picked = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS) for y in (0, 1)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     some = rows.where(F.length("text") <= MOST_CHARS).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
@@ -378,14 +390,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     The model is fitted on the driver from a bounded sample of labelled rows (MOST_DOCS
     of each class, none longer than MOST_CHARS, none from the held-out fold, by order of
     a hash of the id); every whole text is then scored. A document's score is the
-    calibrated probability of its worst word. Null and empty texts score like a document
+    calibrated probability of its worst words at the share of toxic rows among all usable
+    labels, however many of them the sample holds. Null and empty texts score like a document
     whose words are far from every insult. Labels other than 0 and 1 are not used; of
     repeated labels the greatest counts; repeated documents are scored each; a null id
     is not held out. Without labels of both classes every document is clean. No rows
     give no rows; other columns are not read.
     """
     sample = sorted(training_rows(docs, labels, id_col, text_col, label_col).toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))
-    model = train([r["text"] for r in sample], [r["y"] for r in sample])
+    n = {r["y"]: r["count"] for r in usable_labels(labels, label_col).groupBy("y").count().collect()}
+    stands_for = tuple(max(1.0, n.get(y, 0) / MOST_DOCS) for y in (0, 1))
+    model = train([r["text"] for r in sample], [r["y"] for r in sample], stands_for=stands_for)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(_score(model), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

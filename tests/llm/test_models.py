@@ -48,6 +48,17 @@ def test_toxicity_held_out(spark):
     assert got[10_000]["score"] == got[10_001]["score"] < 0.5
 
 
+def test_scores_do_not_depend_on_the_cap_of_a_class(spark, monkeypatch):
+    """Of the documents with insults four in ten are toxic: their scores say so, also if the sample has as many of each class."""
+    rng = random.Random(4)
+    made = [(i, t, q, int(x and rng.random() < 0.4)) for i, t, q, x in documents(4, 1500)]
+    docs, given = table(spark, [(i, t) for i, t, _, _ in made]), labels(spark, [(i, q, x) for i, _, q, x in made])
+    for most in (1500, 110):
+        monkeypatch.setattr(toxicity, "MOST_DOCS", most)
+        insulting = [r["score"] for r in toxicity.toxicity(docs, given).collect() if r["doc_id"] % 4 == 0]
+        assert np.mean(insulting) == pytest.approx(0.4, abs=0.2)
+
+
 def test_held_out_labels_are_not_used(spark):
     made = documents(2, 200)
     docs = table(spark, [(i, t) for i, t, _, _ in made])
