@@ -102,3 +102,10 @@ def ordinal_quality(spark, folder):
     docs, labels = documents(spark, folder), table(spark, folder, "labels")
     model = train(docs, labels.select("doc_id", grade_of(labels).alias("grade")), grades=3)
     return graded(docs, model)
+
+
+@query("op12_rank_synchronous_counts")
+def rank_synchronous_counts(spark, folder):
+    from .token_counts import token_counts
+
+    return token_counts(documents(spark, folder))
