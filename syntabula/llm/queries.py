@@ -109,3 +109,11 @@ def rank_synchronous_counts(spark, folder):
     from .token_counts import token_counts
 
     return token_counts(documents(spark, folder))
+
+
+@query("op13_segment_hard_negatives", oracles.NEGATIVES)
+def segment_hard_negatives(spark, folder):
+    from .negatives import hard_negatives, shifted
+
+    with Scratch(spark) as scratch:
+        return hard_negatives(scratch, shifted(table(spark, folder, "embeddings")))
