@@ -117,3 +117,11 @@ def segment_hard_negatives(spark, folder):
 
     with Scratch(spark) as scratch:
         return hard_negatives(scratch, shifted(table(spark, folder, "embeddings")))
+
+
+@query("op11_anchored_alignment")
+def anchored_alignment(spark, folder):
+    from .alignment import align
+
+    with Scratch(spark) as scratch:
+        return align(scratch, documents(spark, folder))
