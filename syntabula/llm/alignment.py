@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -73,69 +72,89 @@ class SecondTokenizer:
         return self.model.encode(text, num_threads=1)
 
 
-def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of ids between the byte offsets at which tokens of both sides end."""
-    groups, left, right = [], [], []
-    i = j = end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b:
-            left.append(a[i])
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            right.append(b[j])
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            groups.append((left, right))
-            left, right = [], []
-    return groups
-
-
 #: A group with more links than this lists each id pair once, with a number.
-_MANY_LINKS = 1000
+_MANY_LINKS = 10_000
 
 
-def _links(x: list[int], y: list[int]) -> tuple[list[int], list[int]]:
-    """Id pairs of a group and how often each is linked; those of a small group may repeat."""
-    if len(x) * len(y) <= _MANY_LINKS:
-        return [i << 32 | j for i in x for j in y], [1] * (len(x) * len(y))
-    xs, ys = Counter(x), Counter(y)
-    return [i << 32 | j for i in xs for j in ys], [n * m for n in xs.values() for m in ys.values()]
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of size[i] numbers each, one after another."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class Windows:
-    """Alignments of windows, remembered by both sides' ids."""
+    """Alignments of windows, remembered by both sides' ids.
+
+    A window has a number; texts, n_groups, n_links and the places of its id pairs in keys
+    and times stand at it. Windows are numbered as they come and aligned together, shard by shard.
+    """
 
     def __init__(self, first: list[bytes], second: list[bytes]):
-        self.size_a, self.size_b = [len(t) for t in first], [len(t) for t in second]
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[str] = []
-        self.sums: list[tuple[int, int]] = []
-        self.links: list[tuple[list[int], list[int]]] = []
+        self.sizes = [np.fromiter(map(len, t), np.int64, len(t)) for t in (first, second)]
+        # The names of ids, with what follows inside and at the end of a group.
+        self.names = [np.array([[f"{i}{c}" for i in range(len(t))] for c in marks], object) for t, marks in ((first, ",|"), (second, ",;"))]
+        self.forget(0)
 
-    def forget(self) -> None:
+    def forget(self, most: int = MEMO_WINDOWS) -> None:
         """Between shards only: numbers of windows hold within a shard."""
-        if len(self.texts) > MEMO_WINDOWS:
-            for part in (self.known, self.texts, self.sums, self.links):
-                part.clear()
-
-    def number(self, key: tuple[bytes, bytes]) -> int:
-        """A new window: its groups as text, numbers of groups and links, and its id pairs with counts."""
-        a, b = (memoryview(k).cast("I").tolist() for k in key)
-        groups = aligned(a, b, self.size_a, self.size_b)
-        keys, times = [], []
-        for x, y in groups:
-            more, often = _links(x, y)
-            keys += more
-            times += often
-        self.texts.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
-        self.sums.append((len(groups), sum(times)))
-        self.links.append((keys, times))
-        n = len(self.texts) - 1
-        if len(a) <= MEMO_TOKENS and len(b) <= MEMO_TOKENS:
-            self.known[key] = n
-        return n
+        if not most or len(self.texts) > most:
+            self.known: dict[tuple[bytes, bytes], int] = {}
+            self.texts: list[str] = []
+            self.n_groups, self.n_links, self.first, self.size, self.keys, self.times = (np.empty(0, np.int64) for _ in range(6))
+
+    def numbers(self, sides: list[np.ndarray], cuts: list[np.ndarray]) -> list[int]:
+        """Number of each window between the cuts of both sides."""
+        raw = [ids.astype("<u4").tobytes() for ids in sides]
+        edges = [np.r_[c, len(ids)] for c, ids in zip(cuts, sides)]
+        (ra, rb), (ea, eb) = raw, ((4 * e).tolist() for e in edges)
+        keys = [(ra[a0:a1], rb[b0:b1]) for a0, a1, b0, b1 in zip(ea, ea[1:], eb, eb[1:])]
+        found, new = list(map(self.known.get, keys)), []
+        for i, n in enumerate(found):
+            if n is None and (n := self.known.get(keys[i])) is None:
+                n = len(self.texts) + len(new)
+                new.append(i)
+                if len(keys[i][0]) <= 4 * MEMO_TOKENS and len(keys[i][1]) <= 4 * MEMO_TOKENS:
+                    self.known[keys[i]] = n
+            found[i] = n
+        if new:
+            at = np.array(new)
+            self._align(*(ids[_ranges(e[at], e[at + 1] - e[at])] for ids, e in zip(sides, edges)), *(e[at + 1] - e[at] for e in edges))
+        return found
+
+    def _align(self, a: np.ndarray, b: np.ndarray, per_a: np.ndarray, per_b: np.ndarray) -> None:
+        """New windows, one after another: their tokens and numbers of tokens on both sides."""
+        ends = [np.cumsum(n[ids]) for n, ids in zip(self.sizes, (a, b))]
+        shared = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(shared, e) for e in ends]
+        na, nb = (np.bincount(g, minlength=len(shared)) for g in group)
+        first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+        window = np.repeat(np.arange(len(per_a)), per_a)[first_a]
+        # Links: each token of one side with all tokens of its group on the other.
+        each = np.where(na * nb > _MANY_LINKS, 0, nb)[group[0]]
+        keys = np.repeat(a, each) << 32 | b[_ranges(first_b[group[0]], each)]
+        of, times = np.repeat(window[group[0]], each), np.ones(len(keys), np.int64)
+        for g in np.flatnonzero(na * nb > _MANY_LINKS):
+            (xs, nx), (ys, ny) = (np.unique(t[f[g] : f[g] + n[g]], return_counts=True) for t, f, n in ((a, first_a, na), (b, first_b, nb)))
+            keys = np.r_[keys, (xs[:, None] << 32 | ys).ravel()]
+            times = np.r_[times, (nx[:, None] * ny).ravel()]
+            of = np.r_[of, np.full(len(xs) * len(ys), window[g])]
+        order = np.argsort(of, kind="stable")
+        size = np.bincount(of, minlength=len(per_a))
+        n_links = np.zeros(len(per_a), np.int64)
+        np.add.at(n_links, window, na * nb)
+        # Names in the order of the text: per group one side, then the other.
+        words = np.empty(len(a) + len(b), object)
+        for ids, g, mine, n, other, names in ((a, group[0], first_a, na, first_b, self.names[0]), (b, group[1], first_b, nb, first_a + na, self.names[1])):
+            last = np.zeros(len(ids), np.int64)
+            last[mine + n - 1] = 1
+            words[np.arange(len(ids)) + other[g]] = names[last, ids]
+        edges = np.r_[0, np.cumsum(per_a + per_b)].tolist()
+        listed = words.tolist()
+        self.texts += ["".join(listed[x:y]) for x, y in zip(edges, edges[1:])]
+        self.n_groups = np.r_[self.n_groups, np.bincount(window, minlength=len(per_a))]
+        self.n_links = np.r_[self.n_links, n_links]
+        self.first = np.r_[self.first, len(self.keys) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.keys, self.times = np.r_[self.keys, keys[order]], np.r_[self.times, times[order]]
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -153,7 +172,6 @@ class Aligner:
     def __init__(self, first: str, second: str):
         self.a, self.b = FirstTokenizer(first), SecondTokenizer(second)
         self.windows = Windows(self.a.bytes, self.b.bytes)
-        self.lengths = [np.fromiter(map(len, t.bytes), np.int64, len(t.bytes)) for t in (self.a, self.b)]
         self.marked = [np.array([t[:1] == b" " for t in x.bytes]) for x in (self.a, self.b)]
 
     def tokens(self, data: bytes) -> tuple[list[int], list[int]]:
@@ -168,60 +186,50 @@ class Aligner:
             both.append(ids)
         return both[0], both[1]
 
-    def numbers(self, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(first token of side a, number) of each window of documents in a row.
+    def cuts(self, sides: list[np.ndarray]) -> list[np.ndarray]:
+        """First token of each window of documents in a row, on both sides.
 
         Windows start where a token that begins with a space starts on both sides. There
         the tokens before it end on both, so no group reaches over a border.
         """
-        starts = [np.cumsum(n[ids]) - n[ids] for n, ids in zip(self.lengths, sides)]
+        starts = [np.cumsum(n[ids]) - n[ids] for n, ids in zip(self.windows.sizes, sides)]
         borders = np.intersect1d(*(s[m[ids]] for s, m, ids in zip(starts, self.marked, sides)), assume_unique=True)
-        cuts = [np.searchsorted(s, borders) for s in starts]
-        raw = [ids.astype("<u4").tobytes() for ids in sides]
-        (ra, rb), known, number = raw, self.windows.known, self.windows.number
-        edges = [[*(4 * c).tolist(), len(r)] for c, r in zip(cuts, raw)]
-        found = []
-        for a0, a1, b0, b1 in zip(edges[0], edges[0][1:], edges[1], edges[1][1:]):
-            key = (ra[a0:a1], rb[b0:b1])
-            n = known.get(key)
-            found.append(number(key) if n is None else n)
-        return cuts[0], np.array(found, np.int64)
+        return [np.searchsorted(s, borders) for s in starts]
 
     def row(self, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         self.windows.forget()
         pairs = [self.tokens(t) for t in texts]
-        sides = [np.fromiter((i for p in pairs for i in p[s]), np.int64, sum(len(p[s]) for p in pairs)) for s in (0, 1)]
-        n = np.array([[len(p[0]), len(p[1])] for p in pairs], np.int64).reshape(-1, 2)
+        n = np.array([[len(a), len(b)] for a, b in pairs], np.int64).reshape(-1, 2)
+        sides = [np.fromiter(chain.from_iterable(p[s] for p in pairs), np.int64, int(n[:, s].sum())) for s in (0, 1)]
         del pairs
-        at, number = self.numbers(sides)
+        cuts = self.cuts(sides)
+        listed = self.windows.numbers(sides, cuts)
+        at, number = cuts[0], np.array(listed, np.int64)
         ends = np.searchsorted(at, np.cumsum(n[:, 0]))
         of = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
-        listed = number.tolist()
         digests = [
-            hashlib.sha256(";".join(map(self.windows.texts.__getitem__, listed[a:b])).encode()).hexdigest() if b > a else ""
+            hashlib.sha256("".join(map(self.windows.texts.__getitem__, listed[a:b]))[:-1].encode()).hexdigest() if b > a else ""
             for a, b in zip([0, *ends.tolist()], ends.tolist())
         ]
         # The shard's own numbering: each window once, with its id pairs.
         used, local = np.unique(number, return_inverse=True)
         code, times = np.unique(of * max(1, len(used)) + local, return_counts=True)
         doc, window = np.divmod(code, max(1, len(used)))
-        sums = np.array([self.windows.sums[w] for w in used.tolist()], np.int64).reshape(-1, 2)
+        sums = np.stack([self.windows.n_groups[used], self.windows.n_links[used]], axis=1)
         totals = np.zeros((len(texts), 2), np.int64)
         np.add.at(totals, doc, sums[window] * times[:, None])
-        links = [self.windows.links[w] for w in used.tolist()]
-        size = np.array([len(k) for k, _ in links], np.int64)
-        flat = [np.fromiter(chain.from_iterable(part), np.int64, int(size.sum())) for part in zip(*links)] or [size, size]
-        keys, pair = np.unique(flat[0], return_inverse=True)
+        size = self.windows.size[used]
+        links = _ranges(self.windows.first[used], size)
+        keys, pair = np.unique(self.windows.keys[links], return_inverse=True)
         # Documents that hold a pair, each once: windows of a document spread to their pairs.
         first = np.cumsum(size) - size
-        spread = np.repeat(first[window], size[window]) + np.arange(size[window].sum()) - np.repeat(np.cumsum(size[window]) - size[window], size[window])
-        once = np.unique(np.repeat(doc, size[window]) * max(1, len(keys)) + pair[spread])
+        once = np.unique(np.repeat(doc, size[window]) * max(1, len(keys)) + pair[_ranges(first[window], size[window])])
         docs = np.bincount(once % max(1, len(keys)), minlength=len(keys))
         longs = lambda v: pa.array([v], pa.list_(pa.int64()))
         cells = [
             longs(ids), *map(longs, (n[:, 0], n[:, 1], totals[:, 0], totals[:, 1])), pa.array([digests], pa.list_(pa.string())),
             longs(keys), longs(docs), pa.array([_blob(doc, window, times)], pa.binary()),
-            pa.array([_blob(np.repeat(np.arange(len(used)), size), pair, flat[1])], pa.binary()),
+            pa.array([_blob(np.repeat(np.arange(len(used)), size), pair, self.windows.times[links])], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(cells, names=[c.split(" ")[0] for c in SHARDS.split(", ")])
 
