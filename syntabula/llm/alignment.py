@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import Scratch, chunks
+from .common import Scratch, chunks, mixed
 from .shards import small_batches
 
 FIRST, SECOND = "byte_bpe_50k", "piece_bpe_32k.model"
@@ -24,6 +24,12 @@ MEMO_WINDOWS, MEMO_TOKENS = 200_000, 64
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
 
+def _has_long_run(text: str) -> bool:
+    """A run of 2,000 covers a whole block of 1,000, with white space inside it nowhere or everywhere."""
+    blocks = (text[k : k + 1000] for k in range(0, len(text) - 999, 1000))
+    return any(len(b.split(None, 1)) < 2 for b in blocks) and bool(_LONG_RUN.search(text))
+
+
 class FirstTokenizer:
     """Byte-level ids of space + text; strings of special tokens are plain text.
 
@@ -44,7 +50,7 @@ class FirstTokenizer:
             self.bytes[rank] = token
 
     def ids(self, text: str) -> list[int]:
-        if not _LONG_RUN.search(text):
+        if not _has_long_run(text):
             return self.fast.encode_ordinary(" " + text)
         if self.slow is None:
             from tokenizers import Tokenizer
@@ -81,6 +87,44 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+def _distinct(sides: list[np.ndarray], starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, place): windows of which all others are copies, and for each window its place in them.
+
+    Copies are looked for by a hash of both sides' ids and compared with the first of their hash,
+    so that ids as bytes are cut out once for each; where they differ a window stands for itself.
+    """
+    hashes, sizes = np.zeros(len(starts[0]), np.uint64), []
+    for k, (ids, at) in enumerate(zip(sides, starts)):
+        size = np.diff(np.r_[at, len(ids)])
+        inside = np.arange(len(ids)) - np.repeat(at, size)
+        hashes += np.add.reduceat(mixed((ids << 24) + 2 * inside + k), at)
+        sizes.append(size)
+    _, once, place = np.unique(hashes, return_index=True, return_inverse=True)
+    first = once[place]
+    same = np.ones(len(first), bool)
+    for ids, at, size in zip(sides, starts, sizes):
+        same &= size == size[first]
+        same[same] &= np.logical_and.reduceat(_gather(ids, at, size, same) == _gather(ids, at[first], size, same), _firsts(size[same]))
+    odd = np.flatnonzero(~same)
+    place[odd] = len(once) + np.arange(len(odd))
+    return np.r_[once, odd], place
+
+
+def _firsts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+def _gather(ids: np.ndarray, at: np.ndarray, size: np.ndarray, use: np.ndarray) -> np.ndarray:
+    return ids[_ranges(at[use], size[use])]
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which values are among the others; both in order."""
+    if not len(others):
+        return np.zeros(len(values), bool)
+    return others[np.minimum(np.searchsorted(others, values), len(others) - 1)] == values
+
+
 class Windows:
     """Alignments of windows, remembered by both sides' ids.
 
@@ -101,29 +145,32 @@ class Windows:
             self.texts: list[str] = []
             self.n_groups, self.n_links, self.first, self.size, self.keys, self.times = (np.empty(0, np.int64) for _ in range(6))
 
-    def numbers(self, sides: list[np.ndarray], cuts: list[np.ndarray]) -> list[int]:
+    def numbers(self, sides: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
         """Number of each window between the cuts of both sides."""
-        raw = [ids.astype("<u4").tobytes() for ids in sides]
         edges = [np.r_[c, len(ids)] for c, ids in zip(cuts, sides)]
-        (ra, rb), (ea, eb) = raw, ((4 * e).tolist() for e in edges)
-        keys = [(ra[a0:a1], rb[b0:b1]) for a0, a1, b0, b1 in zip(ea, ea[1:], eb, eb[1:])]
+        if not len(cuts[0]):
+            return np.empty(0, np.int64)
+        once, place = _distinct(sides, [e[:-1] for e in edges])
+        raw = [ids.astype("<u4").tobytes() for ids in sides]
+        spans = ((4 * e[k]).tolist() for e in edges for k in (once, once + 1))
+        (ra, rb), (a0, a1, b0, b1) = raw, spans
+        keys = [(ra[i:j], rb[k:m]) for i, j, k, m in zip(a0, a1, b0, b1)]
         found, new = list(map(self.known.get, keys)), []
         for i, n in enumerate(found):
-            if n is None and (n := self.known.get(keys[i])) is None:
-                n = len(self.texts) + len(new)
+            if n is None:
+                found[i] = len(self.texts) + len(new)
                 new.append(i)
                 if len(keys[i][0]) <= 4 * MEMO_TOKENS and len(keys[i][1]) <= 4 * MEMO_TOKENS:
-                    self.known[keys[i]] = n
-            found[i] = n
+                    self.known[keys[i]] = found[i]
         if new:
-            at = np.array(new)
+            at = once[new]
             self._align(*(ids[_ranges(e[at], e[at + 1] - e[at])] for ids, e in zip(sides, edges)), *(e[at + 1] - e[at] for e in edges))
-        return found
+        return np.array(found, np.int64)[place]
 
     def _align(self, a: np.ndarray, b: np.ndarray, per_a: np.ndarray, per_b: np.ndarray) -> None:
         """New windows, one after another: their tokens and numbers of tokens on both sides."""
         ends = [np.cumsum(n[ids]) for n, ids in zip(self.sizes, (a, b))]
-        shared = np.intersect1d(*ends, assume_unique=True)
+        shared = ends[0][_among(*ends)]
         group = [np.searchsorted(shared, e) for e in ends]
         na, nb = (np.bincount(g, minlength=len(shared)) for g in group)
         first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
@@ -172,19 +219,30 @@ class Aligner:
     def __init__(self, first: str, second: str):
         self.a, self.b = FirstTokenizer(first), SecondTokenizer(second)
         self.windows = Windows(self.a.bytes, self.b.bytes)
+        self.flat = [np.frombuffer(b"".join(t.bytes), np.uint8) for t in (self.a, self.b)]
+        self.places = [_firsts(sizes) for sizes in self.windows.sizes]
         self.marked = [np.array([t[:1] == b" " for t in x.bytes]) for x in (self.a, self.b)]
 
-    def tokens(self, data: bytes) -> tuple[list[int], list[int]]:
-        """Ids of both; none if the bytes of one are not the space and the text."""
-        text = data.decode()
-        whole = b" " + data
-        both = []
-        for tokenizer in (self.a, self.b):
-            ids = tokenizer.ids(text) if data else []
-            if b"".join(map(tokenizer.bytes.__getitem__, ids)) != whole:
-                return [], []
-            both.append(ids)
-        return both[0], both[1]
+    def tokens(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """(ids of each side, numbers of tokens): none for a text whose space and bytes one side does not give back."""
+        texts = [t.decode() for t in texts]
+        found, kept = [], np.array([t != "" for t in texts], bool)
+        whole = np.frombuffer("".join([" " + t for t in texts]).encode(), np.uint8)
+        size = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+        for tokenizer, flat, sizes in zip((self.a, self.b), self.flat, self.windows.sizes):
+            listed = [tokenizer.ids(t) if t else [] for t in texts]
+            n = np.fromiter(map(len, listed), np.int64, len(listed))
+            ids = np.fromiter(chain.from_iterable(listed), np.int64, int(n.sum()))
+            found.append((ids, n))
+            given = np.bincount(np.repeat(np.arange(len(n)), n), sizes[ids], len(n)).astype(np.int64)
+            kept &= given == size
+            # Bytes of the texts whose lengths agree, side by side.
+            use = np.repeat(kept, n)
+            mine = flat[_ranges(self.places[len(found) - 1][ids[use]], sizes[ids[use]])]
+            same = mine == whole[np.repeat(kept, size)]
+            if not same.all():
+                kept[kept] = np.logical_and.reduceat(same, _firsts(size[kept]))
+        return [ids[np.repeat(kept, n)] for ids, n in found], np.stack([n * kept for _, n in found], axis=1)
 
     def cuts(self, sides: list[np.ndarray]) -> list[np.ndarray]:
         """First token of each window of documents in a row, on both sides.
@@ -193,18 +251,16 @@ class Aligner:
         the tokens before it end on both, so no group reaches over a border.
         """
         starts = [np.cumsum(n[ids]) - n[ids] for n, ids in zip(self.windows.sizes, sides)]
-        borders = np.intersect1d(*(s[m[ids]] for s, m, ids in zip(starts, self.marked, sides)), assume_unique=True)
+        left, right = (s[m[ids]] for s, m, ids in zip(starts, self.marked, sides))
+        borders = left[_among(left, right)]
         return [np.searchsorted(s, borders) for s in starts]
 
     def row(self, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         self.windows.forget()
-        pairs = [self.tokens(t) for t in texts]
-        n = np.array([[len(a), len(b)] for a, b in pairs], np.int64).reshape(-1, 2)
-        sides = [np.fromiter(chain.from_iterable(p[s] for p in pairs), np.int64, int(n[:, s].sum())) for s in (0, 1)]
-        del pairs
+        sides, n = self.tokens(texts)
         cuts = self.cuts(sides)
-        listed = self.windows.numbers(sides, cuts)
-        at, number = cuts[0], np.array(listed, np.int64)
+        number = self.windows.numbers(sides, cuts)
+        at, listed = cuts[0], number.tolist()
         ends = np.searchsorted(at, np.cumsum(n[:, 0]))
         of = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
         digests = [
@@ -253,12 +309,16 @@ def _shards(first: str, second: str):
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents: the counts of their links summed over windows, then over documents."""
     for batch in batches:
-        for row in batch.to_pylist():
-            n = len(row["ids"])
-            answers = sorted((a["pair"], a["count"], a["best"]) for a in row["answers"] or [])
-            count, best = (np.array([a[k] for a in answers], np.int64) for k in (1, 2))
-            window, pair, times = _unblob(row["links"], 3)
-            doc, used, repeats = _unblob(row["windows"], 3)
+        for i in range(batch.num_rows):
+            row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
+            lists = {c: row[c].values for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "digests")}
+            n, told = len(lists["ids"]), row["answers"].values
+            # In the order of the pairs.
+            answers = {c: told.field(c).to_numpy(zero_copy_only=False) if told else np.empty(0, np.int64) for c in ("pair", "count", "best")}
+            order = np.argsort(answers["pair"])
+            count, best = answers["count"][order], answers["best"][order].astype(np.int64)
+            window, pair, times = _unblob(row["links"].as_py(), 3)
+            doc, used, repeats = _unblob(row["windows"].as_py(), 3)
             out = []
             for value in (best, count):
                 per_window = np.zeros(int(window[-1]) + 1 if len(window) else 0, np.int64)
@@ -266,8 +326,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 per_doc = np.zeros(n, np.int64)
                 np.add.at(per_doc, doc, repeats * per_window[used])
                 out.append(pa.array(per_doc))
-            longs = [pa.array(row[c], pa.int64()) for c in ("ids", "n_a", "n_b", "n_groups", "n_links")]
-            yield pa.RecordBatch.from_arrays([*longs, *out, pa.array(row["digests"], pa.string())], names=[c.split(" ")[0] for c in RESULT.split(", ")])
+            known = [lists[c] for c in ("ids", "n_a", "n_b", "n_groups", "n_links")]
+            yield pa.RecordBatch.from_arrays([*known, *out, lists["digests"]], names=[c.split(" ")[0] for c in RESULT.split(", ")])
 
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_data import awkward, table
 
@@ -120,3 +121,13 @@ def test_first_ids_are_those_of_the_library(libraries):
     texts = [*STRANGE, *("".join(rng.choice(["a", "Z", " ", "\n", "é", "漢", "7", "'ll", "<|endoftext|>"]) for _ in range(60)) for _ in range(500))]
     tokenizer = FirstTokenizer()
     assert [tokenizer.ids(t) for t in texts] == [libraries[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    texts = ["one two three one two four ".encode() * 5, b"two three", b"one"]
+    expected = Aligner(alignment.FIRST, alignment.SECOND).row([1, 2, 3], texts).to_pylist()
+    # All hashes agree.
+    monkeypatch.setattr(alignment, "mixed", lambda v: np.zeros(len(v), np.uint64))
+    got = Aligner(alignment.FIRST, alignment.SECOND).row([1, 2, 3], texts).to_pylist()
+    for name in ("n_groups", "n_links", "digests", "pairs", "pair_docs"):
+        assert got[0][name] == expected[0][name]
