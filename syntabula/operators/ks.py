@@ -151,43 +151,66 @@ def smooth_bins(hist: DataFrame, by: Sequence[str], kernel: Sequence[float] = (1
     return hist.withColumn("smooth", weighted)
 
 
+def _curve_peaks(curve: DataFrame, by: Sequence[str], x: str, y: str, distance: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Peaks that keep their distance: by, location, height, prominence, place, top (the curve's maximum), carry.
+
+    Array expressions over a curve's runs of equal heights: a run above both neighbours is a
+    peak at its middle; peaks are taken from high to low (of equal ones the later first) unless one
+    within distance was taken; the prominence goes down to the higher of the lowest points
+    before the next higher run, or the end, on either side. A curve is a fixed axis (bins
+    or grid points), so one group is one short array. carry: columns that are constant in a group.
+    """
+    points = F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    lines = curve.groupBy(*by).agg(points.alias("_c"), *[F.first(c).alias(c) for c in carry])
+    heights = lines.withColumn("_y", F.transform("_c", lambda p: p["y"]))
+    last = F.size("_y") - 1
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("_y", i) != F.get("_y", i - 1)))
+    runs = heights.withColumn("_start", starts).withColumn("_level", F.transform("_start", lambda i: F.get("_y", i)))
+    level = lambda k: F.get("_level", k)
+    inner = F.when(F.size("_level") > 2, F.sequence(F.lit(1), F.size("_level") - 2)).otherwise(F.array().cast("array<int>"))
+    tops = F.filter(inner, lambda k: (level(k) > level(k - 1)) & (level(k) > level(k + 1)))
+    middle = lambda k: F.floor((F.get("_start", k) + F.get("_start", k + 1) - 1) / 2).cast("int")
+    ranked = F.array_sort(F.transform(tops, lambda k: F.struct((-level(k)).alias("low"), (-middle(k)).alias("back"), k.alias("k"))))
+    kept = F.aggregate(
+        ranked,
+        F.array().cast("array<struct<low:double,back:int,k:int>>"),
+        lambda taken, c: F.when(F.exists(taken, lambda t: F.abs(t["back"] - c["back"]) < distance), taken).otherwise(F.concat(taken, F.array(c))),
+    )
+    each = runs.withColumn("_p", F.explode(kept)).withColumns({"height": -F.col("_p.low"), "place": -F.col("_p.back"), "_k": F.col("_p.k")})
+    # The sides from the peak outwards, itself first, up to the first higher run.
+    sides = {"_left": F.reverse(F.slice("_level", F.lit(1), F.col("_k") + 1)), "_right": F.slice("_level", F.col("_k") + 1, F.size("_level"))}
+
+    def lowest(side: str) -> Column:
+        higher = F.array_position(F.transform(side, lambda h: h > F.col("height")), True)
+        return F.array_min(F.when(higher > 0, F.slice(side, F.lit(1), (higher - 1).cast("int"))).otherwise(F.col(side)))
+
+    return each.withColumns(sides).select(
+        *by,
+        F.get("_c", F.col("place"))["x"].alias("location"),
+        "height",
+        (F.col("height") - F.greatest(lowest("_left"), lowest("_right"))).alias("prominence"),
+        "place",
+        F.array_max("_y").alias("top"),
+        *carry,
+    )
+
+
+def _by_prominence(peaks: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    """Ranks within each curve, of which there are few; equal ones from left to right."""
+    order = W.partitionBy(*by).orderBy(F.desc("prominence"), "place")
+    return peaks.withColumn("peak_rank", F.row_number().over(order)).select(*by, "peak_rank", *columns)
+
+
 def local_peaks(
     curve: DataFrame, by: Sequence[str], x: str, y: str, distance: int, share: float = 0.05, floor: float = 0.0
 ) -> DataFrame:
-    """Peaks of each curve ranked by prominence.
+    """Peaks of each curve ranked by prominence (_curve_peaks).
 
-    The prominence threshold is share x maximum, at least floor. A curve is a fixed
-    axis (bins or grid points), so one group is one short array.
+    The prominence threshold is share x maximum, at least floor.
     """
-    keys = list(by)
-    schema = T.StructType(
-        [curve.schema[c] for c in keys]
-        + [
-            T.StructField("peak_rank", T.IntegerType()),
-            T.StructField("location", T.DoubleType()),
-            T.StructField("height", T.DoubleType()),
-            T.StructField("prominence", T.DoubleType()),
-        ]
-    )
-
-    def detect(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x)
-        heights = pdf[y].to_numpy(dtype=float)
-        at, prom = P.find_peaks(heights, distance, max(floor, share * heights.max()))
-        order = np.argsort(-prom, kind="stable")
-        out = pd.DataFrame(
-            {
-                "peak_rank": np.arange(1, len(at) + 1),
-                "location": pdf[x].to_numpy(dtype=float)[at[order]],
-                "height": heights[at[order]],
-                "prominence": prom[order],
-            }
-        )
-        for c, value in zip(keys, key):
-            out[c] = value
-        return out[[*keys, "peak_rank", "location", "height", "prominence"]]
-
-    return curve.select(*keys, x, y).groupBy(*keys).applyInPandas(detect, schema)
+    found = _curve_peaks(curve, by, x, y, distance)
+    enough = found.where(F.col("prominence") >= F.greatest(F.lit(float(floor)), F.col("top") * share))
+    return _by_prominence(enough, by, "location", "height", "prominence")
 
 
 def moments(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -374,35 +397,41 @@ def accept_peaks(density: np.ndarray, low: float, high: float, spec: KdeSpec) ->
 
 
 def kde_peaks(curve: DataFrame, by: Sequence[str], spec: KdeSpec = SPEC) -> DataFrame:
-    """Accepted peaks of each density curve (one grid of points per group)."""
-    keys = list(by)
-    schema = T.StructType(
-        [curve.schema[c] for c in keys]
-        + [T.StructField("peak_rank", T.IntegerType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("location", "log_location", "height", "prominence")]
+    """Accepted peaks of each density curve (one grid of points per group), by prominence.
+
+    A peak lies inside the observed range and off the ends of the grid.
+    """
+    found = _curve_peaks(curve, by, "x", "density", spec.distance, ("observed_min", "observed_max"))
+    at = F.col("location")
+    accepted = (
+        (F.col("top") > 0)
+        & (F.col("prominence") >= F.col("top") * spec.prominence)
+        & at.between(F.col("observed_min"), F.col("observed_max"))
+        & (at > spec.low * spec.edge)
+        & (at < spec.high / spec.edge)
     )
+    return _by_prominence(found.where(accepted).withColumn("log_location", F.ln(at)), by, "location", "log_location", "height", "prominence")
 
-    def detect(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        found = accept_peaks(
-            pdf["density"].to_numpy(), pdf["observed_min"].iloc[0], pdf["observed_max"].iloc[0], spec
-        )
-        rows = [(*key, r, loc, math.log(loc), h, p) for r, (loc, h, p) in enumerate(found, start=1)]
-        return pd.DataFrame(rows, columns=schema.names)
 
-    kept = curve.select(*keys, "i", "density", "observed_min", "observed_max")
-    return kept.groupBy(*keys).applyInPandas(detect, schema)
+def _middle(values: Column) -> Column:
+    """Median of an array in order."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
+def cluster_by_median(values: Column, tolerance: float) -> Column:
+    """Sorted values join the last cluster while within tolerance of its median: an array of arrays.
+
+    The median moves as values join, so this is a fold over the values in order.
+    """
 
+    def join(clusters: Column, value: Column) -> Column:
+        last = F.element_at(clusters, -1)
+        near = (F.size(clusters) > 0) & (F.abs(value - _middle(F.try_element_at(clusters, F.lit(-1)))) <= tolerance)
+        grown = F.concat(F.slice(clusters, F.lit(1), F.size(clusters) - 1), F.array(F.concat(last, F.array(value))))
+        return F.when(near, grown).otherwise(F.concat(clusters, F.array(F.array(value))))
 
-def cluster_by_median(values: Sequence[float], tolerance: float) -> list[list[float]]:
-    """Sorted values join the last cluster while within tolerance of its median."""
-    clusters: list[list[float]] = []
-    for value in sorted(values):
-        if clusters and abs(value - float(np.median(clusters[-1]))) <= tolerance:
-            clusters[-1].append(value)
-        else:
-            clusters.append([value])
-    return clusters
+    return F.aggregate(F.array_sort(values), F.array().cast("array<array<double>>"), join)
 
 
 def bandwidth_consensus(
@@ -412,28 +441,14 @@ def bandwidth_consensus(
 
     A group holds the few peaks of its curves.
     """
-    keys = list(by)
-    schema = T.StructType(
-        [peaks.schema[c] for c in keys]
-        + [
-            T.StructField("peak_rank", T.IntegerType()),
-            T.StructField("location", T.DoubleType()),
-            T.StructField("log_location", T.DoubleType()),
-            T.StructField("bandwidth_support", T.IntegerType()),
-        ]
-    )
-
-    def agree(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for cluster in cluster_by_median(pdf["log_location"], tolerance):
-            centre = float(np.median(cluster))
-            near = pdf[(pdf["log_location"] - centre).abs() <= tolerance]
-            support = int(near["factor"].nunique())
-            if support >= min_factors:
-                rows.append((*key, len(rows) + 1, math.exp(centre), centre, support))
-        return pd.DataFrame(rows, columns=schema.names)
-
-    return peaks.select(*keys, "factor", "log_location").groupBy(*keys).applyInPandas(agree, schema)
+    members = F.collect_list(F.struct("log_location", "factor"))
+    clusters = cluster_by_median(F.transform("_all", lambda p: p["log_location"]), tolerance)
+    each = peaks.groupBy(*by).agg(members.alias("_all")).select(*by, "_all", F.posexplode(clusters).alias("_i", "_cluster"))
+    near = F.filter("_all", lambda p: F.abs(p["log_location"] - F.col("log_location")) <= tolerance)
+    support = F.size(F.array_distinct(F.transform(near, lambda p: p["factor"])))
+    agreed = each.withColumn("log_location", _middle(F.col("_cluster"))).withColumn("bandwidth_support", support).where(F.col("bandwidth_support") >= min_factors)
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_i"))
+    return agreed.select(*by, rank.alias("peak_rank"), F.exp("log_location").alias("location"), "log_location", "bandwidth_support")
 
 
 # Bootstrap

@@ -137,10 +137,44 @@ def smooth_bins(spark, sf):
     return rounded(ks.smooth_bins(hist, ["event_type"]), "center", "smooth")
 
 
-@query("local_peaks")
+def peaks_sql(name: str, curve: str, keys: str, x: str, y: str, distance: int, more: str = "") -> str:
+    """CTEs that end in `name`: keys, location, height, prominence, place, top and more, before any threshold."""
+    same = " AND ".join(f"k.{c} = r.{c}" for c in keys.split(", "))
+    own = ", ".join(f"k.{c}" for c in keys.split(", "))
+    return f"""{name}_i AS (SELECT {keys}{more}, {x} AS x, {y} AS y, row_number() OVER w - 1 AS i, CASE WHEN lag({y}) OVER w = {y} THEN 0 ELSE 1 END AS new
+  FROM {curve} WINDOW w AS (PARTITION BY {keys} ORDER BY {x})),
+{name}_g AS (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY i) AS run FROM {name}_i),
+{name}_r AS (SELECT {keys}, run, min(i) AS a, max(i) AS b, any_value(y) AS h FROM {name}_g GROUP BY {keys}, run),
+{name}_n AS (SELECT *, lag(h) OVER w AS before, lead(h) OVER w AS after FROM {name}_r WINDOW w AS (PARTITION BY {keys} ORDER BY run)),
+{name}_t AS (SELECT {keys}, unnest(list_reduce(list([{{'at': (a + b) // 2, 'h': h, 'run': run}}] ORDER BY h DESC, (a + b) // 2 DESC),
+    lambda taken, c: CASE WHEN len(list_filter(taken, lambda t: abs(t.at - c[1].at) < {distance})) > 0 THEN taken ELSE list_concat(taken, c) END)) AS p
+  FROM {name}_n WHERE h > before AND h > after GROUP BY {keys}),
+{name}_k AS (SELECT {keys}, p.at AS place, p.h AS height, p.run AS run FROM {name}_t),
+{name}_s AS (SELECT {own}, place, height, k.run, max(r.run) FILTER (r.run < k.run AND r.h > height) AS lo, min(r.run) FILTER (r.run > k.run AND r.h > height) AS hi
+  FROM {name}_k k JOIN {name}_r r ON {same} GROUP BY ALL),
+{name}_p AS (SELECT {own}, place, height, height - greatest(min(r.h) FILTER (r.run <= k.run AND r.run > coalesce(lo, 0)),
+    min(r.h) FILTER (r.run >= k.run AND r.run < coalesce(hi, k.run + 1000000))) AS prominence FROM {name}_s k JOIN {name}_r r ON {same} GROUP BY {own}, place, height, k.run, lo, hi),
+{name} AS (SELECT {own}, r.x AS location, height, prominence, place{more.replace(", ", ", r.")},
+    (SELECT max(y) FROM {name}_i z WHERE {same.replace("r.", "z.")}) AS top FROM {name}_p k JOIN {name}_i r ON {same} AND r.i = k.place)"""
+
+
+#: Smoothed in the order of the operator's terms, so that equal heights stay equal.
+SMOOTH_SQL = """sm AS (SELECT event_type, bin, CAST((bin + 0.5) * 0.05 AS DOUBLE) AS center, n,
+  coalesce(lag(n, 2) OVER w, 0) * CAST(%r AS DOUBLE) + coalesce(lag(n) OVER w, 0) * CAST(%r AS DOUBLE) + n * CAST(%r AS DOUBLE)
+  + coalesce(lead(n) OVER w, 0) * CAST(%r AS DOUBLE) + coalesce(lead(n, 2) OVER w, 0) * CAST(%r AS DOUBLE) AS smooth
+  FROM hd WINDOW w AS (PARTITION BY event_type ORDER BY bin))""" % tuple(w / 9 for w in (1.0, 2.0, 3.0, 2.0, 1.0))
+LOCAL_PEAKS_SQL = f"""{HISTOGRAM_SQL}, {SMOOTH_SQL}, {peaks_sql("lp", "sm", "event_type", "center", "smooth", 3)}"""
+
+
+@query(
+    "local_peaks",
+    f"""WITH {EVENTS_SQL}, {LOCAL_PEAKS_SQL} SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY prominence DESC, place) AS INTEGER) AS peak_rank,
+      round(location, 8) AS location, round(height, 8) AS height, round(prominence, 8) AS prominence FROM lp WHERE prominence >= greatest(2.0, top * 0.05)""",
+)
 def local_peaks(spark, sf):
     hist = ks.histogram(event_values(spark, sf), ["event_type"], "ks")
-    return ks.local_peaks(ks.smooth_bins(hist, ["event_type"]), ["event_type"], "center", "smooth", 3, floor=2.0)
+    found = ks.local_peaks(ks.smooth_bins(hist, ["event_type"]), ["event_type"], "center", "smooth", 3, floor=2.0)
+    return rounded(found, "location", "height", "prominence")
 
 
 @query(
@@ -166,9 +200,27 @@ def exact_quartiles(spark, sf):
     return rounded(found, "q1", "median", "q3")
 
 
-@query("distribution_audit")
+@query(
+    "distribution_audit",
+    f"""WITH ev AS (SELECT event_type, value / 100 AS ks FROM events WHERE value / 100 > 0 AND value / 100 <= 3), {LOCAL_PEAKS_SQL},
+    m AS (SELECT event_type, count(*) AS n, min(ks) AS minimum, max(ks) AS maximum, avg(ks) AS mean, stddev_samp(ks) AS sd, skewness(ks) AS skewness,
+      kurtosis(ks) AS excess_kurtosis, count(*) FILTER (ks <= 0.1) AS near_zero, count(*) FILTER (ks >= 2.9) AS high_boundary,
+      quantile_cont(ks, 0.25) AS q1, quantile_cont(ks, 0.5) AS median, quantile_cont(ks, 0.75) AS q3 FROM ev GROUP BY ALL),
+    md AS (SELECT event_type, arg_max(center, [n, -bin]) AS histogram_mode FROM sm GROUP BY ALL),
+    np AS (SELECT event_type, count(*) AS candidate_peaks FROM lp WHERE prominence >= greatest(2.0, top * 0.05) GROUP BY ALL),
+    fl AS (SELECT m.*, histogram_mode, coalesce(candidate_peaks, 0) AS candidate_peaks, near_zero / n AS near_zero_fraction, high_boundary / n AS high_boundary_fraction,
+      CASE coalesce(candidate_peaks, 0) WHEN 0 THEN 'NO_CLEAR_INTERNAL_PEAK' WHEN 1 THEN 'ONE_CANDIDATE_PEAK' ELSE 'MULTIMODAL_CANDIDATE' END AS distribution_flag,
+      CASE WHEN near_zero / n >= 0.2 THEN 'STRONG_LOW_KS_BOUNDARY' WHEN high_boundary / n >= 0.1 THEN 'STRONG_HIGH_KS_BOUNDARY' ELSE 'NO_STRONG_BOUNDARY' END AS boundary_flag
+      FROM m JOIN md USING (event_type) LEFT JOIN np USING (event_type))
+    SELECT event_type, n, round(minimum, 6) AS minimum, round(maximum, 6) AS maximum, round(mean, 6) AS mean, round(sd, 6) AS sd, round(skewness, 6) AS skewness,
+      round(excess_kurtosis, 6) AS excess_kurtosis, near_zero, high_boundary, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+      round(histogram_mode, 6) AS histogram_mode, candidate_peaks, round(near_zero_fraction, 6) AS near_zero_fraction, round(high_boundary_fraction, 6) AS high_boundary_fraction,
+      distribution_flag, boundary_flag,
+      CASE WHEN candidate_peaks = 1 AND abs(skewness) <= 1 AND boundary_flag = 'NO_STRONG_BOUNDARY' THEN 'POSSIBLY' ELSE 'NO' END AS single_gaussian_supported FROM fl""",
+)
 def distribution_audit(spark, sf):
-    return ks.distribution_audit(event_values(spark, sf), ["event_type"], "ks")
+    audit = ks.distribution_audit(event_values(spark, sf), ["event_type"], "ks")
+    return rounded(audit, *[f.name for f in audit.schema if f.dataType.typeName() == "double"], digits=6)
 
 
 @query(
@@ -211,14 +263,57 @@ def _event_peaks(spark, sf):
     return ks.kde_peaks(ks.log_kde(event_values(spark, sf), ["event_type"], "ks"), ["event_type", "factor"])
 
 
-@query("kde_peaks")
+def kde_sql(values: str, key: str, value: str, factors: str) -> str:
+    """CTEs that end in `dn`: the density of ln(value) on the grid for each factor."""
+    return f"""kw AS (SELECT {key}, ln({value}) AS x, count(*) AS w FROM {values} WHERE {value} BETWEEN 0.1 AND 3 GROUP BY ALL),
+ks AS (SELECT {key}, count(*) AS n, stddev_samp(ln({value})) AS sd, min({value}) AS mn, max({value}) AS mx FROM {values} WHERE {value} BETWEEN 0.1 AND 3 GROUP BY ALL),
+kf AS (SELECT *, factor * sd * pow(n, -0.2) AS h FROM ks CROSS JOIN (SELECT unnest({factors}) AS factor)),
+kg AS (SELECT i, ln(CAST(0.1 AS DOUBLE)) + i * CAST({GRID_STEP!r} AS DOUBLE) AS lx FROM (SELECT unnest(generate_series(0, 1600)) AS i)),
+dn AS (SELECT kf.{key}, factor, i, exp(lx) AS x, sum(w * exp(-0.5 * pow((lx - x) / h, 2))) / any_value(n) / any_value(h) / sqrt(2 * pi()) / exp(lx) AS density,
+  any_value(mn) AS observed_min, any_value(mx) AS observed_max FROM kf JOIN kw ON kw.{key} = kf.{key} CROSS JOIN kg GROUP BY kf.{key}, factor, i, lx)"""
+
+
+FACTORS_SQL = f"CAST({list(ks.FACTORS)} AS DOUBLE[])"
+
+
+def kde_peaks_sql(key: str) -> str:
+    """CTEs that end in `kp`: accepted peaks of the densities in `dn`."""
+    return f"""{peaks_sql("dp", "dn", f"{key}, factor", "x", "density", ks.SPEC.distance, ", observed_min, observed_max")},
+kp AS (SELECT {key}, factor, row_number() OVER (PARTITION BY {key}, factor ORDER BY prominence DESC, place) AS peak_rank, location, ln(location) AS log_location, height, prominence
+  FROM dp WHERE top > 0 AND prominence >= top * 0.05 AND location BETWEEN observed_min AND observed_max AND location > 0.1 * 1.01 AND location < 3 / 1.01)"""
+
+
+def consensus_sql(key: str) -> str:
+    """CTEs that end in `bc`: clusters of the peaks in `kp` around a moving median, with enough factors."""
+    middle = lambda c: f"({c}[(len({c}) + 1) // 2] + {c}[len({c}) // 2 + 1]) / 2"
+    return f"""cl AS (SELECT {key}, list_reduce(list([[log_location]] ORDER BY log_location), lambda c, v: CASE
+    WHEN abs(v[1][1] - {middle("c[len(c)]")}) <= 0.12 THEN list_concat(c[1:len(c) - 1], [list_concat(c[len(c)], v[1])]) ELSE list_concat(c, v) END) AS c FROM kp GROUP BY {key}),
+cu AS (SELECT {key}, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM cl),
+cm AS (SELECT {key}, i, {middle("c")} AS centre FROM cu),
+cs AS (SELECT cm.{key}, i, centre, count(DISTINCT factor) AS support FROM cm JOIN kp ON kp.{key} = cm.{key} AND abs(log_location - centre) <= 0.12 GROUP BY ALL),
+bc AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY i) AS INTEGER) AS peak_rank, exp(centre) AS location, centre AS log_location,
+  CAST(support AS INTEGER) AS bandwidth_support FROM cs WHERE support >= 3)"""
+
+
+EVENT_PEAKS_SQL = f"{EVENTS_SQL}, {kde_sql('ev', 'event_type', 'ks', FACTORS_SQL)}, {kde_peaks_sql('event_type')}"
+
+
+@query(
+    "kde_peaks",
+    f"""WITH {EVENT_PEAKS_SQL} SELECT event_type, factor, CAST(peak_rank AS INTEGER) AS peak_rank, round(location, 8) AS location, round(log_location, 8) AS log_location,
+      round(height, 6) AS height, round(prominence, 6) AS prominence FROM kp""",
+)
 def kde_peaks(spark, sf):
-    return _event_peaks(spark, sf)
+    return rounded(rounded(_event_peaks(spark, sf), "location", "log_location"), "height", "prominence", digits=6)
 
 
-@query("bandwidth_consensus")
+@query(
+    "bandwidth_consensus",
+    f"""WITH {EVENT_PEAKS_SQL}, {consensus_sql("event_type")} SELECT event_type, peak_rank, round(location, 8) AS location, round(log_location, 8) AS log_location,
+      bandwidth_support FROM bc""",
+)
 def bandwidth_consensus(spark, sf):
-    return ks.bandwidth_consensus(_event_peaks(spark, sf), ["event_type"])
+    return rounded(ks.bandwidth_consensus(_event_peaks(spark, sf), ["event_type"]), "location", "log_location")
 
 
 def _block_peaks(spark, sf):

@@ -46,8 +46,43 @@ def test_too_few_values_is_an_error(spark):
         ks.log_kde(frame(spark, {"a": [0.2] * 10 + [0.3] * 5}), ["k"], "v").collect()
 
 
-def test_cluster_by_running_median():
-    assert ks.cluster_by_median([0.0, 0.1, 0.2, 0.5], 0.12) == [[0.0, 0.1], [0.2], [0.5]]
+def clusters(values, tolerance):
+    """Plain reading of the rule."""
+    found = []
+    for value in sorted(values):
+        if found and abs(value - float(np.median(found[-1]))) <= tolerance:
+            found[-1].append(value)
+        else:
+            found.append([value])
+    return found
+
+
+def test_cluster_by_running_median(spark):
+    rng = np.random.default_rng(11)
+    # Chains with steps of exactly the tolerance, ties, and random values.
+    cases = [[0.0, 0.1, 0.2, 0.5], [k * 0.125 for k in range(9)], [1.0, 1.0, 1.125, 1.125, 1.25], [0.5]]
+    cases += [rng.uniform(0, 1, n).round(2).tolist() for n in (2, 5, 9, 17, 30)]
+    df = spark.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(cases)], "i int, v array<double>")
+    got = {r["i"]: r["c"] for r in df.select("i", ks.cluster_by_median(F.col("v"), 0.125).alias("c")).collect()}
+    assert got == {i: clusters(c, 0.125) for i, c in enumerate(cases)}
+    assert len(got[1]) == 5 and len(got[2]) == 2
+
+
+def test_peaks_of_curves_against_numpy(spark):
+    """Distance, plateaus, ties, prominence and rank, on rough and smooth curves."""
+    rng = np.random.default_rng(12)
+    curves = [rng.integers(0, 6, n).astype(float) for n in (1, 2, 3, 4, 30, 60, 90)]
+    curves += [np.zeros(20), np.arange(9.0), np.r_[0, 3, 3, 0, 3, 0, 3, 3, 3, 0], np.abs(np.sin(np.arange(200) / 9)) * np.arange(200), rng.normal(size=80)]
+    rows = [(i, float(x), float(y)) for i, c in enumerate(curves) for x, y in enumerate(c)]
+    df = spark.createDataFrame(rows, "k int, x double, y double").repartition(5)
+    for distance, floor in ((1, 0.0), (3, 0.5), (7, 1.0)):
+        expected = []
+        for i, c in enumerate(curves):
+            at, prom = P.find_peaks(c, distance, max(floor, 0.05 * c.max()))
+            order = np.argsort(-prom, kind="stable")
+            expected += [(i, r + 1, float(at[o]), float(c[at[o]]), float(prom[o])) for r, o in enumerate(order)]
+        got = ks.local_peaks(df, ["k"], "x", "y", distance, floor=floor).orderBy("k", "peak_rank").collect()
+        assert [tuple(r) for r in got] == expected
 
 
 def test_consensus_and_bootstrap(spark):
