@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions import peaks as P
+from ..functions import draws as D, peaks as P
 from ..session import cut_lineage
 from .scale import exact_quantiles, spread
 
@@ -453,11 +452,45 @@ def bandwidth_consensus(
 
 # Bootstrap
 
+#: Values nearer than this share their draws.
+VALUE_UNIT = 1e-9
 
-def _replicate_seed(seed: int, *parts) -> np.random.Generator:
-    """Generator that depends on the group, bucket and replicate only."""
-    text = "\x1f".join(str(p) for p in parts)
-    return np.random.default_rng([seed, *text.encode("utf-8")])
+
+def resampled_bins(weighted: DataFrame, by: Sequence[str], replicates: int, seed: int, spec: KdeSpec = SPEC) -> DataFrame:
+    """(by, replicate, bin, n): how often the values of each grid point are drawn in each replicate.
+
+    Every occurrence of a value is drawn a Poisson number of times of mean 1. The number is a
+    function of seed, group, value, replicate and occurrence alone, so draws need no state,
+    no order and no group in one place: rows are spread over tasks as they come, and
+    tasks add up their own draws per grid point first. A value that occurs more than
+    SINGLY times is drawn from the normal distribution of that mean and variance.
+    """
+    step = float(spec.grid[1] - spec.grid[0])
+    point = F.floor((F.ln("_v") - F.lit(math.log(spec.low))) / step + 0.5).cast("int")
+    words = D.key_words(F.lit(seed), *[F.col(c) for c in by], F.floor(F.col("_v") / VALUE_UNIT).cast("long"))
+    keyed = weighted.select(*by, "_w", point.alias("bin"), words[0].alias("_a"), words[1].alias("_z"))
+    times = F.when(F.col("_w") <= D.SINGLY, F.sequence(F.lit(1).cast("long"), F.col("_w"))).otherwise(F.array(F.lit(0).cast("long")))
+    # Few values may carry all the work, so the replicates are dealt out too.
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES_PER_TASK)))
+    dealt = spread(keyed.withColumn("_chunk", chunks), *by, "bin", "_a", "_chunk")
+    first = F.col("_chunk") * REPLICATES_PER_TASK
+    replicate = F.explode(F.sequence(first, F.least(first + REPLICATES_PER_TASK, F.lit(replicates)) - 1))
+    each = dealt.withColumn("replicate", replicate).withColumn("_j", F.explode(times))
+    key = (F.col("_a"), F.col("_z"))
+    counter = F.col("replicate").cast("long") * 64
+    each = D.with_uniform(each, "_u", key, counter + F.col("_j"))
+    numbers = F.sequence(F.lit(1).cast("long"), F.lit(D.UNIFORMS).cast("long"))
+    total = F.aggregate(numbers, F.lit(0).cast("long"), lambda t, j: t + D.uniform(key, counter + j))
+    normal = total / F.lit(float(D.WORD)) - D.UNIFORMS / 2
+    many = F.greatest(F.lit(0).cast("long"), F.floor(F.col("_w") + F.sqrt("_w") * normal + 0.5))
+    drawn = each.withColumn("_n", F.when(F.col("_j") > 0, D.poisson_one(F.col("_u"))).otherwise(many))
+    # Filtered after the sum: a filter before it would be pushed below the mixing steps and
+    # multiply them.
+    return drawn.groupBy(*by, "replicate", "bin").agg(F.sum("_n").alias("n")).where("n > 0")
+
+
+#: Replicates that one row of a value stands for while rows are dealt out.
+REPLICATES_PER_TASK = 50
 
 
 def bootstrap_support(
@@ -471,28 +504,24 @@ def bootstrap_support(
     min_support: float = 0.60,
     factor: float = 1.0,
     spec: KdeSpec = SPEC,
-    buckets: int = 4,
 ) -> DataFrame:
     """How often each reference peak returns in resamples of the values.
 
-    references: by, peak_rank, location, log_location, bandwidth_support. Resampling
-    n values with replacement is a multinomial over the distinct values, so equal
-    values cost one kernel. It is drawn in two levels for every group, whatever its
-    size: first into `buckets` parts of the values, then within a part (_resample).
-    Draws depend on group, bucket and replicate only, not on partitioning; a task
-    holds one part, so `buckets` bounds the memory for very large groups.
+    references: by, peak_rank, location, log_location, bandwidth_support. A resample is a
+    table of draws per grid point (resampled_bins): its density is that of the draws,
+    with values at their nearest grid point, and its bandwidth comes from their exact integer
+    sums. A task holds one replicate's grid, whatever the number of values.
     """
     weighted = cut_lineage(_weighted(values, by, value, spec))
-    return _bootstrap(
-        weighted, cut_lineage(references), by, replicates, seed, tolerance, min_support, factor, spec, buckets
-    )
+    return _bootstrap(weighted, cut_lineage(references), by, replicates, seed, tolerance, min_support, factor, spec)
 
 
-def _bootstrap(weighted, references, by, replicates, seed, tolerance, min_support, factor, spec, buckets) -> DataFrame:
+def _bootstrap(weighted, references, by, replicates, seed, tolerance, min_support, factor, spec) -> DataFrame:
     keys = list(by)
     stats = _log_stats(weighted, keys, spec)
-    plan = _Resampling(keys, [weighted.schema[c] for c in keys], replicates, seed, factor, spec)
-    found = _resample(weighted, buckets, plan)
+    bins = resampled_bins(weighted, keys, replicates, seed, spec)
+    curves = bins.groupBy(*keys, "replicate").agg(F.collect_list(F.struct("bin", "n")).alias("_bins"))
+    found = curves.mapInPandas(_sample_peaks(keys, factor, spec), T.StructType([*[weighted.schema[c] for c in keys], *_FOUND]))
     # Peaks per curve are few; references per group too.
     near = (
         references.select(*keys, "peak_rank", F.col("log_location").alias("_ref"))
@@ -522,120 +551,33 @@ def _bootstrap(weighted, references, by, replicates, seed, tolerance, min_suppor
     )
 
 
-@dataclass(frozen=True)
-class _Resampling:
-    keys: list[str]
-    key_fields: list[T.StructField]
-    replicates: int
-    seed: int
-    factor: float
-    spec: KdeSpec
-    per_task: int = 125
-
-    def chunks(self):
-        return F.explode(F.sequence(F.lit(0), F.lit(math.ceil(self.replicates / self.per_task) - 1)))
-
-    def schema(self, *doubles: str, arrays: Sequence[str] = (), replicate: bool = True) -> T.StructType:
-        fields = [*self.key_fields] + ([T.StructField("replicate", T.IntegerType())] if replicate else [])
-        fields += [T.StructField(c, T.DoubleType()) for c in doubles]
-        return T.StructType(fields + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in arrays])
-
-    def peaks(self, key: tuple, r: int, density: np.ndarray, low: float, high: float) -> list[tuple]:
-        return [(*key, r, loc, math.log(loc)) for loc, _, _ in accept_peaks(density, low, high, self.spec)]
-
-
-def _resample(weighted: DataFrame, buckets: int, plan: _Resampling) -> DataFrame:
-    """Peaks of every resample.
-
-    First it is drawn how many of the n draws fall into each bucket, then the draws
-    inside a bucket: together a multinomial over all values, with no task holding
-    more than a bucket. Bandwidths need the spread of the whole resample, hence one
-    pass for the moments and one for the densities, which repeat the same draws.
-    """
-    keys, grid = plan.keys, plan.spec.grid
-    bucketed = weighted.withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(buckets)).cast("long"))
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
-
-    def deal(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        # One row per bucket.
-        pdf = pdf.sort_values("_b")
-        share = pdf["_bw"].to_numpy(dtype=float)
-        n = int(share.sum())
-        draws = np.stack(
-            [_replicate_seed(plan.seed, *key, "deal", r).multinomial(n, share / n) for r in range(plan.replicates)], axis=1
-        )
-        rows = [(*key, int(b), row.tolist()) for b, row in zip(pdf["_b"], draws)]
-        return pd.DataFrame(rows, columns=[*keys, "_b", "_draws"])
-
-    deal_schema = T.StructType(
-        [*plan.key_fields, T.StructField("_b", T.LongType()), T.StructField("_draws", T.ArrayType(T.LongType()))]
-    )
-    dealt = totals.groupBy(*keys).applyInPandas(deal, deal_schema)
-    tasks = dealt.withColumn("_chunk", plan.chunks()).withColumn(
-        "_draws", F.slice("_draws", F.col("_chunk") * plan.per_task + 1, F.lit(plan.per_task))
-    )
-    task_keys = [*keys, "_b", "_chunk"]
-    left = spread(bucketed.select(*keys, "_b", "_v", "_w").withColumn("_chunk", plan.chunks()), *task_keys).groupBy(*task_keys)
-
-    def resamples(key, values: pd.DataFrame, task: pd.DataFrame):
-        """(replicate, values, draws) of one bucket, the same on every call."""
-        values = values.sort_values("_v")
-        v, w = values["_v"].to_numpy(), values["_w"].to_numpy(dtype=float)
-        for j, m in enumerate(task["_draws"].iloc[0]):
-            r = int(key[-1]) * plan.per_task + j
-            drawn = _replicate_seed(plan.seed, *key[:-1], r).multinomial(int(m), w / w.sum())
-            if m:
-                yield r, v[drawn > 0], drawn[drawn > 0].astype(float)
-
-    measured = plan.schema("_m", "_mean", "_ss", "_lo", "_hi")
-
-    def measure(key: tuple[Any, ...], values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r, v, w in resamples(key, values, task):
-            x, m = np.log(v), float(w.sum())
-            mean = float(x @ w) / m
-            rows.append((*key[:-2], r, m, mean, float((x - mean) ** 2 @ w), float(v.min()), float(v.max())))
-        return pd.DataFrame(rows, columns=measured.names)
-
-    m, mean = F.col("_m"), F.col("_mean")
-    widths = (
-        left.cogroup(spread(tasks, *task_keys).groupBy(*task_keys))
-        .applyInPandas(measure, measured)
-        .groupBy(*keys, "replicate")
-        .agg(
-            F.sum(m).alias("_n"),
-            F.sum(m * mean).alias("_s1"),
-            F.sum(F.col("_ss") + m * mean * mean).alias("_s2"),
-            F.min("_lo").alias("_lo"),
-            F.max("_hi").alias("_hi"),
-        )
-        .withColumn("_var", (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1))
-        .withColumn("_width", F.pow("_n", F.lit(-0.2)) * plan.factor * F.sqrt(F.greatest("_var", F.lit(0.0))))
-        .select(*keys, "replicate", "_width", "_lo", "_hi")
-    )
-    # One entry per replicate.
-    lookup = widths.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("replicate", "_width"))).alias("_widths"))
-    summed = T.StructType([*plan.schema(arrays=["part"]).fields, T.StructField("_b", T.LongType())])
+_FOUND = [T.StructField("replicate", T.IntegerType()), T.StructField("location", T.DoubleType()), T.StructField("log_location", T.DoubleType())]
 
-    def kernel(key: tuple[Any, ...], values: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-        width_of = dict(task["_widths"].iloc[0])
-        rows = [
-            (*key[:-2], r, P.kernel_sum(grid, np.log(v), w, width_of[r]).tolist(), int(key[-2]))
-            for r, v, w in resamples(key, values, task)
-            if width_of.get(r)
-        ]
-        return pd.DataFrame(rows, columns=summed.names)
 
-    curves = left.cogroup(spread(tasks.join(lookup, keys), *task_keys).groupBy(*task_keys)).applyInPandas(kernel, summed)
-    found = plan.schema("location", "log_location")
+def _sample_peaks(keys: list[str], factor: float, spec: KdeSpec):
+    """Peaks of resamples; the densities of a grid's points add up shifted copies of one kernel."""
 
-    def recover(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        # One vector per part, so `buckets` of them; a common scale does not move peaks.
-        density = np.sum(np.stack(pdf.sort_values("_b")["part"].to_list()), axis=0) / np.exp(grid)
-        rows = plan.peaks(key[:-1], int(key[-1]), density, pdf["_lo"].iloc[0], pdf["_hi"].iloc[0])
-        return pd.DataFrame(rows, columns=found.names)
-
-    return curves.join(widths, [*keys, "replicate"]).groupBy(*keys, "replicate").applyInPandas(recover, found)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets = np.arange(1 - spec.points, spec.points)
+        x = np.exp(spec.grid)
+        for pdf in batches:
+            rows = []
+            for *key, replicate, bins in pdf[[*keys, "replicate", "_bins"]].itertuples(index=False):
+                at = np.array([b["bin"] for b in bins])
+                n = np.array([b["n"] for b in bins], float)
+                total, mean = n.sum(), n @ at / n.sum()
+                deviation = math.sqrt(n @ (at - mean) ** 2 / (total - 1)) if total > 1 else 0.0
+                if deviation == 0:
+                    continue
+                kernel = np.exp(-0.5 * (offsets / (total**-0.2 * factor * deviation)) ** 2)
+                # Row s holds the kernel from its place s on: that of grid point points - 1 - s.
+                shifted = np.lib.stride_tricks.sliding_window_view(kernel, spec.points)
+                density = n @ shifted[spec.points - 1 - at]
+                for location, _, _ in accept_peaks(density / x, x[at.min()], x[at.max()], spec):
+                    rows.append((*key, replicate, location, math.log(location)))
+            yield pd.DataFrame(rows, columns=[*keys, *[f.name for f in _FOUND]])
+
+    return run
 
 
 def nearest_within(
@@ -714,9 +656,7 @@ def validated_peaks(
     weighted = cut_lineage(_weighted(sets, keys, value, spec))
     peaks = kde_peaks(_kde(weighted, keys, FACTORS, spec), [*keys, "factor"], spec)
     references = cut_lineage(bandwidth_consensus(peaks, keys))
-    supported = cut_lineage(
-        _bootstrap(weighted, references, keys, replicates, 20260805, 0.12, 0.60, 1.0, spec, 4)
-    )
+    supported = cut_lineage(_bootstrap(weighted, references, keys, replicates, 20260805, 0.12, 0.60, 1.0, spec))
     valid = supported.filter("valid").withColumn("location", F.col("bootstrap_median"))
 
     def of(name: str) -> DataFrame:

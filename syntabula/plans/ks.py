@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import values as V
+from ..functions import draws as D, values as V
 from ..operators import ks
 from ..operators.scale import exact_quantiles
 from .homology import lines, rounded
@@ -322,10 +322,55 @@ def _block_peaks(spark, sf):
     return kept, ks.bandwidth_consensus(ks.kde_peaks(curve, ["comparison", "factor"]), ["comparison"])
 
 
-@query("bootstrap_support")
+def bootstrap_sql(key: str, replicates: int = 500, seed: int = 20260805) -> str:
+    """CTEs that end in `bs`: draws of the values in `kw` by counter, densities and peaks of each replicate, recoveries of the peaks in `bc`."""
+    number = lambda counter: D.mix_sql("xor(" + D.mix_sql(f"(a + ({counter}) * {D.STEP}) % {D.WORD}") + ", z)")
+    events = " + ".join(f"CAST(u >= {step} AS BIGINT)" for step in D.poisson_steps())
+    return f"""bv AS (SELECT {key}, v, w, CAST(floor((ln(v) - ln(CAST(0.1 AS DOUBLE))) / CAST({GRID_STEP!r} AS DOUBLE) + 0.5) AS INTEGER) AS bin,
+    md5(concat_ws('|', '{seed}', {key}, CAST(floor(v / CAST(1e-9 AS DOUBLE)) AS BIGINT))) AS d
+  FROM (SELECT {key}, ks AS v, count(*) AS w FROM vv WHERE ks BETWEEN 0.1 AND 3 GROUP BY ALL)),
+bk AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS z FROM bv),
+br AS (SELECT {key}, w, bin, a, z, r FROM bk CROSS JOIN (SELECT unnest(generate_series(0, {replicates - 1})) AS r)),
+be AS (SELECT {key}, w, bin, a, r, {number("r * 64 + j")} AS u FROM
+  (SELECT *, unnest(generate_series(1, CASE WHEN w <= {D.SINGLY} THEN w ELSE {D.UNIFORMS} END)) AS j FROM br)),
+bd AS (SELECT {key}, r, bin, CASE WHEN w <= {D.SINGLY} THEN CAST(sum({events}) AS BIGINT)
+    ELSE greatest(0, CAST(floor(w + sqrt(w) * (CAST(sum(u) AS DOUBLE) / {float(D.WORD)} - {D.UNIFORMS / 2}) + 0.5) AS BIGINT)) END AS n FROM be GROUP BY {key}, r, bin, w, a),
+bb AS (SELECT {key}, r, bin, CAST(sum(n) AS DOUBLE) AS n FROM bd WHERE n > 0 GROUP BY ALL),
+bw AS (SELECT {key}, r, sum(n) AS total, sum(n * bin) / sum(n) AS mean, min(bin) AS lo, max(bin) AS hi FROM bb GROUP BY ALL),
+bh AS (SELECT bw.{key}, bw.r, any_value(lo) AS lo, any_value(hi) AS hi, pow(any_value(total), -0.2) * sqrt(sum(n * (bin - mean) * (bin - mean)) / (any_value(total) - 1)) AS h
+  FROM bb JOIN bw ON bw.{key} = bb.{key} AND bw.r = bb.r GROUP BY bw.{key}, bw.r HAVING any_value(total) > 1),
+bc_curve AS (SELECT bh.{key}, bh.r, kg.i, exp(lx) AS x, sum(n * exp(-0.5 * ((kg.i - bin) / h) * ((kg.i - bin) / h))) / exp(lx) AS density,
+    exp(ln(CAST(0.1 AS DOUBLE)) + any_value(lo) * CAST({GRID_STEP!r} AS DOUBLE)) AS observed_min, exp(ln(CAST(0.1 AS DOUBLE)) + any_value(hi) * CAST({GRID_STEP!r} AS DOUBLE)) AS observed_max
+  FROM bh JOIN bb ON bh.{key} = bb.{key} AND bh.r = bb.r CROSS JOIN kg WHERE h > 0 GROUP BY bh.{key}, bh.r, kg.i, lx),
+{peaks_sql("bp", "bc_curve", f"{key}, r", "x", "density", ks.SPEC.distance, ", observed_min, observed_max")},
+bf AS (SELECT {key}, r, location FROM bp WHERE top > 0 AND prominence >= top * 0.05 AND location >= observed_min * (1 - 1e-12)
+  AND location <= observed_max * (1 + 1e-12) AND location > 0.1 * 1.01 AND location < 3 / 1.01),
+bm AS (SELECT bc.{key}, peak_rank, r, arg_min(bf.location, abs(ln(bf.location) - log_location)) AS seen FROM bc JOIN bf ON bc.{key} = bf.{key}
+  AND abs(ln(bf.location) - log_location) <= 0.12 GROUP BY ALL),
+bn AS (SELECT {key}, peak_rank, count(*) AS recoveries, quantile_cont(seen, 0.5) AS bootstrap_median, quantile_cont(seen, 0.025) AS bootstrap_lower,
+  quantile_cont(seen, 0.975) AS bootstrap_upper FROM bm GROUP BY ALL),
+bs AS (SELECT bc.*, coalesce(recoveries, 0) AS recoveries, bootstrap_median, bootstrap_lower, bootstrap_upper, mn AS observed_min, mx AS observed_max,
+    coalesce(recoveries, 0) / {replicates} AS support,
+    coalesce(coalesce(recoveries, 0) / {replicates} >= 0.6 AND bootstrap_median BETWEEN mn AND mx, false) AS valid
+  FROM bc JOIN ks ON ks.{key} = bc.{key} LEFT JOIN bn ON bn.{key} = bc.{key} AND bn.peak_rank = bc.peak_rank)"""
+
+
+def support_sql(values: str, key: str) -> str:
+    """All CTEs from the values (key, ks) in the query `values` to `bs`."""
+    return f"""vv AS ({values}), {kde_sql("vv", key, "ks", FACTORS_SQL)}, {kde_peaks_sql(key)}, {consensus_sql(key)}, {bootstrap_sql(key)}"""
+
+
+SUPPORT_COLUMNS = ("location", "log_location", "bootstrap_median", "bootstrap_lower", "bootstrap_upper", "observed_min", "observed_max", "support")
+
+
+@query(
+    "bootstrap_support",
+    f"""WITH {BLOCKS_SQL}, {support_sql("SELECT comparison, ks_median AS ks FROM fb WHERE reject_reason IS NULL", "comparison")}
+    SELECT comparison, peak_rank, bandwidth_support, recoveries, valid, {", ".join(f"round({c}, 8) AS {c}" for c in SUPPORT_COLUMNS)} FROM bs""",
+)
 def bootstrap_support(spark, sf):
     kept, references = _block_peaks(spark, sf)
-    return ks.bootstrap_support(kept, references, ["comparison"], "ks_median")
+    return rounded(ks.bootstrap_support(kept, references, ["comparison"], "ks_median"), *SUPPORT_COLUMNS)
 
 
 @query("validated_peaks")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from syntabula.functions import peaks as P
+from syntabula.functions import draws, peaks as P
 from syntabula.operators import ks
 
 
@@ -92,17 +92,10 @@ def test_consensus_and_bootstrap(spark):
     args = {"replicates": 40}
     small = {(r["k"], r["peak_rank"]): r for r in ks.bootstrap_support(df, references, ["k"], "v", **args).collect()}
     again = {(r["k"], r["peak_rank"]): r for r in ks.bootstrap_support(df.repartition(3), references, ["k"], "v", **args).collect()}
-    large = {
-        (r["k"], r["peak_rank"]): r
-        for r in ks.bootstrap_support(df, references, ["k"], "v", buckets=3, **args).collect()
-    }
     assert len(small) == 4 and small == again
     for key, row in small.items():
         assert row["valid"] and row["support"] == 1.0 and row["bandwidth_support"] == 5
         assert row["bootstrap_lower"] <= row["bootstrap_median"] <= row["bootstrap_upper"]
-        other = large[key]
-        assert other["support"] > 0.9 and other["valid"]
-        assert abs(math.log(other["bootstrap_median"] / row["bootstrap_median"])) < 0.03
 
 
 def test_bootstrap_does_not_depend_on_other_groups(spark):
@@ -131,15 +124,54 @@ def test_histogram_keeps_groups_out_of_range(spark):
     assert got.groupBy("k").sum("n").orderBy("k").collect() == [("a", 1), ("b", 0)]
 
 
-def test_resampled_spread_is_the_same_in_two_levels(spark):
-    """Widths of interval come out alike when a group is spread over buckets."""
-    df = frame(spark, {"a": two_hills(500, 4)})
+def test_draws_are_poisson_and_repeat(spark):
+    """Means and variances of draws: single values, values that occur often, and equal draws in any partitioning."""
+    values = [0.2] * 1 + [0.3] * 16 + [0.4] * 17 + [0.9] * 400
+    weighted = ks._weighted(frame(spark, {"a": values}), ["k"], "v", ks.SPEC)
+    got = ks.resampled_bins(weighted, ["k"], 4000, 7).toPandas()
+    again = ks.resampled_bins(weighted.repartition(3), ["k"], 4000, 7).toPandas()
+    order = ["replicate", "bin"]
+    assert got.sort_values(order, ignore_index=True).equals(again.sort_values(order, ignore_index=True))
+    table = got.pivot(index="replicate", columns="bin", values="n").reindex(range(4000)).fillna(0)
+    for n, (_, drawn) in zip((1, 16, 17, 400), table.items()):
+        assert abs(drawn.mean() - n) < 5 * math.sqrt(n / 4000) and abs(drawn.var() / n - 1) < 0.15
+    assert abs(np.corrcoef(table.to_numpy().T) - np.eye(4)).max() < 0.08
+    assert np.isclose((table.iloc[:, 0] == 0).mean(), math.exp(-1), atol=0.03)
+
+
+def test_mixing_is_the_public_finaliser(spark):
+    def plain(h):
+        h = (h ^ h >> 16) * 0x85EBCA6B % 2**32
+        h = (h ^ h >> 13) * 0xC2B2AE35 % 2**32
+        return h ^ h >> 16
+
+    numbers = [0, 1, 65535, 65536, 2**31, 2**32 - 1, 123456789]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", draws.mix(F.col("n")).alias("m"))
+    stepwise = draws.with_uniform(df, "u", (F.col("n"), F.lit(5).cast("long")), F.lit(3).cast("long"))
+    rows = stepwise.select("*", draws.uniform((F.col("n"), F.lit(5).cast("long")), F.lit(3).cast("long")).alias("w")).collect()
+    assert [r["m"] for r in rows] == [plain(r["n"]) for r in rows]
+    assert [r["u"] for r in rows] == [r["w"] for r in rows] == [plain(plain((r["n"] + 3 * draws.STEP) % 2**32) ^ 5) for r in rows]
+
+
+def test_bootstrap_agrees_with_resampling_with_replacement(spark):
+    """Supports and intervals of counter-based draws against numpy's own resamples."""
+    values = np.r_[two_hills(120, 4), np.exp(np.random.default_rng(5).normal(math.log(1.9), 0.1, 12)).round(5)]
+    values = values[(values >= 0.1) & (values <= 3)]
+    df = frame(spark, {"a": values})
     references = ks.bandwidth_consensus(ks.kde_peaks(ks.log_kde(df, ["k"], "v"), ["k", "factor"]), ["k"])
-    spans = []
-    for buckets in (1, 16):
-        got = ks.bootstrap_support(df, references, ["k"], "v", replicates=120, buckets=buckets)
-        spans.append([r["bootstrap_upper"] - r["bootstrap_lower"] for r in got.orderBy("peak_rank").collect()])
-    assert np.allclose(spans[0], spans[1], rtol=0.5)
+    got = ks.bootstrap_support(df, references, ["k"], "v", replicates=300).orderBy("peak_rank").collect()
+    rng, found = np.random.default_rng(6), []
+    for _ in range(300):
+        sample = rng.choice(values, len(values))
+        x = np.log(sample)
+        density = P.kernel_sum(ks.SPEC.grid, x, np.ones(len(x)), len(x) ** -0.2 * x.std(ddof=1)) / np.exp(ks.SPEC.grid)
+        found.append([p[0] for p in ks.accept_peaks(density, sample.min(), sample.max(), ks.SPEC)])
+    for row in got:
+        near = [min(c, key=lambda p: abs(math.log(p / row["location"]))) for c in found if c]
+        near = [p for p in near if abs(math.log(p / row["location"])) <= 0.12]
+        assert abs(row["support"] - len(near) / 300) < 0.12
+        assert abs(math.log(row["bootstrap_median"] / np.median(near))) < 0.02
+        assert abs(math.log(row["bootstrap_upper"] / np.quantile(near, 0.975))) < 0.05
 
 
 def test_validated_peaks(spark):
