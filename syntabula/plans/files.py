@@ -257,12 +257,13 @@ def parsed_completeness(spark, sf):
 
 @query(
     "printed_and_parsed_fasta",
-    """SELECT 'd' || doc_id AS seq_id, length(regexp_replace(text, '[\\s\\v]+', '', 'g')) AS length, md5(regexp_replace(text, '[\\s\\v]+', '', 'g')) AS md5
-    FROM documents WHERE text IS NOT NULL AND NOT contains(text, '>')""",
+    """SELECT 'd' || doc_id AS seq_id, length(regexp_replace(coalesce(text, ''), '[\\s\\v]+', '', 'g')) AS length,
+      md5(regexp_replace(coalesce(text, ''), '[\\s\\v]+', '', 'g')) AS md5 FROM documents""",
 )
 def printed_and_parsed_fasta(spark, sf):
-    docs = table(spark, sf, "documents").filter("text IS NOT NULL AND NOT contains(text, '>')")
-    seqs = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id"), F.regexp_replace("text", r"[\s\x0B]+", "").alias("sequence"))
+    text = F.coalesce("text", F.lit(""))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id")
+    seqs = table(spark, sf, "documents").select(name, F.regexp_replace(text, r"[\s\x0B]+", "").alias("sequence"))
     back = fasta.parse_fasta(records(fasta.fasta_records(seqs), F.col("value")))
     return back.select("seq_id", F.length("sequence").cast("long").alias("length"), F.md5("sequence").alias("md5"))
 

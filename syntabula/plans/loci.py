@@ -56,14 +56,19 @@ def contiguous_order_check(spark, sf):
     return loci.contiguous_order_check(lines(spark, sf), ["l_orderkey"], "l_linenumber")
 
 
+#: Transcripts of this status get an unknown id: their coding rows have no transcript, and they no coding rows.
+PARTIAL = "o_orderstatus <> 'P'"
+UNKNOWN_PARTIAL_SQL = missing_sql("orders", "o_orderkey", PARTIAL)
+
+
 @query(
     "representative_transcript",
-    """WITH c AS (
+    f"""WITH c AS (
       SELECT l_orderkey AS transcript_id, CAST(sum(CAST(l_quantity AS BIGINT) + 1) AS BIGINT) AS cds_length,
         min(l_suppkey) AS gene, min(l_returnflag) AS seqid, min(l_partkey) AS s,
         max(l_partkey + CAST(l_quantity AS BIGINT)) AS e, min(l_linestatus) AS strand,
         min(l_returnflag) = max(l_returnflag) AND min(l_linestatus) = max(l_linestatus) AS single FROM lineitem GROUP BY ALL
-    ), t AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'
+    ), t AS (SELECT * FROM {UNKNOWN_PARTIAL_SQL}
     ), m AS (
       SELECT coalesce(t.o_orderkey, c.transcript_id) AS transcript_id,
         CASE WHEN t.o_orderkey IS NOT NULL THEN o_custkey ELSE gene END AS gene_id,
@@ -80,7 +85,7 @@ def contiguous_order_check(spark, sf):
     ),
 )
 def representative_transcript(spark, sf):
-    transcripts = orders(spark, sf).filter("o_orderstatus <> 'P'").select(
+    transcripts = missing_where(orders(spark, sf), "o_orderkey", PARTIAL).select(
         F.col("o_orderkey").alias("transcript_id"),
         F.col("o_custkey").cast("string").alias("gene_id"),
         F.col("o_orderpriority").alias("seqid"),
