@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .edit import best_match, masks
 
-#: Errors allowed per character of an item, and the shortest item that is evidence.
+#: Errors allowed per character of an item; shorter items are matched exactly, as whole words.
 ERROR_RATE, LEAST_CHARS = 0.05, 20
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 2_000_000
@@ -28,6 +28,16 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+#: From here on scripts mostly write no spaces between words.
+_UNSPACED = "\u2e80"
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Neither edge of text[start:end] is inside a word; scripts without spaces have no inside."""
+    edges = [text[i - 1 : i + 1] for i in (start, end) if 0 < i < len(text)]
+    return not any(pair[0].isalnum() and pair[1].isalnum() and max(pair) < _UNSPACED for pair in edges)
+
+
 class Matcher:
     """Items of one block. A near match keeps at least one of its budget + 1 pieces whole,
     so the piece's place says where to verify; nothing else has to be looked at."""
@@ -35,7 +45,7 @@ class Matcher:
     def __init__(self, items: list[tuple[object, str]], rate: float):
         import ahocorasick
 
-        self.items = [(key, text, int(len(text) * rate), masks(text)) for key, text in items]
+        self.items = [(key, text, int(len(text) * rate) if len(text) >= LEAST_CHARS else 0, masks(text)) for key, text in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, budget, _) in enumerate(self.items):
             for offset, piece in pieces(text, budget):
@@ -57,6 +67,10 @@ class Matcher:
         out = []
         for i, starts in sorted(diagonals.items()):
             key, item, budget, places = self.items[i]
+            if len(item) < LEAST_CHARS:
+                ends = [s + len(item) for s in starts if whole_words(text, s, s + len(item))]
+                out += [(key, 0, 0, min(ends))] if ends else []
+                continue
             best, end, done = budget + 1, 0, None
             for low, high in _merged(sorted(starts), len(item) + budget, budget):
                 low = max(0, low)
@@ -91,7 +105,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
     size = 0
     for key, text in items.select(id_col, text_col).toLocalIterator():
         text = normal(text)
-        if len(text) < LEAST_CHARS:
+        if not text:
             continue
         if held and size + len(text) > BLOCK_CHARS:
             yield held
@@ -134,8 +148,8 @@ def contaminated(
     Texts are lower-cased and white space is collapsed. An item is held if some part of
     the document is within edit distance floor(rate x length) of it; distance is the
     least over the places checked, match_end the end of the first best place in the
-    normalised text. Items shorter than LEAST_CHARS, empty or null are no evidence and
-    match nothing. Null texts are empty. Repeated rows and repeated items give repeated
+    normalised text. Items shorter than LEAST_CHARS are held where they stand exactly, as whole
+    words (whole_words()). Items without a character and nulls match nothing. Null texts are empty. Repeated rows and repeated items give repeated
     hits; null ids stay null. Empty tables give no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -209,7 +209,10 @@ def _similar(scratch: Scratch, pairs: DataFrame, marked: DataFrame, rows: DataFr
 def similar_documents(
     scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """(doc_id, component_id) for every row of docs, linked at the similarity of their sets of shingles.
+    """(doc_id, component_id, text_hash, group) for every row of docs, linked at the similarity of their sets of shingles.
+
+    component_id is the least id of the group; two groups share it if that id has several
+    texts, hence the number of the group, and the hash that tells rows of one id apart.
 
     Candidates share a key of least hashes (BANDS, BAND_ROWS); each candidate pair is
     verified by its whole sets, so no link is below the similarity, and of pairs at 0.8
@@ -237,5 +240,5 @@ def similar_documents(
     grouped = nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "least", F.coalesce("label", "id").alias("label"))
     grouped = scratch.table(grouped)
     roots = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = scratch.table(grouped.join(roots, "label").select("id", "component_id"), keep=True)
-    return marked.join(of, "id").select("doc_id", "component_id")
+    of = scratch.table(grouped.join(roots, "label").select("id", "component_id", F.col("label").alias("group")), keep=True)
+    return marked.join(of, "id").select("doc_id", "component_id", "text_hash", "group")

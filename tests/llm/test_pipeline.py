@@ -47,3 +47,12 @@ def test_awkward_rows_and_empty_table(spark, k):
     assert k == len(P.STAGES) - 1 or found.columns == docs.columns
     assert found.count() > 0
     assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    one = " ".join(f"a{i}" for i in range(60))
+    other = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (2, one + " end"), (2, other), (3, other), (4, "c d e"), (4, "c d e"), (None, one), (None, one), (5, None), (5, None), (6, " ")]
+    docs = table(spark, rows)
+    kept = sorted(((r["doc_id"], r["text"]) for r in P.near_duplicate_documents(spark, docs, FOLDER).collect()), key=str)
+    assert kept == sorted([(1, one), (2, other), (4, "c d e"), (None, one), (None, one), (5, None), (5, None), (6, " ")], key=str)
