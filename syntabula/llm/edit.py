@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 
 def masks(pattern: str) -> dict[str, int]:
     """For each character the bits of its places in the pattern."""
@@ -82,3 +84,42 @@ def distance(a: str, b: str) -> int:
         plus = down | (~(vertical | up) & full)
         minus = up & vertical
     return score
+
+
+#: Words that aligned_cost() looks ahead on both sides together.
+AHEAD = 16
+#: Strings of this length or more are held by their grams before they are compared.
+GRAM, GRAM_LENGTH = 3, 64
+
+
+def aligned_cost(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words are matched from the left, what lies between costs its longer side."""
+    x, y = a.split(" "), b.split(" ")
+    n, m, i, j, cost = len(x), len(y), 0, 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        ends = next(
+            ((p, q) for s in range(1, AHEAD + 1) for p in range(i, min(i + s, n - 1) + 1) if j <= (q := j + s - (p - i)) < m and x[p] == y[q]), (n, m)
+        )
+        cost += max(sum(map(len, x[i : ends[0]])) + ends[0] - i, sum(map(len, y[j : ends[1]])) + ends[1] - j)
+        i, j = ends
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of two whole strings is at most so much.
+
+    Three bounds settle most pairs before the distance is computed: lengths, the cost of
+    one alignment by words, and grams (an edit changes at most GRAM of them).
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    if aligned_cost(a, b) <= most:
+        return True
+    if min(len(a), len(b)) >= GRAM_LENGTH:
+        grams = [Counter([t[i : i + GRAM] for i in range(len(t) - GRAM + 1)]) for t in (a, b)]
+        if max((grams[0] - grams[1]).total(), (grams[1] - grams[0]).total()) > GRAM * most:
+            return False
+    return distance(a, b) <= most

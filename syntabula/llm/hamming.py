@@ -136,16 +136,16 @@ def near_links(scratch: Scratch, keyed: DataFrame, bits: int) -> DataFrame:
     Per key only a spanning forest comes out, which joins the same fingerprints. fp must
     be distinct within a key.
     """
-    return _dealt(scratch, keyed.select("key", "fp"), "fp").mapInPandas(_compare(bits), "a long, b long")
+    return dealt(scratch, keyed.select("key", "fp"), "fp").mapInPandas(_compare(bits), "a long, b long")
 
 
 def near_pairs(scratch: Scratch, keyed: DataFrame, bits: int) -> DataFrame:
     """Pairs (a, b) of ids of (key, fp, id, label) that share a key, differ in at most bits, and in their labels."""
-    dealt = _dealt(scratch, keyed.select("key", "fp", "id", "label"), "id")
-    return dealt.mapInPandas(_across(bits), "a long, b long").distinct()
+    rows = dealt(scratch, keyed.select("key", "fp", "id", "label"), "id")
+    return rows.mapInPandas(_across(bits), "a long, b long").distinct()
 
 
-def _dealt(scratch: Scratch, keyed: DataFrame, member: str) -> DataFrame:
+def dealt(scratch: Scratch, keyed: DataFrame, member: str) -> DataFrame:
     """Rows of a key together in one partition.
 
     A key with more than BLOCK rows is dealt out to pairs of blocks, each compared by
@@ -156,15 +156,15 @@ def _dealt(scratch: Scratch, keyed: DataFrame, member: str) -> DataFrame:
     keyed = scratch.table(keyed)
     hot = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     n_hot = hot.count()
-    dealt = keyed
+    out = keyed
     if n_hot:
         sized = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "key", "left")
         blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("long")
         own = F.pmod(F.xxhash64(member), blocks)
         other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
         pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
-        dealt = sized.select("key", *rest, "n", own.alias("i"), other.alias("j")).select(
+        out = sized.select("key", *rest, "n", own.alias("i"), other.alias("j")).select(
             F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), *rest
         )
     n = partitions_for(keyed.count(), TASK_ROWS, spark)
-    return dealt.repartition(n, "key")
+    return out.repartition(n, "key")

@@ -6,22 +6,27 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import CHUNK_BYTES, Scratch, mixed
-from .edit import distance
+from .edit import within
 from .graph import components
-from .hamming import BROADCAST_ROWS, majority, near_links, near_pairs
+from .hamming import BROADCAST_ROWS, dealt, majority, near_pairs
 
-#: Lines are compared if their fingerprints differ in at most BITS bits; they are near
-#: duplicates if the edit distance is at most a fifth of the longer one.
-BITS, SIMILARITY = 3, 0.8
-#: Fingerprint bits of each block. Three errors leave two of five blocks whole.
-BLOCK_BITS = (13, 13, 13, 13, 12)
+#: Lines are near duplicates if the edit distance is at most a fifth of the longer one.
+SIMILARITY = 0.8
+#: Lines that share a block are verified if their fingerprints differ in at most so many
+#: of 64 bits: two of 40 words replaced change about 6, one of 8 about 10.
+BITS = 24
+#: Lines of fewer words have SHORT_PARTS parts of words and a key for each two parts.
+#: Longer ones have parts of word pairs: LEAST_PARTS, or the power of PART_STEP that leaves
+#: at least PART_PAIRS pairs to a part on average, and a key for each part.
+SHORT_WORDS, SHORT_PARTS, LEAST_PARTS, PART_STEP, PART_PAIRS = 16, 5, 8, 2, 4
 _A = np.uint64(0x9E3779B97F4A7C15)
-_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def normal_lines(text: str) -> list[bytes]:
@@ -29,22 +34,74 @@ def normal_lines(text: str) -> list[bytes]:
     return [b" ".join(line.split()) for line in text.lower().encode().split(b"\n")]
 
 
-def line_fingerprints(lines: list[bytes]) -> np.ndarray:
-    """SimHash over the words and neighbouring word pairs of normalised lines that have words."""
-    if not lines:
-        return np.zeros(0, np.uint64)
+def _words(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words of each line) of normalised lines that have words."""
     counts = np.fromiter((line.count(b" ") + 1 for line in lines), np.int64, len(lines))
-    words = np.fromiter(map(xxhash.xxh64_intdigest, b" ".join(lines).split(b" ")), np.uint64, int(counts.sum()))
-    # Word i, and its pair with the next one unless the line ends there.
-    last = np.zeros(len(words), bool)
-    last[np.cumsum(counts) - 1] = True
-    pairs = mixed(words[:-1] * _A + words[1:])
-    features = np.empty(2 * len(words), np.uint64)
-    features[0::2] = words
-    features[1:-1:2] = pairs
-    use = np.ones(len(features), bool)
-    use[1::2] = ~last
-    return majority(features[use], np.r_[0, np.cumsum(2 * counts - 1)])
+    if not lines:
+        return np.zeros(0, np.uint64), counts
+    return np.fromiter(map(xxhash.xxh64_intdigest, b" ".join(lines).split(b" ")), np.uint64, int(counts.sum())), counts
+
+
+def line_fingerprints(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash over the words of each line."""
+    return majority(words, np.r_[0, np.cumsum(counts)])
+
+
+def _parts(features: np.ndarray, line: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, features) of the parts of all lines, line after line.
+
+    A feature is dealt by its hash to one of its line's parts[line] parts; a part is named
+    by the sum of its features' hashes.
+    """
+    use = parts[line] > 0
+    features, line = features[use], line[use]
+    slot = (np.cumsum(parts) - parts)[line] + (features >> np.uint64(33)).astype(np.int64) % parts[line]
+    total, values = int(parts.sum()), mixed(features)
+    # Sums of halves: exact as floats below 2 ** 21 features.
+    low, high = (np.bincount(slot, (v).astype(float), total).astype(np.uint64) for v in (values & _LOW, values >> np.uint64(32)))
+    return low + (high << np.uint64(32)), np.bincount(slot, minlength=total)
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Parts of lines of so many words."""
+    out = np.full(len(counts), LEAST_PARTS, np.int64)
+    while (more := out * PART_STEP * PART_PAIRS <= counts).any():
+        out[more] *= PART_STEP
+    return out
+
+
+def line_blocks(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the line, key) of every block of each line, in order of lines.
+
+    Pigeonhole: a replaced word touches two parts of words, or four of word pairs; all
+    others stay whole. So lines that differ in one word always share a key, and with more
+    changes they do as long as one part (short lines: two parts) is untouched. Lines near
+    a step are keyed at both sides of it, so up to a quarter more words is no other step.
+    """
+    line = np.repeat(np.arange(len(counts)), counts)
+    index, keys = [], []
+    short = counts < SHORT_WORDS
+    name, size = _parts(words, line, np.where(short, SHORT_PARTS, 0))
+    name, size = name.reshape(-1, SHORT_PARTS), size.reshape(-1, SHORT_PARTS)
+    for k, (i, j) in enumerate(combinations(range(SHORT_PARTS), 2)):
+        full = size[:, i] + size[:, j] > 0
+        index.append(np.flatnonzero(short)[full])
+        keys.append(mixed(name[:, i] * _A + mixed(name[:, j] + np.uint64(k)))[full])
+    inner = np.ones(len(words), bool)
+    inner[np.cumsum(counts) - 1] = False
+    pairs = mixed(words[:-1] * _A + words[1:])[inner[:-1]]
+    of_pair = line[inner]
+    longer = counts + counts // 4
+    own, next_ = _levels(counts), _levels(longer)
+    for parts in (np.where(longer >= SHORT_WORDS, own, 0), np.where(next_ != own, next_, 0)):
+        name, size = _parts(pairs, of_pair, parts)
+        place = np.arange(len(name)) - np.repeat(np.cumsum(parts) - parts, parts)
+        full = size > 0
+        index.append(np.repeat(np.arange(len(counts)), parts)[full])
+        keys.append(mixed(name + mixed((np.repeat(parts, parts) << 32 | place).astype(np.uint64) + _A))[full])
+    index, keys = np.concatenate(index), np.concatenate(keys)
+    order = np.argsort(index, kind="stable")
+    return index[order], keys[order]
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,29 +123,48 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(batch: pa.RecordBatch, at: list[int], number: list[int], lines: list[bytes]) -> pa.RecordBatch:
     index = pa.array(at, pa.int64())
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    words, counts = _words(lines)
+    line, keys = line_blocks(words, counts)
+    bounds = np.r_[0, np.cumsum(np.bincount(line, minlength=len(lines)))].astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0).take(index), batch.column(1).take(index), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)),
-            pa.array(line_fingerprints([line.translate(_DIGITS) for line in lines]).view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string()),
+            pa.array(line_fingerprints(words, counts).view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(keys.view(np.int64))),
+            pa.array(lines, pa.binary()).cast(pa.string()),
         ],
-        names=["doc_id", "text_hash", "line", "line_hash", "fp", "normal"],
+        names=["doc_id", "text_hash", "line", "line_hash", "fp", "keys", "normal"],
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    starts = np.cumsum((0, *BLOCK_BITS))
-    for batch in batches:
-        fps = batch.column("fp").to_numpy().view(np.uint64)
-        part = [(fps >> np.uint64(s)) & np.uint64((1 << n) - 1) for s, n in zip(starts, BLOCK_BITS)]
-        keys = [
-            np.uint64(c << 26) | (part[i] << np.uint64(13)) | part[j] for c, (i, j) in enumerate(combinations(range(len(BLOCK_BITS)), 2))
-        ]
-        out = batch.take(pa.array(np.tile(np.arange(len(fps)), len(keys))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *out.columns], names=["key", *out.schema.names])
+def _tree(ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between lines of a block, as ids, that join the same lines as all near pairs would."""
+    rest, queue = np.arange(1, len(ids)), [0]
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+            continue
+        one = queue.pop()
+        near = np.bitwise_count(fps[rest] ^ fps[one]) <= BITS
+        found, rest = rest[near], rest[~near]
+        queue.extend(found)
+        yield np.minimum(ids[found], ids[one]), np.maximum(ids[found], ids[one])
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_blocks, "key long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(batches)
+    if not held:
+        return
+    rows = pd.concat(held).sort_values("key", kind="stable")
+    key, ids, fps = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= BITS]
+    found = [(np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]))]
+    for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+        found.extend(_tree(ids[s : s + n], fps[s : s + n]))
+    both = np.unique(np.stack([np.concatenate(side) for side in zip(*found)], axis=1), axis=0)
+    yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
 def _verify(similarity: float):
@@ -97,8 +173,7 @@ def _verify(similarity: float):
             near = []
             for left, right in zip(batch.column("left"), batch.column("right")):
                 a, b = left.as_py(), right.as_py()
-                most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-                near.append(abs(len(a) - len(b)) <= most and distance(a, b) <= most)
+                near.append(within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
@@ -125,37 +200,33 @@ def _verified(scratch: Scratch, pairs: DataFrame, lines: DataFrame, distinct: Da
 def line_groups(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): every line with words, and for each distinct line that is not alone its kept occurrence.
 
-    lines: doc_id, text_hash, line, line_hash, fp, normal. groups: line_hash, keep.
+    lines: doc_id, text_hash, line, line_hash, fp, keys, normal. groups: line_hash, keep.
 
-    1. Equal normalised lines are one (an aggregate). 2. Fingerprints that share two of
-    five blocks and are near give a spanning forest per block; its pairs, and lines of
-    equal fingerprint with one of them, are verified by edit distance. 3. What is not
-    connected by then is compared pair by pair, but only between components. So no pair
-    within a group of copies is listed, and no near pair is left out.
+    1. Equal normalised lines are one (an aggregate). 2. Lines that share a block
+    (line_blocks()) and whose fingerprints are near give a spanning forest per block; its
+    pairs are verified by edit distance.
+    3. What is not connected by then is compared pair by pair, but only between components.
+    So no pair within a group of copies is listed, and no pair that shares a block is left
+    out. Blocks of one line only are counted, not compared.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, line int, line_hash long, fp long, normal string"
-    lines = scratch.table(rows.mapInArrow(_split, schema), keep=True)
-    distinct = scratch.table(
-        lines.groupBy("line_hash").agg(F.min(_order()).alias("first"), F.min("fp").alias("fp"), F.count("*").alias("n"))
-    )
-    nodes = scratch.table(distinct.groupBy("fp").agg(F.min("line_hash").alias("rep"), F.count("*").alias("n_lines")))
-    forest = scratch.table(near_links(scratch, _keyed(nodes.select("fp")), BITS))
-    reps = nodes.select("fp", "rep")
-    linked = forest.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    twins = distinct.join(nodes.where("n_lines > 1").select("fp", "rep"), "fp").where("line_hash <> rep")
-    pairs = scratch.table(linked.union(twins.select(F.col("rep").alias("a"), F.col("line_hash").alias("b"))))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, line int, line_hash long, fp long, keys array<long>, normal string"
+    lines = scratch.table(rows.mapInArrow(_split, schema))
+    distinct = scratch.table(lines.groupBy("line_hash").agg(F.min(_order()).alias("first"), F.count("*").alias("n")))
+    every = lines.select(F.explode("keys").alias("key"), F.col("line_hash").alias("id"), "fp")
+    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    shared = scratch.table(shared.select("key"))
+    small = shared.count() <= BROADCAST_ROWS
+    keyed = every.join(F.broadcast(shared) if small else shared, "key", "left_semi").distinct()
+    keyed = scratch.table(keyed)
+    pairs = scratch.table(dealt(scratch, keyed, "id").mapInPandas(_linked, "a long, b long").distinct())
     good = _verified(scratch, pairs, lines, distinct, similarity)
     labels = components(scratch, good)
-    # Lines with any near fingerprint; all others have no partner.
-    busy = forest.select(F.col("a").alias("fp")).union(forest.select("b")).union(nodes.where("n_lines > 1").select("fp")).distinct()
-    play = distinct.join(busy, "fp").select("fp", F.col("line_hash").alias("id"))
-    named = scratch.table(
-        play.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "id", F.coalesce("label", "id").alias("label"))
-    )
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = scratch.table(near_pairs(scratch, _keyed(named), BITS).join(tried, ["a", "b"], "left_anti"))
+    named = keyed.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    named = named.select("key", "fp", "id", F.coalesce("label", "id").alias("label"))
+    left = scratch.table(near_pairs(scratch, named, BITS).join(pairs, ["a", "b"], "left_anti"))
+    scratch.drop(keyed)
     more = _verified(scratch, left, lines, distinct, similarity)
     labels = scratch.table(components(scratch, good.union(more)))
     of = distinct.join(labels.select(F.col("node").alias("line_hash"), "label"), "line_hash", "left")
@@ -163,7 +234,7 @@ def line_groups(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, s
     some = of.where("n > 1 or label is not null").select("line_hash", "first", F.coalesce("label", "line_hash").alias("label"))
     some = scratch.table(some)
     kept = some.groupBy("label").agg(F.min("first").alias("keep"))
-    return lines, scratch.table(some.join(kept, "label").select("line_hash", "keep"), keep=True)
+    return lines, scratch.table(some.join(kept, "label").select("line_hash", "keep"))
 
 
 def deduplicated(
@@ -172,9 +243,9 @@ def deduplicated(
     """docs with all columns, near-duplicate lines taken out of the text; n_lines and n_removed follow.
 
     Lines are split at line feeds and normalised (normal_lines()). Two lines are linked if
-    their fingerprints, which read every digit as 0, differ in at most 3 bits and the edit
-    distance, digits as they are, is at most a fifth of the longer line; of each connected group the first occurrence by (id, place)
-    stays, wherever it is, and all others go. Lines without words stay and are never
+    they share a block (line_blocks()), their fingerprints differ in at most BITS bits and
+    the edit distance is at most a fifth of the longer line; of each connected group the
+    first occurrence by (id, place) stays, wherever it is, and all others go. Lines without words stay and are never
     compared. Null texts stay null and have no lines (n_lines 0). A row that repeats
     another's id and whole text is the same document and gets the same text. Null ids
     come last. No rows give no rows. Extra columns stay as they are; columns named

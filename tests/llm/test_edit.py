@@ -1,6 +1,6 @@
 import random
 
-from syntabula.llm.edit import best_match, distance
+from syntabula.llm.edit import aligned_cost, best_match, distance, within
 
 
 def table(a, b, free):
@@ -19,3 +19,15 @@ def test_equals_the_table():
         assert distance(a, b) == table(a, b, False)[-1]
         last = table(a, b, True)
         assert best_match(a, b) == ((min(last), last.index(min(last))) if a else (0, 0))
+
+
+def test_within_equals_the_distance():
+    rng = random.Random(6)
+    for _ in range(300):
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 40))]
+        other = [w if rng.random() < 0.8 else w[::-1] + rng.choice(["", "x", " y"]) for w in words if rng.random() < 0.95]
+        a, b = " ".join(words), " ".join(other)
+        d = distance(a, b)
+        assert aligned_cost(a, b) >= d
+        for most in (0, d - 1, d, d + 1, 2 * d):
+            assert within(a, b, most) == (d <= most)

@@ -28,7 +28,7 @@ def documents():
 
 
 def normal(line):
-    return re.sub(r"[ \t\n\v\f\r]+", " ", re.sub("[1-9]", "0", line.lower())).strip(" ")
+    return re.sub(r"[ \t\n\v\f\r]+", " ", line.lower()).strip(" ")
 
 
 def levenshtein(a, b):
@@ -40,10 +40,19 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def blocks_of(texts):
+    """(fingerprint, keys) of each normalised line."""
+    words, counts = lines._words([t.encode() for t in texts])
+    keys = [set() for _ in texts]
+    for i, key in zip(*lines.line_blocks(words, counts)):
+        keys[i].add(int(key))
+    return [int(f) for f in lines.line_fingerprints(words, counts)], keys
+
+
 def brute(rows):
-    """Text of each row, by all pairs of distinct lines."""
+    """Group of each distinct line, by all pairs."""
     known = sorted({normal(x) for _, t in rows if t for x in t.split("\n")} - {""})
-    fps = [int(f) for f in lines.line_fingerprints([k.encode() for k in known])]
+    fps, keys = blocks_of(known)
     group = list(range(len(known)))
 
     def root(i):
@@ -53,7 +62,7 @@ def brute(rows):
 
     for i in range(len(known)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= lines.BITS:
+            if keys[i] & keys[j] and (fps[i] ^ fps[j]).bit_count() <= lines.BITS:
                 most = max(len(known[i]), len(known[j]))
                 if levenshtein(known[i], known[j]) <= int((1 - lines.SIMILARITY) * most + 1e-9):
                     group[root(i)] = root(j)
@@ -104,3 +113,40 @@ def test_rows_of_numbers_are_verified_with_their_digits(spark):
     with Scratch(spark) as scratch:
         found = {r["doc_id"]: r["text"] for r in lines.deduplicated(scratch, table(spark, rows)).collect()}
     assert found == {0: rows[0][1], 1: rows[1][1], 2: rows[2][1], 3: ""}
+
+
+def replaced(rng, words, changes):
+    """Pairs of lines of so many made words, so many of them replaced, at edit similarity 0.8 or more."""
+    made = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    vocabulary = [made() for _ in range(2000)]
+    out = []
+    while len(out) < 150:
+        old = rng.choices(vocabulary, k=words)
+        new = list(old)
+        for i in rng.sample(range(words), changes):
+            new[i] = rng.choice(vocabulary)
+        a, b = " ".join(old), " ".join(new)
+        if a != b and levenshtein(a, b) <= (1 - lines.SIMILARITY) * max(len(a), len(b)) + 1e-9:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("words, changes, least", [(5, 1, 0.9), (8, 1, 0.95), (12, 1, 1), (20, 1, 1), (20, 2, 0.9), (27, 1, 1), (40, 1, 1), (40, 2, 0.95)])
+def test_recall_by_edit_similarity_alone(words, changes, least):
+    import random
+
+    pairs = replaced(random.Random(words), words, changes)
+    (fa, ka), (fb, kb) = (blocks_of(side) for side in zip(*pairs))
+    met = [bool(x & y) and (f ^ g).bit_count() <= lines.BITS for f, g, x, y in zip(fa, fb, ka, kb)]
+    assert sum(met) >= least * len(met)
+
+
+def test_lines_of_one_shape_are_no_hot_group(spark):
+    import random
+
+    rng = random.Random(5)
+    shape = [(i, "\n".join(f"{rng.randrange(10**6):06} {rng.randrange(10**6):06} {rng.randrange(10**6):06}" for _ in range(100))) for i in range(200)]
+    with Scratch(spark) as scratch:
+        found = {r["doc_id"]: r["text"] for r in lines.deduplicated(scratch, table(spark, shape)).collect()}
+    # Chance neighbours only: a line goes if another is within a fifth of its characters.
+    assert sum(len(found[i].split("\n")) == 100 for i, _ in shape) > 190
