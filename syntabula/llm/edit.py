@@ -92,8 +92,11 @@ AHEAD = 16
 GRAM, GRAM_LENGTH = 3, 64
 
 
-def aligned_cost(a: str, b: str) -> int:
-    """An upper bound of the edit distance: words are matched from the left, what lies between costs its longer side."""
+def aligned_cost(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance: words are matched from the left, what lies between costs its longer side.
+
+    Ends once the cost is above most, and returns most + 1 then.
+    """
     x, y = a.split(" "), b.split(" ")
     n, m, i, j, cost = len(x), len(y), 0, 0, 0
     while i < n and j < m:
@@ -105,6 +108,8 @@ def aligned_cost(a: str, b: str) -> int:
         )
         cost += max(sum(map(len, x[i : ends[0]])) + ends[0] - i, sum(map(len, y[j : ends[1]])) + ends[1] - j)
         i, j = ends
+        if cost > most:
+            return most + 1
     return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
 
 
@@ -116,7 +121,7 @@ def within(a: str, b: str, most: int) -> bool:
     """
     if abs(len(a) - len(b)) > most:
         return False
-    if aligned_cost(a, b) <= most:
+    if aligned_cost(a, b, most) <= most:
         return True
     if min(len(a), len(b)) >= GRAM_LENGTH:
         grams = [Counter([t[i : i + GRAM] for i in range(len(t) - GRAM + 1)]) for t in (a, b)]

@@ -20,7 +20,7 @@ from .hamming import BROADCAST_ROWS, dealt, majority, near_pairs
 SIMILARITY = 0.8
 #: Lines that share a block are verified if their fingerprints differ in at most so many
 #: of 64 bits: two of 40 words replaced change about 6, one of 8 about 10.
-BITS = 24
+BITS = 20
 #: Lines of fewer words have SHORT_PARTS parts of words and a key for each two parts.
 #: Longer ones have parts of word pairs: LEAST_PARTS, or the power of PART_STEP that leaves
 #: at least PART_PAIRS pairs to a part on average, and a key for each part.
