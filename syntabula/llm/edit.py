@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
 
 def masks(pattern: str) -> dict[str, int]:
     """For each character the bits of its places in the pattern."""
@@ -128,3 +130,107 @@ def within(a: str, b: str, most: int) -> bool:
         if max((grams[0] - grams[1]).total(), (grams[1] - grams[0]).total()) > GRAM * most:
             return False
     return distance(a, b) <= most
+
+
+#: Pairs that all_within() compares at a time, the longest strings it compares in arrays, and
+#: the fewest pairs of like length that are worth it.
+PAIRS, LONGEST, FEWEST = 256, 4096, 4
+_WORD = 64
+#: Stands behind strings of a batch that are shorter than its longest; no code point.
+_PAD = (1 << 21) - 1
+
+
+def _core(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two strings, as code points, without what both begin and end with; the shorter one first."""
+    if len(a) > len(b):
+        a, b = b, a
+    differ = np.flatnonzero(a != b[: len(a)])
+    first = int(differ[0]) if len(differ) else len(a)
+    a, b = a[first:], b[first:]
+    differ = np.flatnonzero(a != b[len(b) - len(a) :])
+    end = len(a) - 1 - int(differ[-1]) if len(differ) else len(a)
+    return a[: len(a) - end], b[: len(b) - end]
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs (pattern, text); one above most may come out larger.
+
+    Both sides get the same padding, so that all texts are equally long, which leaves the
+    distance. A column of a distance table is a row of 64-bit words of vertical differences;
+    word w of a column needs word w - 1 of the same one, so the words of a slanted line are
+    computed at once, for all pairs. Only words within most of the diagonal change: above
+    them the distance is taken to grow by one a column, below them by one a row. Both are
+    upper bounds, and no path of cost most or less leaves the band.
+    """
+    size, n = len(pairs), max(len(b) for _, b in pairs)
+    pad = n - np.array([len(b) for _, b in pairs])
+    m = np.array([len(a) for a, _ in pairs]) + pad
+    words, k = -(-int(m.max()) // _WORD), int(most.max())
+    full = np.full(n, _PAD, np.int64)
+    own = np.arange(size) << 21
+    pattern = np.concatenate([np.r_[a.astype(np.int64), full[:r]] for (a, _), r in zip(pairs, pad)]) | np.repeat(own, m)
+    text = np.stack([np.r_[b.astype(np.int64), full[:r]] for (_, b), r in zip(pairs, pad)], axis=1) | own
+    # Place of each (pair, character) of a pattern among them; 0 is a character it lacks.
+    known, of = np.unique(pattern, return_inverse=True)
+    at = np.arange(len(pattern)) - np.repeat(np.cumsum(m) - m, m)
+    places = np.zeros((words, len(known) + 1), np.uint64)
+    np.add.at(places, (at // _WORD, of + 1), np.uint64(1) << (at % _WORD).astype(np.uint64))
+    found = np.searchsorted(known, text)
+    text = np.where(np.append(known, -1)[found] == text, found + 1, 0)
+    base, places = (np.arange(words) * (len(known) + 1))[:, None], places.ravel()
+    plus, minus = np.full((words, size), ~np.uint64(0)), np.zeros((words, size), np.uint64)
+    # What the word above leaves for each word: whether the distance there grew or fell.
+    grew, fell = np.ones((words + 1, size), np.uint64), np.zeros((words + 1, size), np.uint64)
+    one, top = np.uint64(1), np.uint64(_WORD - 1)
+    for t in range(n + words - 1):
+        low = max(0, t - n + 1, -(-(t - k - _WORD) // (_WORD + 1)))
+        high = min(words - 1, t, (t + k) // (_WORD + 1))
+        if low > high:
+            continue
+        now = slice(low, high + 1)
+        p, q, up, down = plus[now], minus[now], grew[now], fell[now]
+        eq = places.take(text[t - high : t - low + 1][::-1] + base[now])
+        vertical = eq | q
+        eq |= down
+        eq |= ((eq & p) + p) ^ p
+        rise = q | ~(eq | p)
+        fall = p & eq
+        above, below = rise >> top, fall >> top
+        rise = rise << one | up
+        fall = fall << one | down
+        plus[now] = fall | ~(vertical | rise)
+        minus[now] = rise & vertical
+        grew[low + 1 : high + 2], fell[low + 1 : high + 2] = above, below
+        grew[low], fell[low] = 1, 0
+    inside = np.clip(m[None, :] - np.arange(words)[:, None] * _WORD, 0, _WORD)
+    mask = np.where(inside > 0, ~np.uint64(0) >> (_WORD - np.maximum(inside, 1)).astype(np.uint64), np.uint64(0))
+    return n + np.bitwise_count(plus & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(minus & mask).sum(axis=0, dtype=np.int64)
+
+
+def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
+    """within() of each pair; strings of up to LONGEST characters are compared in arrays, many of like length at a time."""
+    out = np.zeros(len(pairs), bool)
+    cores, which = [], []
+    for i, ((a, b), limit) in enumerate(zip(pairs, most)):
+        if max(len(a), len(b)) > LONGEST:
+            out[i] = within(a, b, limit)
+        elif abs(len(a) - len(b)) <= limit:
+            core = _core(*(np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b)))
+            if len(core[1]) <= limit:
+                out[i] = True
+            else:
+                cores.append(core)
+                which.append(i)
+    sizes = np.array([len(b) for _, b in cores])
+    order = np.argsort(-sizes, kind="stable")
+    limits, which, at = np.array(most, np.int64), np.array(which, np.int64), 0
+    while at < len(order):
+        stop = at + min(PAIRS, int(np.count_nonzero(4 * sizes[order[at : at + PAIRS]] >= 3 * sizes[order[at]])))
+        some = order[at:stop]
+        index = which[some]
+        if len(some) < FEWEST:
+            out[index] = [within(*pairs[i], most[i]) for i in index]
+        else:
+            out[index] = _banded([cores[c] for c in some], limits[index]) <= limits[index]
+        at = stop
+    return out

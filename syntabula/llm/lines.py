@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import CHUNK_BYTES, Scratch, mixed
-from .edit import within
+from .edit import PAIRS, all_within
 from .graph import components
 from .hamming import BROADCAST_ROWS, dealt, majority, near_pairs
 
@@ -168,13 +168,23 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(similarity: float):
+    def near(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        pairs = list(zip(rows["left"].to_pylist(), rows["right"].to_pylist()))
+        most = [int((1 - similarity) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+        return rows.select(["a", "b"]).filter(pa.array(all_within(pairs, most), pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rows = [], 0, 0
         for batch in batches:
-            near = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                a, b = left.as_py(), right.as_py()
-                near.append(within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            held.append(batch)
+            size, rows = size + batch.nbytes, rows + batch.num_rows
+            # Few long pairs or many short ones at a time: the more, the more are of like length.
+            if size > 8 * CHUNK_BYTES or rows >= PAIRS * 16:
+                yield from near(held).to_batches()
+                held, size, rows = [], 0, 0
+        if held:
+            yield from near(held).to_batches()
 
     return run
 

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from syntabula.llm import edit
 from syntabula.llm.edit import aligned_cost, best_match, distance, within
 
 
@@ -31,3 +34,23 @@ def test_within_equals_the_distance():
         assert aligned_cost(a, b, len(a) + len(b)) >= d
         for most in (0, d - 1, d, d + 1, 2 * d):
             assert within(a, b, most) == (d <= most)
+
+
+@pytest.mark.parametrize("fewest, longest", [(1, 4096), (4, 4096), (1, 100), (10**6, 4096)])
+def test_many_pairs_at_once_equal_one_by_one(monkeypatch, fewest, longest):
+    monkeypatch.setattr(edit, "FEWEST", fewest)
+    monkeypatch.setattr(edit, "LONGEST", longest)
+    rng, pairs, most = random.Random(7), [("", ""), ("", "ab"), ("ab", "")], [0, 1, 2]
+    for _ in range(900):
+        size, letters = rng.choice([1, 3, 20, 63, 64, 65, 128, 150, 300]), rng.choice(["ab", "abcdefgh é€𝒳"])
+        a = "".join(rng.choices(letters, k=size))
+        b = list(a)
+        for _ in range(rng.randint(0, size // 3 + 1)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+        pairs.append((a, "".join(b)))
+        most.append(rng.choice([0, 1, size // 5, size]))
+    wanted = [edit.distance(a, b) <= limit for (a, b), limit in zip(pairs, most)]
+    assert edit.all_within(pairs, most).tolist() == wanted
+    assert 100 < sum(wanted) < 800
+    assert edit.all_within([], []).tolist() == []
