@@ -37,15 +37,38 @@ def parse_value_list(col: Column, sep: str = "_") -> Column:
     return F.transform(numbers, lambda v: F.when(F.abs(v) <= 1e-12, 0.0).otherwise(v))
 
 
+#: An item of a literal list: a quoted text, in which a backslash stands before any character,
+#: or a whole number. The repeats give nothing back, so long cells need no deep stack.
+_ITEM = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?(?:0|[1-9][0-9]*+)"""
+_MARK = "\x01"
+
+
+def _literal_items(inner: Column) -> tuple[Column, Column]:
+    """(whether the inside of brackets is a list of literal items, those items)."""
+    # Every item as a mark: what is left of a list is marks with a comma between them.
+    marked = F.regexp_replace(F.regexp_replace(F.replace(inner, F.lit(_MARK), F.lit("?")), _ITEM, _MARK), r"\s+", "")
+    rest = F.replace(F.concat(marked, F.lit(",")), F.lit(_MARK + ","), F.lit(""))
+    is_list = (rest == "") | ((rest == ",") & (F.endswith(marked, F.lit(_MARK + ",")) | (marked == "")))
+    items = F.regexp_extract_all(inner, F.lit(_ITEM), F.lit(0))
+    quoted = lambda t: F.startswith(t, F.lit("'")) | F.startswith(t, F.lit('"'))
+    bare = lambda t: F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\\(.)", "$1")
+    return is_list, F.transform(items, lambda t: F.trim(F.when(quoted(t), bare(t)).otherwise(t)))
+
+
 def parse_gene_list(col: Column, list_sep: str = r"[\s,;|]+") -> Column:
-    """Array of ids of a list cell: brackets and quotes dropped, blanks and NA empty.
+    """Array of ids of a list cell; blanks and NA give an empty one.
 
-    list_sep is explicit because ids may hold `_` themselves.
+    A cell in brackets whose items are quoted, or whole numbers, with commas between them
+    is read as that literal list first: blanks, separators and brackets within quotes belong
+    to the id. Any other cell is split at list_sep, brackets and quotes dropped. list_sep is
+    explicit because ids may hold `_` themselves. Empty ids are left out.
     """
     text = F.trim(F.coalesce(col, F.lit("")))
+    bracketed = (F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))) | (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")")))
+    is_list, literal = _literal_items(F.substring(text, F.lit(2), F.length(text) - 2))
     bare = F.regexp_replace(text, r"^[\[\]()]+|[\[\]()]+$", "")
     items = F.transform(F.split(bare, list_sep), lambda t: F.regexp_replace(F.trim(t), "^['\"]+|['\"]+$", ""))
     empty = F.array().cast("array<string>")
     return F.when(F.lower(text).isin("", "nan", "none", "na"), empty).otherwise(
-        F.filter(items, lambda t: t != "")
+        F.filter(F.when(bracketed & is_list, literal).otherwise(items), lambda t: t != "")
     )

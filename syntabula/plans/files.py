@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import quality
 from ..sources import blocks, fasta, features, hits, tables
 from .homology import lines
@@ -195,6 +196,30 @@ def parsed_anchors(spark, sf):
     return blocks.parse_anchors(records(grouped, value, L.flag, L.order))
 
 
+@query(
+    "parsed_blockinfo",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS id, CASE WHEN count(*) <> 2 THEN CAST(count(*) AS DOUBLE) END AS length,
+      CAST(sum(l_quantity) AS DOUBLE) AS ks_total, string_agg('g ' || l_partkey || ',' || l_linenumber, ';' ORDER BY l_linenumber, l_partkey) AS genes1,
+      string_agg('h' || l_suppkey, ';' ORDER BY l_linenumber, l_suppkey) AS genes2 FROM lineitem GROUP BY l_orderkey""",
+)
+def parsed_blockinfo(spark, sf):
+    """Orders as block summaries: one list cell literal, with blanks and commas within quotes, the other joined by blanks."""
+    ordered = lambda item: F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"])
+    first = F.struct(L.line.alias("k"), L.part.alias("p"), F.concat(F.lit("'g "), L.part.cast("string"), F.lit(","), L.line.cast("string"), F.lit("'")).alias("v"))
+    second = F.struct(L.line.alias("k"), L.supplier.alias("p"), F.concat(F.lit("h"), L.supplier.cast("string")).alias("v"))
+    cells = lines(spark, sf).groupBy("l_orderkey").agg(
+        F.when(F.count("*") == 2, "two").otherwise(F.count("*").cast("string")).alias("length"),
+        F.concat(F.lit("["), F.array_join(ordered(first), ", "), F.lit("]")).alias("block1"),
+        F.array_join(ordered(second), " ").alias("block2"),
+        F.array_join(F.collect_list(F.col("l_quantity").cast("string")), "_").alias("ks"),
+    )
+    others = [F.lit("1").alias(c) for c in blocks.BLOCKINFO if c not in ("id", "length", "block1", "block2", "ks")]
+    parsed = blocks.parse_blockinfo(cells.select(L.order.cast("string").alias("id"), "length", "block1", "block2", "ks", *others))
+    total = F.aggregate(values.parse_value_list(F.col("ks")), F.lit(0.0), lambda a, x: a + x)
+    genes = [F.array_join(values.parse_gene_list(F.col(f"block{i}")), ";").alias(f"genes{i}") for i in (1, 2)]
+    return parsed.select("id", "length", total.alias("ks_total"), *genes)
+
+
 def _lens(spark, sf):
     part = table(spark, sf, "part")
     count = F.when(F.col("p_size") == 1, F.lit("0")).otherwise(F.col("p_size").cast("string"))

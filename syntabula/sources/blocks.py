@@ -92,7 +92,11 @@ def parse_anchors(records: DataFrame) -> DataFrame:
 
 
 def read_blockinfo(spark: SparkSession, path) -> DataFrame:
-    """Block summary CSV; list cells stay text for parse_value_list and parse_gene_list."""
-    df = require_columns(read_table(spark, path, ",", null_values=()), BLOCKINFO)
-    numbers = {c: F.trim(F.col(c)).try_cast("double") for c in BLOCKINFO_NUMBERS}
-    return df.withColumns(numbers)
+    """parse_blockinfo() of a CSV file."""
+    return parse_blockinfo(read_table(spark, path, ",", null_values=()))
+
+
+def parse_blockinfo(cells: DataFrame) -> DataFrame:
+    """Text cells of block summaries with the numbers cast; list cells stay text for parse_value_list and parse_gene_list."""
+    df = require_columns(cells, BLOCKINFO)
+    return df.withColumns({c: F.trim(F.col(c)).try_cast("double") for c in BLOCKINFO_NUMBERS})

@@ -72,6 +72,25 @@ def test_lists(spark):
     assert one(spark, lambda c: V.parse_gene_list(c, "_"), "a_b") == [["a", "b"]]
 
 
+def test_literal_gene_lists(spark):
+    long = [f"g {i},{i}" for i in range(20_000)]
+    cases = {
+        """['a b', "c,d"]""": ["a b", "c,d"],
+        """("it's", 'x"y' , 'p\\'q', '[r]',)""": ["it's", 'x"y', "p'q", "[r]"],
+        "[12, -3, '0']": ["12", "-3", "0"],
+        "['', ' s ']": ["s"],
+        "[]": [],
+        "['a' 'b']": ["a", "b"],
+        "['a b, c]": ["a", "b", "c"],
+        "[g1, g 2]": ["g1", "g", "2"],
+        "['a',,'b']": ["a", "b"],
+        "'a b'": ["a", "b"],
+        str(long): long,
+        f"['{'x ' * 50_000}y']": ["x " * 50_000 + "y"],
+    }
+    assert one(spark, V.parse_gene_list, *cases) == list(cases.values())
+
+
 def test_sequences(spark):
     assert one(spark, S.gc_fraction, "ACGTNN", "NNN", "ggca") == [0.5, None, 0.75]
     kinds = one(spark, S.sequence_type, "ACGTN-acgtu", "MEFILPQ", "--", "A" * 99 + "E")
