@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import id_variants
+from ..session import cut_lineage
 from .scale import expect_known, first_per_group, with_rank
 
 
@@ -19,6 +20,22 @@ def genome_sort(loci: DataFrame, chrom_rank: Column, order: Sequence[str] = ("st
     return loci.orderBy(chrom_rank, *order)
 
 
+def order_violations(rows: DataFrame, key: Sequence[Column]) -> DataFrame:
+    """Rows of a sorted table that sort below the row before them, also across partitions.
+
+    Nulls come first; equal rows are in order. A task holds one partition of rows as it
+    was; partitions are tied together by their last keys, one row for each.
+    """
+    placed = cut_lineage(rows.withColumns({"_key": F.struct(*key), "_at": F.monotonically_increasing_id()}))
+    placed = placed.withColumn("_slice", F.shiftright("_at", 33))
+    ends = placed.groupBy("_slice").agg(F.max_by("_key", "_at").alias("_last"))
+    carried = ends.select("_slice", F.lag("_last").over(Window.orderBy("_slice")).alias("_carried"))
+    inside = F.lag("_key").over(Window.partitionBy("_slice").orderBy("_at"))
+    before = F.coalesce("_inside", "_carried")
+    found = placed.withColumn("_inside", inside).join(carried, "_slice")
+    return found.filter(F.col("_key") < before).drop("_key", "_at", "_slice", "_inside", "_carried")
+
+
 def sort_order_issues(loci: DataFrame, by: Sequence[str], ord_col: str, key: Sequence[str]) -> DataFrame:
     """Rows that sort below the row before them in the file.
 

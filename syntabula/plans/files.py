@@ -220,6 +220,22 @@ def parsed_blockinfo(spark, sf):
     return parsed.select("id", "length", total.alias("ks_total"), *genes)
 
 
+@query(
+    "parsed_assembly_report",
+    """SELECT DISTINCT CASE WHEN l_linenumber > 2 THEN 'G' || l_partkey WHEN l_linenumber = 2 THEN 'R' || l_partkey ELSE 's' || l_suppkey END AS seq_id
+      FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber NOT IN (3, 7)""",
+)
+def parsed_assembly_report(spark, sf):
+    """Line items as JSON lines: fields left out, blank ids (3) and broken objects (7) among them."""
+    unit = F.when(L.flag == "N", "alt").otherwise("Primary Assembly").alias("assemblyUnit")
+    name = lambda letter, col: F.concat(F.lit(letter), col.cast("string"))
+    genbank = F.when(L.line == 3, " ").when(L.line > 2, name("G", L.part)).alias("genbankAccession")
+    refseq = F.when(L.line >= 2, name("R", L.part)).alias("refseqAccession")
+    whole = F.to_json(F.struct(unit, genbank, refseq, name("s", L.supplier).alias("sequenceName"), L.order.alias("length")))
+    value = F.when(L.line == 7, F.lit('{"assemblyUnit": "Primary')).otherwise(whole)
+    return tables.parse_assembly_report(lines(spark, sf).select(value.alias("value")))
+
+
 def _lens(spark, sf):
     part = table(spark, sf, "part")
     count = F.when(F.col("p_size") == 1, F.lit("0")).otherwise(F.col("p_size").cast("string"))

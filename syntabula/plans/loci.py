@@ -6,7 +6,9 @@ item is a coding segment of transcript l_orderkey.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids, values
 from ..operators import loci
@@ -36,6 +38,25 @@ def genome_sort(spark, sf):
     return loci.genome_sort(genes, F.col("o_custkey"), ["o_orderdate", "o_orderkey"])
 
 
+@query(
+    "genome_sort_order",
+    """SELECT 'genome' AS layout, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM orders UNION ALL
+      SELECT 'by_key', count(*), count(*) FILTER ((o_custkey, o_orderdate, o_orderkey) < before) FROM (SELECT o_custkey, o_orderdate, o_orderkey,
+        lag((o_custkey, o_orderdate, o_orderkey)) OVER (ORDER BY o_orderkey) AS before FROM orders)""",
+)
+def genome_sort_order(spark, sf):
+    """The sorted genes leave no row below the one before; the same rows by key leave many."""
+    genes = orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderdate")
+    key = [F.col(c) for c in ("o_custkey", "o_orderdate", "o_orderkey")]
+    layouts = {"genome": loci.genome_sort(genes, key[0], ["o_orderdate", "o_orderkey"]), "by_key": genes.orderBy("o_orderkey")}
+    parts = []
+    for name, rows in layouts.items():
+        for found, bad in ((genes, 0), (loci.order_violations(rows, key), 1)):
+            parts.append(found.select(F.lit(name).alias("layout"), F.lit(bad).alias("bad")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("layout").agg(F.count_if(F.col("bad") == 0).alias("n_rows"), F.count_if(F.col("bad") == 1).alias("n_violations"))
+
+
 @query(
     "sort_order_issues",
     """SELECT a.o_orderkey, a.o_orderstatus, a.o_orderdate FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey + 1

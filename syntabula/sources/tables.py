@@ -107,12 +107,17 @@ def parse_busco(texts: DataFrame) -> DataFrame:
 
 
 def read_assembly_report(spark: SparkSession, path) -> DataFrame:
-    """Distinct sequence ids of the primary assembly (JSON lines)."""
+    """parse_assembly_report() of JSON-lines files."""
+    return parse_assembly_report(spark.read.text(path))
+
+
+def parse_assembly_report(records: DataFrame) -> DataFrame:
+    """Distinct sequence ids of the primary assembly, one JSON object in each value; what is no object has none."""
     names = ["assemblyUnit", "genbankAccession", "refseqAccession", "sequenceName"]
-    df = spark.read.schema(", ".join(f"{n} string" for n in names)).json(path)
+    fields = records.select(F.from_json("value", ", ".join(f"{n} string" for n in names)).alias("r")).select("r.*")
     seq_id = F.coalesce("genbankAccession", "refseqAccession", "sequenceName")
     return (
-        df.filter(F.col("assemblyUnit") == "Primary Assembly")
+        fields.filter(F.col("assemblyUnit") == "Primary Assembly")
         .select(seq_id.alias("seq_id"))
         .filter(F.trim("seq_id") != "")
         .distinct()

@@ -148,3 +148,17 @@ def test_md5_match_stays_linear(spark, rows):
     b = spark.createDataFrame([(f"b{i}", "acgt") for i in range(30)], "id_b string, sequence string")
     got = loci.md5_match(a, b, "id_a", "id_b").collect()
     assert len(got) == 30 and {(r["id_b"], r["n_a"], r["n_b"]) for r in got} == {("b0", 30, 30)}
+
+
+def test_order_violations_across_partitions(spark):
+    from pyspark.sql import functions as F
+    from syntabula.operators import loci
+
+    ordered = spark.range(0, 1000, 1, 7).select((F.col("id") / 3).cast("int").alias("v"))
+    assert loci.order_violations(ordered, [F.col("v")]).count() == 0
+    # Each partition is in order; each begins below the end of the one before.
+    steps = spark.range(0, 700, 1, 7).select((F.col("id") % 100).alias("v"))
+    assert [r["v"] for r in loci.order_violations(steps, [F.col("v")]).collect()] == [0] * 6
+    nulls = spark.createDataFrame([(None,), (1,), (None,), (None,), (1,)], "v int").coalesce(1)
+    assert [r["v"] for r in loci.order_violations(nulls, [F.col("v")]).collect()] == [None]
+    assert loci.order_violations(ordered.where("v < 0"), [F.col("v")]).count() == 0
