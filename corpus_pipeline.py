@@ -34,8 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id, of several texts of that id the least hash.
 
-    Sets of five-word shingles of similarity 0.8 or more (similar_documents()). A document is an
-    id with a text, so another text of a dropped document's id stays, and of equal rows of
+    SimHash fingerprints of five-word shingles that anchors of the covering code bring together,
+    and keys of least hashes beside them, give the candidates; links are sets of shingles of
+    similarity 0.8 or more (similar_documents()). A document is an id with a text, so another text of a dropped document's id stays, and of equal rows of
     the kept document one does. Texts without words say nothing about likeness: they are no
     duplicates, nor are rows without an id.
     """

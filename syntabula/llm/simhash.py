@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by anchor points of a covering code."""
+"""SimHash near-duplicates by anchor points of a covering code, with or without an exact check."""
 
 from __future__ import annotations
 
@@ -157,14 +157,17 @@ def _band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _marks(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            names, fps = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            keys = np.zeros((batch.num_rows, BANDS), np.uint64)
             for first, texts in chunks(batch.column(1)):
                 hashes, bounds = _hashed(texts, size, seed)
                 names[first : first + len(texts)] = [xxhash.xxh64_intdigest(s.tobytes()) for s in _sets(hashes, bounds)]
+                fps[first : first + len(texts)] = majority(hashes, bounds)
                 keys[first : first + len(texts)] = _band_keys(hashes, bounds)
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(names.view(np.int64)), listed], names=["doc_id", "text_hash", "id", "keys"]
+                [batch.column(0), batch.column(2), pa.array(names.view(np.int64)), pa.array(fps.view(np.int64)), listed],
+                names=["doc_id", "text_hash", "id", "fp", "keys"],
             )
 
     return run
@@ -206,6 +209,23 @@ def _similar(scratch: Scratch, pairs: DataFrame, marked: DataFrame, rows: DataFr
     return scratch.table(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(similarity), "a long, b long"))
 
 
+def anchor_pairs(scratch: Scratch, marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of (id, fp), linked by fingerprints as in near_duplicates().
+
+    Fingerprints that share an anchor and differ in at most BITS bits are linked, by a
+    spanning forest per anchor. The least name of a fingerprint stands for it and is
+    linked to its other names.
+    """
+    names = scratch.table(marked.select("fp", "id").distinct())
+    first = scratch.table(names.groupBy("fp").agg(F.min("id").alias("first")))
+    links = near_links(scratch, first.select("fp").mapInPandas(_replicate, "key long, fp long"), BITS)
+    sides = [first.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("a", "left"), ("b", "right"))]
+    near = links.join(sides[0], "a").join(sides[1], "b").select("left", "right")
+    equal = names.join(first, "fp").select(F.col("first").alias("left"), F.col("id").alias("right"))
+    both = near.union(equal).where("left <> right")
+    return both.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct()
+
+
 def similar_documents(
     scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -214,22 +234,26 @@ def similar_documents(
     component_id is the least id of the group; two groups share it if that id has several
     texts, hence the number of the group, and the hash that tells rows of one id apart.
 
-    Candidates share a key of least hashes (BANDS, BAND_ROWS); each candidate pair is
-    verified by its whole sets, so no link is below the similarity, and of pairs at 0.8
-    one in 1,400 is no candidate (fewer above). 1. Per key a spanning forest is verified.
-    2. What is not connected then is compared pair by pair, but only between components.
+    Candidates are the links of SimHash fingerprints by anchors (anchor_pairs()). These reach
+    pairs of few differing bits only, so texts that share a key of least hashes (BANDS,
+    BAND_ROWS) are candidates too. Each candidate pair is verified by its whole sets, so no
+    link is below the similarity, and of pairs at 0.8 one in 1,400 is no candidate (fewer
+    above). 1. The links by anchors and a spanning forest per key are verified. 2. What is not
+    connected then is compared pair by pair under its keys, but only between components.
     Texts of equal sets are one node. Texts without words are alike. Rows and nulls as in
     near_duplicates().
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, id long, keys array<long>"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, id long, fp long, keys array<long>"
     marked = scratch.table(rows.mapInArrow(_marks(shingle, SEED), schema), keep=True)
     nodes = scratch.table(marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys")))
     keyed = scratch.table(nodes.select(F.explode("keys").alias("key"), "id"))
     shared = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     keyed = scratch.table(keyed.join(shared, "key", "left_semi"))
-    pairs = scratch.table(near_links(scratch, keyed.select("key", F.col("id").alias("fp")), _ANY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    banded = near_links(scratch, keyed.select("key", F.col("id").alias("fp")), _ANY)
+    banded = banded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.table(anchor_pairs(scratch, marked).union(banded).distinct())
     good = _similar(scratch, pairs, marked, rows, shingle, similarity)
     labels = components(scratch, good)
     named = keyed.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")

@@ -8,6 +8,7 @@ from llm_data import awkward, table
 from syntabula.llm.common import Scratch
 from syntabula.llm.graph import components
 from syntabula.llm import hamming
+from syntabula.llm import simhash
 from syntabula.llm.simhash import BITS, anchors, near_duplicates, similar_documents
 
 
@@ -146,3 +147,29 @@ def test_similar_documents_at_the_bound(spark, monkeypatch):
         with Scratch(spark) as scratch:
             found = {r["doc_id"]: r["component_id"] for r in similar_documents(scratch, table(spark, rows)).collect()}
         assert found == {i: root(i) for i in range(len(rows))}
+
+
+def test_fingerprints_link_documents(spark, monkeypatch):
+    """Without keys of least hashes, anchors alone bring near copies together; the exact check still decides."""
+    monkeypatch.setattr(simhash, "_ANY", -1)
+    base = [f"w{i}" for i in range(400)]
+    # One text has all its shingles twice, so the fingerprint is the same but not the set.
+    texts = [base, [*base[:-1], "end"], [f"v{i}" for i in range(400)], base + base, [*base[:200], *(f"n{i}" for i in range(200))]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    near = (fingerprint(rows[0][1], 5) ^ fingerprint(rows[1][1], 5)).bit_count()
+    assert near <= BITS
+    with Scratch(spark) as scratch:
+        found = {r["doc_id"]: r["component_id"] for r in similar_documents(scratch, table(spark, rows)).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
+
+
+def test_anchor_pairs_join_what_all_pairs_join(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    fps = np.concatenate([base, *(base ^ (np.uint64(1) << np.uint64(b)) for b in (0, 9, 40))])
+    # Two names per fingerprint.
+    rows = [(int(f), 2 * i + k) for i, f in enumerate(fps.view(np.int64)) for k in (0, 1)]
+    with Scratch(spark) as scratch:
+        pairs = simhash.anchor_pairs(scratch, spark.createDataFrame(rows, "fp long, id long"))
+        found = {r["node"]: r["label"] for r in components(scratch, pairs).collect()}
+    assert found == {2 * i + k: 2 * (i % 40) for i in range(len(fps)) for k in (0, 1)}
