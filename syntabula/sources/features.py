@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ids import classify_repeat, parse_attributes
-from .text import data_lines, field, text_records, whole_number
+from .text import data_lines, field, once, text_records, whole_number
 
 
 def read_gff(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
@@ -16,8 +16,9 @@ def read_gff(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 def parse_gff(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nine columns with the attributes as a map; too few fields or non-integer
     coordinates are rejects."""
-    parts = data_lines(records).withColumn("_f", F.split("value", "\t"))
-    start, end = whole_number(field("_f", 3)), whole_number(field("_f", 4))
+    parts = once(data_lines(records), F.split("value", "\t"), "_f")
+    parts = once(parts, F.struct(whole_number(field("_f", 3)).alias("start"), whole_number(field("_f", 4)).alias("end")), "_n")
+    start, end = F.col("_n")["start"], F.col("_n")["end"]
     issue = F.when(F.size("_f") < 9, "FEWER_THAN_NINE_FIELDS").when(start.isNull() | end.isNull(), "NON_INTEGER_COORDINATE")
     judged = parts.withColumn("issue", issue)
     names = {0: "seqid", 1: "source", 2: "feature", 5: "score", 6: "strand", 7: "phase"}
@@ -52,19 +53,20 @@ def parse_bed(records: DataFrame, strict6: bool = True) -> tuple[DataFrame, Data
     lines = data_lines(records)
     tabs = F.split("value", "\t")
     if strict6:
-        parts = lines.withColumn("_f", tabs)
+        parts = once(lines, tabs, "_f")
         wrong = F.when(F.size("_f") != 6, "BED_COLUMN_COUNT_NOT_SIX")
         strand = field("_f", 5)
     else:
         blanks = F.split(F.trim("value"), r"\s+")
-        parts = lines.withColumn("_f", F.when(F.size(tabs) < 4, blanks).otherwise(tabs))
+        parts = once(lines, F.when(F.size(tabs) < 4, blanks).otherwise(tabs), "_f")
         wrong = F.when(F.size("_f") < 4, "FEWER_THAN_FOUR_FIELDS")
         strand = (
             F.when(field("_f", 5).isin("+", "-"), field("_f", 5))
             .when(field("_f", 4).isin("+", "-"), field("_f", 4))
             .otherwise("+")
         )
-    start, end = whole_number(field("_f", 1)), whole_number(field("_f", 2))
+    parts = once(parts, F.struct(whole_number(field("_f", 1)).alias("start"), whole_number(field("_f", 2)).alias("end")), "_n")
+    start, end = F.col("_n")["start"], F.col("_n")["end"]
     judged = parts.withColumn("issue", F.coalesce(wrong, F.when(start.isNull() | end.isNull(), "NON_INTEGER_BED_COORDINATE")))
     rows = judged.filter(F.col("issue").isNull()).select(
         field("_f", 0).alias("chrom"),
@@ -87,17 +89,19 @@ def read_repeat_out(spark: SparkSession, path) -> DataFrame:
 
 def parse_repeats(records: DataFrame) -> DataFrame:
     """chrom, start, end, repeat_class, category of the rows whose first field is an integer."""
-    parts = records.withColumn("_f", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "))
+    parts = once(records, F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), "_f")
+    parts = parts.filter((F.size("_f") >= 11) & whole_number(field("_f", 0)).isNotNull())
+    place = F.struct((whole_number(field("_f", 5)) - 1).alias("start"), whole_number(field("_f", 6)).alias("end"))
     return (
-        parts.filter((F.size("_f") >= 11) & whole_number(field("_f", 0)).isNotNull())
+        once(parts, place, "_n")
+        .filter(F.col("_n")["end"] > F.col("_n")["start"])
         .select(
             field("_f", 4).alias("chrom"),
-            (whole_number(field("_f", 5)) - 1).alias("start"),
-            whole_number(field("_f", 6)).alias("end"),
+            F.col("_n")["start"].alias("start"),
+            F.col("_n")["end"].alias("end"),
             field("_f", 10).alias("repeat_class"),
             classify_repeat(field("_f", 10)).alias("category"),
         )
-        .filter("end > start")
     )
 
 
@@ -108,7 +112,7 @@ def read_chromosome_map(spark: SparkSession, path) -> tuple[DataFrame, DataFrame
 
 def parse_chromosome_map(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """genome_id, repeat_id, display; rows without exactly two columns are rejects."""
-    parts = data_lines(records).withColumn("_f", F.split("value", "\t"))
+    parts = once(data_lines(records), F.split("value", "\t"), "_f")
     rows = parts.filter(F.size("_f") == 2).select(
         F.trim(field("_f", 0)).alias("genome_id"),
         F.trim(field("_f", 1)).alias("repeat_id"),
@@ -126,7 +130,7 @@ def read_lens(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 def parse_lens(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """chrom, length_bp, ordered_genes per file, and issues: short rows, repeated
     chromosomes, counts that are not positive."""
-    parts = data_lines(records, comment=None).withColumn("_f", F.split(F.trim("value"), r"\s+"))
+    parts = once(data_lines(records, comment=None), F.split(F.trim("value"), r"\s+"), "_f")
     rows = parts.filter(F.size("_f") >= 3).select(
         "path",
         field("_f", 0).alias("chrom"),

@@ -24,9 +24,24 @@ def text_records(spark: SparkSession, path, separator: str | None = None) -> Dat
     )
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Column name, added or replaced, whose value is computed once per row.
+
+    A filter on a plain column moves below it and repeats its whole expression, and every
+    cell of a split line repeats the split. Nothing moves below an explode.
+    """
+    held = F.explode(F.array(value)).alias(name)
+    return df.select(*[held if c == name else c for c in df.columns], *([] if name in df.columns else [held]))
+
+
+def without_return(value: Column) -> Column:
+    """Text without a carriage return at its end; the pattern is tried only where there is one."""
+    return F.when(value.contains("\r"), F.regexp_replace(value, "\r$", "")).otherwise(value)
+
+
 def data_lines(records: DataFrame, comment: str | None = "#") -> DataFrame:
     """Non-blank lines without their carriage return and without comment lines."""
-    lines = records.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = once(records, without_return(F.col("value")), "value")
     lines = lines.filter(F.trim("value") != "")
     return lines if comment is None else lines.filter(~F.startswith(F.col("value"), F.lit(comment)))
 

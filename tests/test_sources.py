@@ -188,3 +188,36 @@ def test_locus_tables(spark, rows, tmp_path):
     assert [(r["gene_id"], r["start"], r["order"]) for r in out["genes"].collect()] == [("g3", 2, 1), ("g1", 6, 2), ("g2", 1, 1)]
     tables.write_locus_tables(loci, lengths, str(tmp_path / "o"))
     assert (tmp_path / "o" / "genes" / "species=S").is_dir()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_split_once(spark, rows):
+    """Filters on cells must not repeat the work per row: the split stands once in the plan."""
+    cells = "a b 99.5 10 1 0 1 2 3 4 1e-5 20".split()
+    good, bad, short = "\t".join(cells), "\t".join([*cells[:-1], "none"]), "\t".join(cells[:11])
+    lines = spark.createDataFrame([(v, "f", 0, 0) for v in (good + "\r", bad, short, "", None)], "value string, path string, block long, row long")
+    found, rejected = hits.parse_hits(lines, hits.HIT12)
+    assert [tuple(r) for r in found.collect()] == [("a", "b", 99.5, 10, 1, 0, 1, 2, 3, 4, 1e-5, 20.0)]
+    assert rows(rejected, "value") == [(v,) for v in sorted([bad, short])]
+    assert plan_of(found).count("split(") == plan_of(rejected).count("split(") == 1
+    for df in (features.parse_gff(lines)[0], features.parse_repeats(lines), *features.parse_bed(lines)):
+        # Attributes are split at semicolons besides.
+        assert plan_of(df).count("split(value") + plan_of(df).count("split(trim(") <= 2
+        assert plan_of(df).count("regexp_replace(value") <= 1
+
+
+def test_repeats_at_awkward_numbers(spark, rows):
+    row = "  {}  1.0 0 0 c1 {} {} (9) + rep DNA/L1 1"
+    values = [row.format(*v) for v in (("+5", "007", "9"), ("5", "7.5", "9"), ("SW", "7", "9"), ("5", "9", "8"), ("5", "x", "9"))]
+    lines = spark.createDataFrame([(v, "f") for v in [*values, "short 1 2", None]], "value string, path string")
+    assert rows(features.parse_repeats(lines)) == [("c1", 6, 9, "DNA/L1", "dna")]
+
+
+def test_anchor_records_are_written_once(spark):
+    from __spark_entry__ import queries
+
+    plan = plan_of(queries()["parsed_anchors"](spark, "/root/testdata/sf0.001"))
+    assert "collect_list" not in plan and plan.count("split(trim(") == 1
