@@ -103,9 +103,14 @@ def parse_attributes(col: Column) -> Column:
     # Keys start where a word starts and nothing backtracks: linear in the text.
     quoted = F.lit(r'(?<![A-Za-z0-9_.:-])([A-Za-z0-9_.:-]++)\s++"([^"]*+)"')
     parts = F.filter(F.transform(F.split(F.trim(col), ";"), lambda p: F.trim(p)), lambda p: p.contains("="))
+
+    def of_quoted(group: int) -> Column:
+        none = F.when(col.isNotNull(), F.array().cast("array<string>"))
+        return F.when(col.contains('"'), F.regexp_extract_all(col, quoted, F.lit(group))).otherwise(none)
+
     raw = F.struct(
-        F.regexp_extract_all(col, quoted, F.lit(1)).alias("k"),
-        F.regexp_extract_all(col, quoted, F.lit(2)).alias("v"),
+        of_quoted(1).alias("k"),
+        of_quoted(2).alias("v"),
         F.transform(parts, lambda p: F.trim(F.substring_index(p, "=", 1))).alias("pk"),
         F.transform(parts, lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).alias("pv"),
     )
