@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .text import field, text_records, whole_number
+from .text import field, once, text_records, whole_number, without_return
 
 HIT12 = {
     "qseqid": "string", "sseqid": "string", "pident": "double", "length": "long", "mismatch": "long", "gapopen": "long",
@@ -18,22 +18,20 @@ HIT11 = {
 
 def parse_hits(records: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Typed rows of as many cells as columns, and the malformed lines."""
-    lines = records.withColumn("value", F.regexp_replace("value", "\r$", "")).filter(F.trim("value") != "")
-    parts = lines.withColumn("_f", F.split("value", "\t"))
+    lines = once(records, without_return(F.col("value")), "value").filter(F.trim("value") != "")
+    parts = once(lines, F.split("value", "\t"), "_f")
 
     def cell(i: int, kind: str):
         if kind == "string":
             return field("_f", i)
         return whole_number(field("_f", i)) if kind == "long" else F.trim(field("_f", i)).try_cast(kind)
 
-    typed = parts.select(
-        "path", "value", (F.size("_f") == len(columns)).alias("_width"), *[cell(i, k).alias(c) for i, (c, k) in enumerate(columns.items())]
-    )
-    sound = F.col("_width")
+    typed = once(parts, F.struct(*[cell(i, k).alias(c) for i, (c, k) in enumerate(columns.items())]), "_t")
+    sound = F.size("_f") == len(columns)
     for c in columns:
-        sound = sound & F.col(c).isNotNull()
+        sound = sound & F.col("_t")[c].isNotNull()
     good = F.coalesce(sound, F.lit(False))
-    return typed.filter(good).select(*columns), typed.filter(~good).select("path", "value")
+    return typed.filter(good).select(*[F.col("_t")[c].alias(c) for c in columns]), typed.filter(~good).select("path", "value")
 
 
 def read_hits12(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
@@ -53,5 +51,5 @@ def read_domain_hits(spark: SparkSession, path) -> DataFrame:
 
 def parse_domain_hits(records: DataFrame) -> DataFrame:
     """protein_id and application of the rows with at least four columns."""
-    parts = records.withColumn("_f", F.split(F.regexp_replace("value", "\r$", ""), "\t"))
+    parts = once(records, F.split(without_return(F.col("value")), "\t"), "_f")
     return parts.filter(F.size("_f") >= 4).select(field("_f", 0).alias("protein_id"), field("_f", 3).alias("application"))
