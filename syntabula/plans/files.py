@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import quality
+from ..session import cut_lineage
 from ..sources import blocks, fasta, features, hits, tables
 from .homology import lines
 from .registry import query, table
@@ -193,7 +194,8 @@ def parsed_anchors(spark, sf):
         .filter(F.exists("g", lambda x: x["k"] != 4))
     )
     value = F.concat(F.lit("\n"), F.array_join(F.transform("g", lambda x: x["v"]), "\n"))
-    return blocks.parse_anchors(records(grouped, value, L.flag, L.order))
+    # Numbering reads the records several times, so they are written once, as a file would be.
+    return blocks.parse_anchors(cut_lineage(records(grouped, value, L.flag, L.order)))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.quality import require_columns
 from ..operators.scale import with_rank
 from .tables import read_table
-from .text import field, text_records, whole_number
+from .text import field, once, text_records, whole_number
 
 # Fixed value: the text after `# Alignment `.
 HEADER = r"^\s*(\d+):\s+score=(\S+)\s+pvalue=(\S+)\s+N=(\d+)\s+(\S+)\s+(\S+)"
@@ -83,9 +83,9 @@ def parse_anchors(records: DataFrame) -> DataFrame:
     # Numbered before exploding: one row per block. Text before the first mark is block 0.
     numbered = with_rank(records, ["path"], [F.col("block"), F.col("row")], "_n")
     lines = numbered.select("path", (F.col("_n") - 1).alias("block_no"), F.explode(F.split("value", "\n")).alias("line"))
+    lines = lines.filter((F.trim("line") != "") & ~F.startswith(F.col("line"), F.lit("#")))
     return (
-        lines.filter((F.trim("line") != "") & ~F.startswith(F.col("line"), F.lit("#")))
-        .withColumn("_f", F.split(F.trim("line"), r"\s+"))
+        once(lines, F.split(F.trim("line"), r"\s+"), "_f")
         .filter(F.size("_f") >= 2)
         .select("path", "block_no", field("_f", 0).alias("gene1"), field("_f", 1).alias("gene2"))
     )
