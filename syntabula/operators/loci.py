@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import id_variants
 from ..session import cut_lineage
-from .scale import expect_known, first_per_group, with_rank
+from .scale import dealt, expect_known, first_per_group, partitions_of, with_rank
 
 
 def gene_order(loci: DataFrame, by: Sequence[str], order: Sequence[str] = ("start", "end", "gene_id")) -> DataFrame:
@@ -178,13 +178,14 @@ def validate_coordinates(
 
 
 def id_set_diff(a: DataFrame, b: DataFrame, key: Sequence[str], a_only: str, b_only: str) -> DataFrame:
-    """Ids of a not in b and of b not in a, with the issue that names the side."""
-    left, right = a.select(*key).distinct(), b.select(*key).distinct()
-    return (
-        left.join(right, list(key), "left_anti")
-        .withColumn("issue", F.lit(a_only))
-        .unionByName(right.join(left, list(key), "left_anti").withColumn("issue", F.lit(b_only)))
-    )
+    """Ids of a not in b and of b not in a, with the issue that names the side; nulls are equal, as in EXCEPT.
+
+    One pass over both sides: an id's rows meet in one of as many tasks as rows need.
+    """
+    sides = [df.select(*key, F.lit(side == "a").alias("_a")) for df, side in ((a, "a"), (b, "b"))]
+    both = dealt(sides[0].unionByName(sides[1]), key, partitions_of(*sides))
+    seen = both.groupBy(*key).agg(F.min("_a").alias("_low"), F.max("_a").alias("_high"))
+    return seen.filter(F.col("_low") == F.col("_high")).select(*key, F.when(F.col("_low"), a_only).otherwise(b_only).alias("issue"))
 
 
 def missing_prefix(ids: DataFrame, code: Column, col: str, issue: str) -> DataFrame:
