@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import parse_gene_list
-from .scale import distinct_in, exact_quantiles, first_per_group, with_rank
+from .scale import dealt, distinct_in, exact_quantiles, first_per_group, partitions_of, with_rank
 
 
 def unordered_pairs(
@@ -117,8 +117,11 @@ def chunk_assign(rows: DataFrame, by: Sequence[str], order: Sequence[Column], si
 def presence_check(pairs: DataFrame, by: Sequence[str], genes: Sequence[str], ids: DataFrame, kind: str) -> DataFrame:
     """Genes of any pair that are not in ids (same column name as ids' only column)."""
     name = ids.columns[0]
-    wanted = pairs.select(*by, F.explode(F.array(*genes)).alias(name)).distinct()
-    return wanted.join(ids.distinct(), name, "left_anti").withColumn("missing_from", F.lit(kind))
+    wanted = pairs.select(*by, F.explode(F.array(*genes)).alias(name))
+    n = partitions_of(pairs, ids)
+    # By group and gene first, so that a gene of all groups is no hot task.
+    once = dealt(wanted, [*by, name], n).distinct()
+    return dealt(once, [name], n).join(dealt(ids, [name], n).distinct(), name, "left_anti").withColumn("missing_from", F.lit(kind))
 
 
 def completeness_check(
