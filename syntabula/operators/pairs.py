@@ -129,12 +129,18 @@ def completeness_check(
 ) -> tuple[DataFrame, DataFrame]:
     """Expected against observed keys.
 
-    Returns (counts per group, keys that are missing or unexpected with a side).
+    Returns (counts per group, keys that are missing or unexpected with a side). Both sides
+    are read in one aggregate; a key with a null equals none of the other side.
     """
     keys = [*by, *key]
-    want = expected.select(*keys).distinct().withColumn("_want", F.lit(1))
-    have = observed.groupBy(*keys).agg(F.count("*").alias("_have"))
-    both = want.join(have, keys, "full_outer")
+    part = F.when(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)), F.col("_expected"))
+    sides = [df.select(*keys, F.lit(e).alias("_expected")) for df, e in ((expected, True), (observed, False))]
+    rows = sides[0].unionByName(sides[1]).withColumn("_part", part)
+    both = (
+        dealt(rows, keys, partitions_of(*sides))
+        .groupBy(*keys, "_part")
+        .agg(F.max(F.when(F.col("_expected"), 1)).alias("_want"), F.nullif(F.count_if(~F.col("_expected")), F.lit(0)).alias("_have"))
+    )
     state = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "unexpected")
     odd = both.withColumn("issue", state).filter(F.col("issue").isNotNull()).select(*keys, "issue")
     counts = both.groupBy(*by).agg(

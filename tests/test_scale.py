@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from syntabula.operators import intervals, loci, pairs, scale
 from syntabula.operators.assembly import n50
 from syntabula.operators.pairs import chunk_assign
 from syntabula.operators.scale import exact_quantiles, first_per_group, with_rank
@@ -95,3 +96,35 @@ def test_quantiles_of_a_hot_group_are_dealt_out(spark):
     assert {r["k"]: r["mid"] for r in found.collect()} == {"hot": 9999.5, "cold": 24999.5}
     plan = found._jdf.queryExecution().toString()
     assert "RepartitionByExpression [k" in plan and "_segment" in plan
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Merging, set differences and presence take as many tasks as rows need, not a fixed count."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 20)
+    rows = [(i % 3, i * 7 % 400, i * 7 % 400 + 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "chrom long, start long, end long")
+    assert scale.partitions_of(df) == 50 and scale.partitions_of(df, df) == 100
+    for found in (
+        intervals.merge_intervals(df, ["chrom"]),
+        loci.id_set_diff(df, df.limit(0), ["chrom", "start"], "A", "B"),
+        pairs.completeness_check(df, df, ["chrom"], ["start"])[1],
+        pairs.presence_check(df, ["chrom"], ["start", "end"], df.select(F.col("start").alias("gene")), "x"),
+    ):
+        assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sides_with_nulls_and_copies(spark):
+    key = "k long, v string"
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y"), (None, None)], key)
+    b = spark.createDataFrame([(1, "x"), (2, None), (4, "z"), (4, "z"), (None, "q")], key)
+    found = loci.id_set_diff(a, b, ["k", "v"], "A", "B")
+    # Nulls are equal, as in EXCEPT.
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(3, "y", "A"), (None, None, "A"), (4, "z", "B"), (None, "q", "B")], key=str)
+    counts, odd = pairs.completeness_check(a, b, ["k"], ["v"])
+    # Here, as in a full join, they are not.
+    want = [(2, None, "missing"), (3, "y", "missing"), (None, None, "missing"), (2, None, "unexpected"), (4, "z", "unexpected"), (None, "q", "unexpected")]
+    assert sorted(map(tuple, odd.collect()), key=str) == sorted(want, key=str)
+    assert {r["k"]: tuple(r)[1:] for r in counts.collect()} == {
+        1: (1, 1, 0, 0, 0, 1.0), 2: (1, 1, 0, 1, 1, 0.0), 3: (1, 0, 0, 0, 1, 0.0), 4: (0, 2, 1, 1, 0, None), None: (1, 1, 0, 1, 1, 0.0),
+    }
+    assert "Join" not in odd._jdf.queryExecution().optimizedPlan().toString()
