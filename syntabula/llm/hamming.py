@@ -145,7 +145,7 @@ def near_pairs(scratch: Scratch, keyed: DataFrame, bits: int) -> DataFrame:
     return rows.mapInPandas(_across(bits), "a long, b long").distinct()
 
 
-def dealt(scratch: Scratch, keyed: DataFrame, member: str) -> DataFrame:
+def dealt(scratch: Scratch, keyed: DataFrame, member: str, rows: int = TASK_ROWS) -> DataFrame:
     """Rows of a key together in one partition.
 
     A key with more than BLOCK rows is dealt out to pairs of blocks, each compared by
@@ -166,5 +166,5 @@ def dealt(scratch: Scratch, keyed: DataFrame, member: str) -> DataFrame:
         out = sized.select("key", *rest, "n", own.alias("i"), other.alias("j")).select(
             F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), *rest
         )
-    n = partitions_for(keyed.count(), TASK_ROWS, spark)
+    n = partitions_for(keyed.count(), rows, spark)
     return out.repartition(n, "key")

@@ -8,13 +8,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import CHUNK_BYTES, Scratch, mixed
+from .common import BATCH_ROWS, CHUNK_BYTES, Scratch, mixed
 from .edit import PAIRS, all_within
 from .graph import components
-from .hamming import BROADCAST_ROWS, dealt, majority, near_pairs
+from .hamming import BROADCAST_ROWS, dealt, majority
+from .shards import pack, pack_any, unpack, unpack_any
 
 #: Lines are near duplicates if the edit distance is at most a fifth of the longer one.
 SIMILARITY = 0.8
@@ -25,6 +27,10 @@ BITS = 20
 #: Longer ones have parts of word pairs: LEAST_PARTS, or the power of PART_STEP that leaves
 #: at least PART_PAIRS pairs to a part on average, and a key for each part.
 SHORT_WORDS, SHORT_PARTS, LEAST_PARTS, PART_STEP, PART_PAIRS = 16, 5, 8, 2, 4
+#: Bits of a key that are compared, lines whose keys are packed at a time, keys of a line and of a range, about.
+KEY_BITS, PART_LINES, LINE_KEYS, RANGE_KEYS = 48, 20_000, 16, 500_000
+#: Rows with texts of a partition, pairs of a block that are judged at a time, bits for the trigrams of a line.
+TEXT_ROWS, PAIR_ROWS, GRAM_BITS = 50_000, 1_000_000, 1024
 _A = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -123,21 +129,78 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(batch: pa.RecordBatch, at: list[int], number: list[int], lines: list[bytes]) -> pa.RecordBatch:
     index = pa.array(at, pa.int64())
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    words, counts = _words(lines)
-    line, keys = line_blocks(words, counts)
-    bounds = np.r_[0, np.cumsum(np.bincount(line, minlength=len(lines)))].astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            batch.column(0).take(index), batch.column(1).take(index), pa.array(number, pa.int32()), pa.array(hashes.view(np.int64)),
-            pa.array(line_fingerprints(words, counts).view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(keys.view(np.int64))),
-            pa.array(lines, pa.binary()).cast(pa.string()),
+            batch.column(0).take(index), batch.column(1).take(index), pa.array(number, pa.int32()),
+            pa.array(hashes.view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string()),
         ],
-        names=["doc_id", "text_hash", "line", "line_hash", "fp", "keys", "normal"],
+        names=["doc_id", "text_hash", "line", "line_hash", "normal"],
     )
 
 
-def _tree(ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between lines of a block, as ids, that join the same lines as all near pairs would."""
+def _key_parts(bits: int):
+    """Keys of (line_hash, normal), of PART_LINES lines at a time: in order, cut into ranges, with the lines that have them."""
+
+    def parts(ids: list[int], lines: list[bytes]) -> pa.RecordBatch:
+        ids, first = np.unique(np.array(ids, np.int64), return_index=True)
+        line, keys = line_blocks(*_words([lines[i] for i in first]))
+        keys &= ~np.uint64((1 << (64 - KEY_BITS)) - 1)
+        order = np.argsort(keys)
+        keys, held = keys[order], ids[line[order]]
+        edges = np.r_[0, np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)]
+        full = np.flatnonzero(np.diff(edges))
+        slices = [slice(edges[i], edges[i + 1]) for i in full]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int64()), pa.array([pack(keys[s]) for s in slices], pa.binary()), pa.array([pack_any(held[s]) for s in slices], pa.binary())],
+            names=["range", "keys", "ids"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lines, size = [], [], 0
+        for batch in batches:
+            ids.extend(batch.column(0).to_pylist())
+            lines.extend(v.encode() for v in batch.column(1).to_pylist())
+            size += batch.column(1).nbytes
+            if size > 2 * CHUNK_BYTES or len(ids) > PART_LINES:
+                yield parts(ids, lines)
+                ids, lines, size = [], [], 0
+        if ids:
+            yield parts(ids, lines)
+
+    return run
+
+
+def _shared(part: pd.DataFrame) -> pd.DataFrame:
+    """(key, id) of a range of keys, once each, of the keys that two lines or more have."""
+    keys = np.concatenate([unpack(k) for k in part["keys"]]).view(np.int64)
+    ids = np.concatenate([unpack_any(i) for i in part["ids"]])
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    once = first | np.r_[True, ids[1:] != ids[:-1]]
+    keys, ids = keys[once], ids[once]
+    more = np.r_[False, keys[1:] == keys[:-1], False]
+    some = more[1:] | more[:-1]
+    return pd.DataFrame({"key": keys[some], "id": ids[some]})
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fp, size, normal) of (line_hash, normal)."""
+    for batch in batches:
+        prints = line_fingerprints(*_words([v.encode() for v in batch.column(1).to_pylist()]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(prints.view(np.int64)), pc.utf8_length(batch.column(1)).cast(pa.int32()), batch.column(1)],
+            names=["id", "fp", "size", "normal"],
+        )
+
+
+def _most(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that lines of so many characters may differ in."""
+    return ((1 - similarity) * np.maximum(a, b) + 1e-9).astype(np.int64)
+
+
+def _tree(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between lines of a block, as ids: a forest of pairs whose fingerprints are near and lengths alike."""
     rest, queue = np.arange(1, len(ids)), [0]
     while len(rest):
         if not queue:
@@ -145,26 +208,31 @@ def _tree(ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
             continue
         one = queue.pop()
         near = np.bitwise_count(fps[rest] ^ fps[one]) <= BITS
+        near &= np.abs(sizes[rest] - sizes[one]) <= _most(sizes[rest], sizes[one], similarity)
         found, rest = rest[near], rest[~near]
         queue.extend(found)
         yield np.minimum(ids[found], ids[one]), np.maximum(ids[found], ids[one])
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = list(batches)
-    if not held:
-        return
-    rows = pd.concat(held).sort_values("key", kind="stable")
-    key, ids, fps = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    two = starts[sizes == 2]
-    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= BITS]
-    found = [(np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]))]
-    for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-        found.extend(_tree(ids[s : s + n], fps[s : s + n]))
-    both = np.unique(np.stack([np.concatenate(side) for side in zip(*found)], axis=1), axis=0)
-    yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+def _linked(similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pd.concat(held).sort_values("key", kind="stable")
+        key, ids, fps, chars = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        two = starts[sizes == 2]
+        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= BITS]
+        two = two[np.abs(chars[two] - chars[two + 1]) <= _most(chars[two], chars[two + 1], similarity)]
+        found = [(np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]))]
+        for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+            found.extend(_tree(ids[s : s + n], fps[s : s + n], chars[s : s + n], similarity))
+        both = np.unique(np.stack([np.concatenate(side) for side in zip(*found)], axis=1), axis=0)
+        yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return run
 
 
 def _verify(similarity: float):
@@ -189,55 +257,160 @@ def _verify(similarity: float):
     return run
 
 
+def _gram_bits(texts: pa.Array) -> np.ndarray:
+    """A set of GRAM_BITS bits for the character trigrams of each line."""
+    out = np.zeros((len(texts), GRAM_BITS // 64), np.uint64)
+    for at in range(0, len(texts), BATCH_ROWS):
+        some = texts.slice(at, BATCH_ROWS)
+        size = pc.utf8_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars = np.frombuffer("".join(some.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(some)), size)
+        whole = row[2:] == row[:-2]
+        gram = mixed(chars[:-2] << np.uint64(42) | chars[1:-1] << np.uint64(21) | chars[2:])[whole] % np.uint64(GRAM_BITS)
+        held = np.zeros((len(some), GRAM_BITS), bool)
+        held[row[2:][whole], gram.astype(np.int64)] = True
+        out[at : at + len(some)] = np.packbits(held, axis=1).view(np.uint64)
+    return out
+
+
+def _block_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the two rows of all pairs within blocks, about PAIR_ROWS at a time."""
+    for n in np.unique(sizes[sizes > 1]):
+        of = starts[sizes == n]
+        if n <= 64:
+            i, j = np.triu_indices(n, 1)
+            step = max(1, PAIR_ROWS // len(i))
+            for k in range(0, len(of), step):
+                yield (of[k : k + step, None] + i).ravel(), (of[k : k + step, None] + j).ravel()
+            continue
+        step = max(1, PAIR_ROWS // int(n))
+        for s in of:
+            for k in range(0, n, step):
+                i, j = np.divmod(np.arange(k * n, min(k + step, n) * n), n)
+                yield s + i[i < j], s + j[i < j]
+
+
+def _across(similarity: float):
+    """The links between lines of different labels that share a key: all pairs are judged, only links leave.
+
+    Fingerprints, lengths and sets of trigrams (an edit takes away and adds three at most)
+    leave few pairs to the edit distance. Labels that a link joined are not compared again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.take(pa.array(np.argsort(rows["key"].to_numpy(), kind="stable")))
+        key, ids, of = (rows[c].to_numpy() for c in ("key", "id", "label"))
+        fps, chars = rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy().astype(np.int64)
+        texts = rows["normal"].combine_chunks()
+        grams = _gram_bits(texts)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        labels, of = np.unique(of, return_inverse=True)
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        def links(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(i), PAIRS * 16):
+                some = [(x, y) for x, y in zip(i[k : k + PAIRS * 16].tolist(), j[k : k + PAIRS * 16].tolist()) if root(of[x]) != root(of[y])]
+                if not some:
+                    continue
+                x, y = (np.array(side) for side in zip(*some))
+                pairs = list(zip(*(texts.take(pa.array(side)).to_pylist() for side in (x, y))))
+                near = all_within(pairs, _most(chars[x], chars[y], similarity).tolist())
+                for p, q in zip(x[near].tolist(), y[near].tolist()):
+                    p, q = root(of[p]), root(of[q])
+                    if p != q:
+                        joined[max(p, q)] = min(p, q)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x[near]]), pa.array(ids[y[near]])], names=["a", "b"])
+
+        left, right, size = [], [], 0
+        for i, j in _block_pairs(starts, np.diff(np.r_[starts, len(key)])):
+            some = (np.bitwise_count(fps[i] ^ fps[j]) <= BITS) & (of[i] != of[j])
+            i, j = i[some], j[some]
+            most = _most(chars[i], chars[j], similarity)
+            some = np.abs(chars[i] - chars[j]) <= most
+            i, j, most = i[some], j[some], most[some]
+            for k in range(0, len(i), PAIR_ROWS // 16):
+                x, y = i[k : k + PAIR_ROWS // 16], j[k : k + PAIR_ROWS // 16]
+                a, b, limit = grams[x], grams[y], 3 * most[k : k + PAIR_ROWS // 16]
+                some = (np.bitwise_count(a & ~b).sum(axis=1) <= limit) & (np.bitwise_count(b & ~a).sum(axis=1) <= limit)
+                x, y = x[some], y[some]
+                swap = ids[x] > ids[y]
+                left.append(np.where(swap, y, x))
+                right.append(np.where(swap, x, y))
+                size += len(x)
+            if size > PAIR_ROWS:
+                yield from links(*_once(ids, left, right))
+                left, right, size = [], [], 0
+        if size:
+            yield from links(*_once(ids, left, right))
+
+    return run
+
+
+def _once(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, one for each pair of ids."""
+    i, j = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((ids[j], ids[i]))
+    i, j = i[order], j[order]
+    new = np.r_[True, (ids[i[1:]] != ids[i[:-1]]) | (ids[j[1:]] != ids[j[:-1]])]
+    return i[new], j[new]
+
+
 def _order() -> Column:
     """Occurrences by document, null ids last, then by place."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, lines: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of line hashes that are similar enough, as a written table."""
-    needed = scratch.table(pairs.select(F.col("a").alias("line_hash")).union(pairs.select("b")).distinct())
-    small = needed.count() <= BROADCAST_ROWS
-    first = distinct.join(F.broadcast(needed) if small else needed, "line_hash", "left_semi").select("line_hash", "first")
-    if small:
-        first = F.broadcast(first)
-    texts = lines.join(first, "line_hash").where(_order().eqNullSafe(F.col("first"))).select("line_hash", "normal").dropDuplicates(["line_hash"])
-    texts = scratch.table(texts)
-    sides = [texts.select(F.col("line_hash").alias(c), F.col("normal").alias(n)) for c, n in (("a", "left"), ("b", "right"))]
+    sides = [texts.select(F.col("id").alias(c), F.col("normal").alias(n)) for c, n in (("a", "left"), ("b", "right"))]
     return scratch.table(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(similarity), "a long, b long"))
 
 
 def line_groups(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): every line with words, and for each distinct line that is not alone its kept occurrence.
 
-    lines: doc_id, text_hash, line, line_hash, fp, keys, normal. groups: line_hash, keep.
+    lines: doc_id, text_hash, line, line_hash, normal. groups: line_hash, keep.
 
     1. Equal normalised lines are one (an aggregate). 2. Lines that share a block
     (line_blocks()) and whose fingerprints are near give a spanning forest per block; its
     pairs are verified by edit distance.
-    3. What is not connected by then is compared pair by pair, but only between components.
+    3. What is not connected by then is compared pair by pair, but only between components,
+    in the task that holds the block with its texts (_across()); only links leave it.
     So no pair within a group of copies is listed, and no pair that shares a block is left
-    out. Blocks of one line only are counted, not compared.
+    out. Keys go packed to the task of their range, which leaves out blocks of one line.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, line int, line_hash long, fp long, keys array<long>, normal string"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, line int, line_hash long, normal string"
     lines = scratch.table(rows.mapInArrow(_split, schema))
     distinct = scratch.table(lines.groupBy("line_hash").agg(F.min(_order()).alias("first"), F.count("*").alias("n")))
-    every = lines.select(F.explode("keys").alias("key"), F.col("line_hash").alias("id"), "fp")
-    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    shared = scratch.table(shared.select("key"))
-    small = shared.count() <= BROADCAST_ROWS
-    keyed = every.join(F.broadcast(shared) if small else shared, "key", "left_semi").distinct()
-    keyed = scratch.table(keyed)
-    pairs = scratch.table(dealt(scratch, keyed, "id").mapInPandas(_linked, "a long, b long").distinct())
-    good = _verified(scratch, pairs, lines, distinct, similarity)
+    whole = lines.select("line_hash", "normal")
+    bits = max(6, int(np.ceil(np.log2(max(1, lines.count() * LINE_KEYS / RANGE_KEYS)))))
+    parts = whole.mapInArrow(_key_parts(bits), "range long, keys binary, ids binary")
+    keyed = scratch.table(parts.groupBy("range").applyInPandas(_shared, "key long, id long"))
+    needed = keyed.select(F.col("id").alias("line_hash")).distinct()
+    texts = whole.join(needed, "line_hash", "left_semi").dropDuplicates(["line_hash"])
+    texts = scratch.table(texts.mapInArrow(_printed, "id long, fp long, size int, normal string"))
+    keyed = scratch.table(keyed.join(texts.select("id", "fp", "size"), "id"))
+    pairs = scratch.table(dealt(scratch, keyed, "id").mapInPandas(_linked(similarity), "a long, b long").distinct())
+    good = _verified(scratch, pairs, texts, similarity)
     labels = components(scratch, good)
     named = keyed.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
-    named = named.select("key", "fp", "id", F.coalesce("label", "id").alias("label"))
-    left = scratch.table(near_pairs(scratch, named, BITS).join(pairs, ["a", "b"], "left_anti"))
+    named = scratch.table(named.select("key", "id", F.coalesce("label", "id").alias("label")))
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_ = named.join(apart, "key", "left_semi").join(texts, "id")
+    more = scratch.table(dealt(scratch, open_, "id", TEXT_ROWS).mapInArrow(_across(similarity), "a long, b long"))
     scratch.drop(keyed)
-    more = _verified(scratch, left, lines, distinct, similarity)
     labels = scratch.table(components(scratch, good.union(more)))
     of = distinct.join(labels.select(F.col("node").alias("line_hash"), "label"), "line_hash", "left")
     # Alone: one occurrence of one line.

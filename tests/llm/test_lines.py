@@ -150,3 +150,27 @@ def test_lines_of_one_shape_are_no_hot_group(spark):
         found = {r["doc_id"]: r["text"] for r in lines.deduplicated(scratch, table(spark, shape)).collect()}
     # Chance neighbours only: a line goes if another is within a fifth of its characters.
     assert sum(len(found[i].split("\n")) == 100 for i, _ in shape) > 190
+
+
+def test_lines_of_one_common_word_are_not_listed_in_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    # Two words, one of them common: blocks of all lines, of which two are near.
+    known = [f"thecommonword {made(9)}" for _ in range(400)] + ["thecommonword abcdefghi", "thecommonword abcdefghj"]
+    written, table_of = [], Scratch.table
+
+    def counted(self, df, keep=False):
+        out = table_of(self, df, keep)
+        if out.columns == ["a", "b"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    with Scratch(spark) as scratch:
+        found = {r["doc_id"]: r["text"] for r in lines.deduplicated(scratch, table(spark, list(enumerate(known)))).collect()}
+    at = brute(list(enumerate(known)))
+    assert sum(t == "" for t in found.values()) == len(at) - len(set(at.values())) > 0
+    # At most a forest of each of the ten blocks of a line; all pairs would be a fifth of 402 * 401.
+    assert 0 < max(written) <= 10 * len(known)
