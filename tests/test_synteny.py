@@ -170,3 +170,10 @@ def test_unknown_chromosomes_are_an_error(spark):
     refs = spark.createDataFrame([("c", "r1", 1)], "comparison string, ref_chr string, rank int")
     with pytest.raises(Exception, match="support off the axes: r1 t9"):
         synteny.dense_matrix(support, refs, order, "gene_pairs").collect()
+
+
+def test_partner_depth_takes_the_partitions_that_rows_need(spark, rows):
+    pairs = gene_pairs(spark, [("r", f"g{i % 7}", f"t{i % 3}", f"h{i % 11}") for i in range(200)])
+    depth = ms.partner_depth(pairs, gene_list=True, partitions=23)
+    assert rows(depth) == rows(ms.partner_depth(pairs, gene_list=True))
+    assert depth.rdd.getNumPartitions() == 23
