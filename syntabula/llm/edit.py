@@ -46,8 +46,18 @@ def best_match(pattern: str, text: str, places: dict[str, int] | None = None) ->
     return best, end
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance of two whole strings; what both begin and end with is left out first."""
+def _smallest(plus: int, minus: int, rows: int) -> int:
+    """The smallest number of a column of so many rows, counted from the one above it."""
+    up, down = (np.unpackbits(np.frombuffer(v.to_bytes(-(-rows // 8), "little"), np.uint8), count=rows, bitorder="little") for v in (plus, minus))
+    return min(0, int(np.cumsum(up.astype(np.int32) - down).min()))
+
+
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance of two whole strings; what both begin and end with is left out first.
+
+    One above most may come out smaller, but above most: all ways pass each column, so once no
+    number of a column is at most so much the rest is not computed.
+    """
     if len(a) > len(b):
         a, b = b, a
     low, high = 0, len(a)
@@ -72,7 +82,7 @@ def distance(a: str, b: str) -> int:
     places = masks(a)
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    for c in b:
+    for j, c in enumerate(b, 1):
         eq = places.get(c, 0)
         vertical = eq | minus
         eq = (((eq & plus) + plus) ^ plus) | eq
@@ -85,6 +95,8 @@ def distance(a: str, b: str) -> int:
         up, down = ((up << 1) | 1) & full, (down << 1) & full
         plus = down | (~(vertical | up) & full)
         minus = up & vertical
+        if most is not None and j % COLUMNS == 0 and (least := j + _smallest(plus, minus, m)) > most:
+            return least
     return score
 
 
@@ -92,6 +104,8 @@ def distance(a: str, b: str) -> int:
 AHEAD = 16
 #: Strings of this length or more are held by their grams before they are compared.
 GRAM, GRAM_LENGTH = 3, 64
+#: Columns after which distance() looks whether it can end.
+COLUMNS = 256
 
 
 def aligned_cost(a: str, b: str, most: int) -> int:
@@ -129,108 +143,188 @@ def within(a: str, b: str, most: int) -> bool:
         grams = [Counter([t[i : i + GRAM] for i in range(len(t) - GRAM + 1)]) for t in (a, b)]
         if max((grams[0] - grams[1]).total(), (grams[1] - grams[0]).total()) > GRAM * most:
             return False
-    return distance(a, b) <= most
+    return distance(a, b, most) <= most
 
 
 #: Pairs that all_within() compares at a time, the longest strings it compares in arrays, and
 #: the fewest pairs of like length that are worth it.
-PAIRS, LONGEST, FEWEST = 256, 4096, 4
+PAIRS, LONGEST, FEWEST = 2048, 4096, 4
+#: (pair, character) entries of a word, columns between two looks at which pairs are out of reach,
+#: rows between the distances that are looked at.
+ENTRIES, LOOK, STEP = 1 << 18, 32, 16
+#: Characters of the texts of a batch, padded, and pairs that are worth a wider range of lengths.
+CELLS, SMALL = 1 << 23, 512
 _WORD = 64
-#: Stands behind strings of a batch that are shorter than its longest; no code point.
-_PAD = (1 << 21) - 1
 
 
-def _core(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two strings, as code points, without what both begin and end with; the shorter one first."""
-    if len(a) > len(b):
-        a, b = b, a
-    differ = np.flatnonzero(a != b[: len(a)])
-    first = int(differ[0]) if len(differ) else len(a)
-    a, b = a[first:], b[first:]
-    differ = np.flatnonzero(a != b[len(b) - len(a) :])
-    end = len(a) - 1 - int(differ[-1]) if len(differ) else len(a)
-    return a[: len(a) - end], b[: len(b) - end]
+class _Sides:
+    """Sides of pairs of texts, given by their numbers, as numbers of their characters: the shorter side, the longer one."""
+
+    def __init__(self, texts: list[str], left: np.ndarray, right: np.ndarray):
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        both = np.stack([np.where(size[left] <= size[right], left, right), np.where(size[left] <= size[right], right, left)], axis=1)
+        self.size, self.at = size[both], (np.cumsum(size) - size)[both]
+        seen = np.zeros(int(chars.max(initial=0)) + 1, bool)
+        seen[chars] = True
+        #: The number that no character has stands behind strings that are shorter than others.
+        self.pad = int(np.count_nonzero(seen))
+        small = np.min_scalar_type(self.pad)
+        self.codes = np.full(len(chars) + 1, self.pad, small)
+        self.codes[:-1] = (np.cumsum(seen) - 1).astype(small)[chars]
+
+    def strip(self) -> None:
+        """Leaves out what both sides of a pair begin and end with."""
+        for end in (False, True):
+            rest = np.arange(len(self.size))
+            while len(rest):
+                columns, short = np.arange(_WORD), self.size[rest, 0]
+                left, right = ((self.at + self.size - 1 if end else self.at)[rest, side, None] + (-columns if end else columns) for side in (0, 1))
+                last = len(self.codes) - 1
+                same = (self.codes[np.clip(left, 0, last)] == self.codes[np.clip(right, 0, last)]) & (columns < short[:, None])
+                common = np.where(same.all(axis=1), _WORD, same.argmin(axis=1))
+                self.size[rest] -= common[:, None]
+                if not end:
+                    self.at[rest] += common[:, None]
+                rest = rest[common == _WORD]
+
+    def take(self, rows: np.ndarray, side: int, first: int, stop: int) -> np.ndarray:
+        """The characters first:stop of one side of the pairs, a column each, padded."""
+        place = np.arange(first, stop)[:, None]
+        index = np.where(place < self.size[rows, side], self.at[rows, side] + place, len(self.codes) - 1)
+        return self.codes[index].astype(np.int64)
 
 
-def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
-    """Edit distances of pairs (pattern, text); one above most may come out larger.
+def _banded(sides: _Sides, rows: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of these pairs is at most so much.
 
     Both sides get the same padding, so that all texts are equally long, which leaves the
     distance. A column of a distance table is a row of 64-bit words of vertical differences;
     word w of a column needs word w - 1 of the same one, so the words of a slanted line are
-    computed at once, for all pairs. Only words within most of the diagonal change: above
+    computed at once, for all pairs. A path of cost most leaves the diagonals between both
+    corners by half of what it has left at most; only words within these change: above
     them the distance is taken to grow by one a column, below them by one a row. Both are
     upper bounds, and no path of cost most or less leaves the band.
+
+    Every path crosses the slanted line. So a pair goes as soon as all distances there are
+    above most; every STEP-th is looked at, and neighbours differ by one at most.
     """
-    size, n = len(pairs), max(len(b) for _, b in pairs)
-    pad = n - np.array([len(b) for _, b in pairs])
-    m = np.array([len(a) for a, _ in pairs]) + pad
-    words, k = -(-int(m.max()) // _WORD), int(most.max())
-    full = np.full(n, _PAD, np.int64)
-    own = np.arange(size) << 21
-    pattern = np.concatenate([np.r_[a.astype(np.int64), full[:r]] for (a, _), r in zip(pairs, pad)]) | np.repeat(own, m)
-    text = np.stack([np.r_[b.astype(np.int64), full[:r]] for (_, b), r in zip(pairs, pad)], axis=1) | own
-    # Place of each (pair, character) of a pattern among them; 0 is a character it lacks.
-    known, of = np.unique(pattern, return_inverse=True)
-    at = np.arange(len(pattern)) - np.repeat(np.cumsum(m) - m, m)
-    places = np.zeros((words, len(known) + 1), np.uint64)
-    np.add.at(places, (at // _WORD, of + 1), np.uint64(1) << (at % _WORD).astype(np.uint64))
-    found = np.searchsorted(known, text)
-    text = np.where(np.append(known, -1)[found] == text, found + 1, 0)
-    base, places = (np.arange(words) * (len(known) + 1))[:, None], places.ravel()
-    plus, minus = np.full((words, size), ~np.uint64(0)), np.zeros((words, size), np.uint64)
+    out, size = np.zeros(len(rows), bool), sides.size[rows]
+    n, extra = int(size[:, 1].max()), size[:, 1] - size[:, 0]
+    m = n - extra
+    words = -(-int(m.max()) // _WORD)
+    under, over = int(((most - extra) // 2).max()), int(((most + extra) // 2).max())
+    own = np.arange(len(rows)) * (sides.pad + 1)
+    places = np.zeros((words, len(rows) * (sides.pad + 1)), np.uint64)
+    left, text, known, begun = np.arange(len(rows)), np.empty((n, len(rows)), np.int64), 0, 0
+    plus, minus = np.full((words, len(rows)), ~np.uint64(0)), np.zeros((words, len(rows)), np.uint64)
     # What the word above leaves for each word: whether the distance there grew or fell.
-    grew, fell = np.ones((words + 1, size), np.uint64), np.zeros((words + 1, size), np.uint64)
+    grew, fell = np.ones((words + 1, len(rows)), np.uint64), np.zeros((words + 1, len(rows)), np.uint64)
     one, top = np.uint64(1), np.uint64(_WORD - 1)
     for t in range(n + words - 1):
-        low = max(0, t - n + 1, -(-(t - k - _WORD) // (_WORD + 1)))
-        high = min(words - 1, t, (t + k) // (_WORD + 1))
+        low = max(0, t - n + 1, -(-(t - over - _WORD) // (_WORD + 1)))
+        high = min(words - 1, t, (t + under) // (_WORD + 1))
         if low > high:
             continue
+        if t - low >= known:
+            stop = min(n, known + _WORD)
+            text[known:stop] = sides.take(rows, 1, known, stop) + own
+            known = stop
+        while begun <= high:
+            held = places[begun]
+            for i, codes in enumerate(sides.take(rows, 0, begun * _WORD, (begun + 1) * _WORD)):
+                held[own + codes] |= one << np.uint64(i)
+            begun += 1
         now = slice(low, high + 1)
         p, q, up, down = plus[now], minus[now], grew[now], fell[now]
-        eq = places.take(text[t - high : t - low + 1][::-1] + base[now])
+        eq = np.empty(p.shape, np.uint64)
+        for w in range(low, high + 1):
+            places[w].take(text[t - w], out=eq[w - low], mode="clip")
         vertical = eq | q
         eq |= down
-        eq |= ((eq & p) + p) ^ p
-        rise = q | ~(eq | p)
-        fall = p & eq
+        rise = eq & p
+        rise += p
+        rise ^= p
+        eq |= rise
+        np.bitwise_or(eq, p, out=rise)
+        np.invert(rise, out=rise)
+        rise |= q
+        fall = eq
+        fall &= p
         above, below = rise >> top, fall >> top
-        rise = rise << one | up
-        fall = fall << one | down
-        plus[now] = fall | ~(vertical | rise)
-        minus[now] = rise & vertical
+        rise <<= one
+        rise |= up
+        fall <<= one
+        fall |= down
+        np.bitwise_and(rise, vertical, out=q)
+        vertical |= rise
+        np.invert(vertical, out=vertical)
+        np.bitwise_or(fall, vertical, out=p)
         grew[low + 1 : high + 2], fell[low + 1 : high + 2] = above, below
         grew[low], fell[low] = 1, 0
-    inside = np.clip(m[None, :] - np.arange(words)[:, None] * _WORD, 0, _WORD)
+        if t % LOOK == LOOK - 1:
+            near = _least(plus[: high + 1], minus[: high + 1], grew, fell, low, t - low + 1) <= most[left]
+            if not near.any():
+                return out
+            if np.count_nonzero(near) < 0.75 * len(near):
+                left, rows, own = left[near], rows[near], own[near]
+                plus, minus, grew, fell = (x[:, near] for x in (plus, minus, grew, fell))
+                held, text = text[:known, near], np.empty((n, len(left)), np.int64)
+                text[:known] = held
+    inside = np.clip(m[left][None, :] - np.arange(words)[:, None] * _WORD, 0, _WORD)
     mask = np.where(inside > 0, ~np.uint64(0) >> (_WORD - np.maximum(inside, 1)).astype(np.uint64), np.uint64(0))
-    return n + np.bitwise_count(plus & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(minus & mask).sum(axis=0, dtype=np.int64)
+    out[left] = n + _steps(plus & mask, minus & mask).sum(axis=0) <= most[left]
+    return out
+
+
+def _steps(plus: np.ndarray, minus: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(plus).astype(np.int64) - np.bitwise_count(minus)
+
+
+def _least(plus: np.ndarray, minus: np.ndarray, grew: np.ndarray, fell: np.ndarray, low: int, columns: int) -> np.ndarray:
+    """A lower bound of the distances on the slanted line of the words from low on, the first of which is after so many columns."""
+    total = _steps(plus, minus)
+    # A word is one column behind the one above it.
+    total[low + 1 :] -= (grew[low + 1 : len(total)] - fell[low + 1 : len(total)]).view(np.int64)
+    ends = columns + np.cumsum(total, axis=0)[low:]
+    least = ends.min(axis=0)
+    for k in range(STEP, _WORD + 1, STEP):
+        # What lies below the row: a shift by all bits is none.
+        below = _steps(plus[low:] >> np.uint64(_WORD - k), minus[low:] >> np.uint64(_WORD - k))
+        least = np.minimum(least, (ends - below).min(axis=0))
+    return least - STEP // 2 - 1
 
 
 def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
-    """within() of each pair; strings of up to LONGEST characters are compared in arrays, many of like length at a time."""
-    out = np.zeros(len(pairs), bool)
-    cores, which = [], []
-    for i, ((a, b), limit) in enumerate(zip(pairs, most)):
-        if max(len(a), len(b)) > LONGEST:
-            out[i] = within(a, b, limit)
-        elif abs(len(a) - len(b)) <= limit:
-            core = _core(*(np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b)))
-            if len(core[1]) <= limit:
-                out[i] = True
-            else:
-                cores.append(core)
-                which.append(i)
-    sizes = np.array([len(b) for _, b in cores])
-    order = np.argsort(-sizes, kind="stable")
-    limits, which, at = np.array(most, np.int64), np.array(which, np.int64), 0
+    """within() of each pair."""
+    places = np.arange(2 * len(pairs))
+    return near_texts([s for pair in pairs for s in pair], places[::2], places[1::2], np.array(most, np.int64))
+
+
+def near_texts(texts: list[str], left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """within() of pairs of texts, by their numbers; those of up to LONGEST characters are compared in arrays, many of like length at a time."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    longer = np.maximum(size[left], size[right])
+    out = np.zeros(len(left), bool)
+    for i in np.flatnonzero(longer > LONGEST):
+        out[i] = within(texts[left[i]], texts[right[i]], int(most[i]))
+    which = np.flatnonzero((longer <= LONGEST) & (np.abs(size[left] - size[right]) <= most))
+    if not len(which):
+        return out
+    sides, limits = _Sides(texts, left[which], right[which]), most[which]
+    sides.strip()
+    out[which] = sides.size[:, 1] <= limits
+    rest = np.flatnonzero(sides.size[:, 1] > limits)
+    order, at = rest[np.argsort(-sides.size[rest, 1], kind="stable")], 0
+    sizes, fit = sides.size[order, 1], max(FEWEST, min(PAIRS, ENTRIES // (sides.pad + 1)))
     while at < len(order):
-        stop = at + min(PAIRS, int(np.count_nonzero(4 * sizes[order[at : at + PAIRS]] >= 3 * sizes[order[at]])))
-        some = order[at:stop]
-        index = which[some]
+        # Of like length; few pairs, whose columns cost the same, also of less like length.
+        held = sizes[at : at + max(FEWEST, min(fit, CELLS // int(sizes[at])))]
+        alike = max(int(np.count_nonzero(4 * held >= 3 * held[0])), int(np.count_nonzero(2 * held[:SMALL] >= held[0])))
+        some = order[at : at + alike]
         if len(some) < FEWEST:
-            out[index] = [within(*pairs[i], most[i]) for i in index]
+            out[which[some]] = [within(texts[left[i]], texts[right[i]], int(most[i])) for i in which[some]]
         else:
-            out[index] = _banded([cores[c] for c in some], limits[index]) <= limits[index]
-        at = stop
+            out[which[some]] = _banded(sides, some, limits[some])
+        at += len(some)
     return out

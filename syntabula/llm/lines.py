@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,10 +10,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BATCH_ROWS, CHUNK_BYTES, Scratch, mixed
-from .edit import PAIRS, all_within
+from .edit import all_within, near_texts
 from .graph import components
 from .hamming import BROADCAST_ROWS, dealt, majority
 from .shards import pack, pack_any, unpack, unpack_any
@@ -27,17 +28,22 @@ BITS = 20
 #: Longer ones have parts of word pairs: LEAST_PARTS, or the power of PART_STEP that leaves
 #: at least PART_PAIRS pairs to a part on average, and a key for each part.
 SHORT_WORDS, SHORT_PARTS, LEAST_PARTS, PART_STEP, PART_PAIRS = 16, 5, 8, 2, 4
-#: Bits of a key that are compared, lines whose keys are packed at a time, keys of a line and of a range, about.
-KEY_BITS, PART_LINES, LINE_KEYS, RANGE_KEYS = 48, 20_000, 16, 500_000
+#: Bits of a key that are compared, lines that are packed at a time, keys of a line and of a range, lines of a range, about.
+KEY_BITS, PART_LINES, LINE_KEYS, RANGE_KEYS, RANGE_LINES = 48, 20_000, 16, 500_000, 200_000
 #: Rows with texts of a partition, pairs of a block that are judged at a time, bits for the trigrams of a line.
 TEXT_ROWS, PAIR_ROWS, GRAM_BITS = 50_000, 1_000_000, 1024
+#: Pairs, and characters of their lines together, that go to the edit distance at a time.
+PAIRS, PAIR_CHARS = 16_384, 16_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 def normal_lines(text: str) -> list[bytes]:
     """Each line in lower case, runs of ASCII white space as one space; digits stay."""
-    return [b" ".join(line.split()) for line in text.lower().encode().split(b"\n")]
+    data = text.lower().encode()
+    if any(space in data for space in (b"  ", b"\t", b"\r", b"\v", b"\f")):
+        return [b" ".join(line.split()) for line in data.split(b"\n")]
+    return [line.strip(b" ") for line in data.split(b"\n")]
 
 
 def _words(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,22 +144,15 @@ def _listed(batch: pa.RecordBatch, at: list[int], number: list[int], lines: list
     )
 
 
-def _key_parts(bits: int):
-    """Keys of (line_hash, normal), of PART_LINES lines at a time: in order, cut into ranges, with the lines that have them."""
+def _ranges(values: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
+    """The ranges, by the first bits, that hold any of the ordered values, and where."""
+    edges = np.r_[0, np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(values)]
+    full = np.flatnonzero(np.diff(edges))
+    return full, [slice(edges[i], edges[i + 1]) for i in full]
 
-    def parts(ids: list[int], lines: list[bytes]) -> pa.RecordBatch:
-        ids, first = np.unique(np.array(ids, np.int64), return_index=True)
-        line, keys = line_blocks(*_words([lines[i] for i in first]))
-        keys &= ~np.uint64((1 << (64 - KEY_BITS)) - 1)
-        order = np.argsort(keys)
-        keys, held = keys[order], ids[line[order]]
-        edges = np.r_[0, np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)]
-        full = np.flatnonzero(np.diff(edges))
-        slices = [slice(edges[i], edges[i + 1]) for i in full]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int64()), pa.array([pack(keys[s]) for s in slices], pa.binary()), pa.array([pack_any(held[s]) for s in slices], pa.binary())],
-            names=["range", "keys", "ids"],
-        )
+
+def _parted(parts: Callable[[list[int], list[bytes]], pa.RecordBatch]):
+    """parts() of (line_hash, normal), of PART_LINES lines at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lines, size = [], [], 0
@@ -170,6 +169,59 @@ def _key_parts(bits: int):
     return run
 
 
+def _key_parts(bits: int):
+    """Keys of lines: in order, cut into ranges, with the lines that have them."""
+
+    def parts(ids: list[int], lines: list[bytes]) -> pa.RecordBatch:
+        ids, first = np.unique(np.array(ids, np.int64), return_index=True)
+        line, keys = line_blocks(*_words([lines[i] for i in first]))
+        keys &= ~np.uint64((1 << (64 - KEY_BITS)) - 1)
+        order = np.argsort(keys)
+        keys, held = keys[order], ids[line[order]]
+        full, slices = _ranges(keys, bits)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int64()), pa.array([pack(keys[s]) for s in slices], pa.binary()), pa.array([pack_any(held[s]) for s in slices], pa.binary())],
+            names=["range", "keys", "ids"],
+        )
+
+    return _parted(parts)
+
+
+def _text_parts(bits: int):
+    """Lines in order of their hashes, cut into ranges."""
+
+    def parts(ids: list[int], lines: list[bytes]) -> pa.RecordBatch:
+        ids, first = np.unique(np.array(ids, np.int64).view(np.uint64), return_index=True)
+        full, slices = _ranges(ids, bits)
+        # A normalised line holds no line feed.
+        texts = [zstandard.compress(b"\n".join([lines[i] for i in first[s]]), 3) for s in slices]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int64()), pa.array([pack(ids[s]) for s in slices], pa.binary()), pa.array(texts, pa.binary())],
+            names=["range", "ids", "texts"],
+        )
+
+    return _parted(parts)
+
+
+def _asked(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """(id, fp, size, normal) of the lines of a range that are asked for, once each."""
+    wanted = np.unique(asked["id"].to_numpy(np.int64).view(np.uint64))
+    ids, lines = [np.empty(0, np.uint64)], []
+    for packed, texts in zip(part["ids"], part["texts"]):
+        own = unpack(packed)
+        held = np.flatnonzero(np.isin(own, wanted, assume_unique=True))
+        if len(held):
+            some = zstandard.decompress(texts).split(b"\n")
+            ids.append(own[held])
+            lines.extend(some[i] for i in held)
+    ids, first = np.unique(np.concatenate(ids), return_index=True)
+    lines = [lines[i] for i in first]
+    texts = [line.decode() for line in lines]
+    prints = line_fingerprints(*_words(lines))
+    size = np.fromiter(map(len, texts), np.int32, len(texts))
+    return pd.DataFrame({"id": ids.view(np.int64), "fp": prints.view(np.int64), "size": size, "normal": pd.Series(texts, dtype=object)})
+
+
 def _shared(part: pd.DataFrame) -> pd.DataFrame:
     """(key, id) of a range of keys, once each, of the keys that two lines or more have."""
     keys = np.concatenate([unpack(k) for k in part["keys"]]).view(np.int64)
@@ -184,16 +236,6 @@ def _shared(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys[some], "id": ids[some]})
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, fp, size, normal) of (line_hash, normal)."""
-    for batch in batches:
-        prints = line_fingerprints(*_words([v.encode() for v in batch.column(1).to_pylist()]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints.view(np.int64)), pc.utf8_length(batch.column(1)).cast(pa.int32()), batch.column(1)],
-            names=["id", "fp", "size", "normal"],
-        )
-
-
 def _most(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Edits that lines of so many characters may differ in."""
     return ((1 - similarity) * np.maximum(a, b) + 1e-9).astype(np.int64)
@@ -248,7 +290,7 @@ def _verify(similarity: float):
             held.append(batch)
             size, rows = size + batch.nbytes, rows + batch.num_rows
             # Few long pairs or many short ones at a time: the more, the more are of like length.
-            if size > 8 * CHUNK_BYTES or rows >= PAIRS * 16:
+            if size > PAIR_CHARS or rows >= PAIRS:
                 yield from near(held).to_batches()
                 held, size, rows = [], 0, 0
         if held:
@@ -305,8 +347,10 @@ def _across(similarity: float):
         rows = rows.take(pa.array(np.argsort(rows["key"].to_numpy(), kind="stable")))
         key, ids, of = (rows[c].to_numpy() for c in ("key", "id", "label"))
         fps, chars = rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy().astype(np.int64)
-        texts = rows["normal"].combine_chunks()
-        grams = _gram_bits(texts)
+        # A line stands in several blocks: its trigrams are looked for once, when a pair asks for them.
+        _, first, line = np.unique(ids, return_index=True, return_inverse=True)
+        texts = rows["normal"].combine_chunks().take(pa.array(first))
+        grams, known = np.zeros((len(first), GRAM_BITS // 64), np.uint64), np.zeros(len(first), bool)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         labels, of = np.unique(of, return_inverse=True)
         joined: dict[int, int] = {}
@@ -317,13 +361,17 @@ def _across(similarity: float):
             return x
 
         def links(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(i), PAIRS * 16):
-                some = [(x, y) for x, y in zip(i[k : k + PAIRS * 16].tolist(), j[k : k + PAIRS * 16].tolist()) if root(of[x]) != root(of[y])]
+            chars_before, k = np.cumsum(chars[i] + chars[j]), 0
+            while k < len(i):
+                begun = chars_before[k - 1] if k else 0
+                stop = min(k + PAIRS, max(k + 1, int(np.searchsorted(chars_before, begun + PAIR_CHARS))))
+                some = [(x, y) for x, y in zip(i[k:stop].tolist(), j[k:stop].tolist()) if root(of[x]) != root(of[y])]
+                k = stop
                 if not some:
                     continue
                 x, y = (np.array(side) for side in zip(*some))
-                pairs = list(zip(*(texts.take(pa.array(side)).to_pylist() for side in (x, y))))
-                near = all_within(pairs, _most(chars[x], chars[y], similarity).tolist())
+                used, places = np.unique(line[np.r_[x, y]], return_inverse=True)
+                near = near_texts(texts.take(pa.array(used)).to_pylist(), places[: len(x)], places[len(x) :], _most(chars[x], chars[y], similarity))
                 for p, q in zip(x[near].tolist(), y[near].tolist()):
                     p, q = root(of[p]), root(of[q])
                     if p != q:
@@ -338,9 +386,12 @@ def _across(similarity: float):
             most = _most(chars[i], chars[j], similarity)
             some = np.abs(chars[i] - chars[j]) <= most
             i, j, most = i[some], j[some], most[some]
+            asked = np.unique(line[np.r_[i, j]])
+            asked = asked[~known[asked]]
+            grams[asked], known[asked] = _gram_bits(texts.take(pa.array(asked))), True
             for k in range(0, len(i), PAIR_ROWS // 16):
                 x, y = i[k : k + PAIR_ROWS // 16], j[k : k + PAIR_ROWS // 16]
-                a, b, limit = grams[x], grams[y], 3 * most[k : k + PAIR_ROWS // 16]
+                a, b, limit = grams[line[x]], grams[line[y]], 3 * most[k : k + PAIR_ROWS // 16]
                 some = (np.bitwise_count(a & ~b).sum(axis=1) <= limit) & (np.bitwise_count(b & ~a).sum(axis=1) <= limit)
                 x, y = x[some], y[some]
                 swap = ids[x] > ids[y]
@@ -379,7 +430,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, similarity:
 def line_groups(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): every line with words, and for each distinct line that is not alone its kept occurrence.
 
-    lines: doc_id, text_hash, line, line_hash, normal. groups: line_hash, keep.
+    lines: doc_id, text_hash, line, line_hash. groups: line_hash, keep.
 
     1. Equal normalised lines are one (an aggregate). 2. Lines that share a block
     (line_blocks()) and whose fingerprints are near give a spanning forest per block; its
@@ -387,20 +438,25 @@ def line_groups(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, s
     3. What is not connected by then is compared pair by pair, but only between components,
     in the task that holds the block with its texts (_across()); only links leave it.
     So no pair within a group of copies is listed, and no pair that shares a block is left
-    out. Keys go packed to the task of their range, which leaves out blocks of one line.
+    out. Keys go packed to the task of their range, which leaves out blocks of one line; lines
+    go packed to that of the range of their hashes, which keeps those that share a block.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, line int, line_hash long, normal string"
-    lines = scratch.table(rows.mapInArrow(_split, schema))
+    split = scratch.table(rows.mapInArrow(_split, schema))
+    lines = scratch.table(split.drop("normal"))
     distinct = scratch.table(lines.groupBy("line_hash").agg(F.min(_order()).alias("first"), F.count("*").alias("n")))
-    whole = lines.select("line_hash", "normal")
-    bits = max(6, int(np.ceil(np.log2(max(1, lines.count() * LINE_KEYS / RANGE_KEYS)))))
+    whole = split.select("line_hash", "normal")
+    n_lines = lines.count()
+    bits, text_bits = (max(6, int(np.ceil(np.log2(max(1, n / size))))) for n, size in ((n_lines * LINE_KEYS, RANGE_KEYS), (n_lines, RANGE_LINES)))
     parts = whole.mapInArrow(_key_parts(bits), "range long, keys binary, ids binary")
     keyed = scratch.table(parts.groupBy("range").applyInPandas(_shared, "key long, id long"))
-    needed = keyed.select(F.col("id").alias("line_hash")).distinct()
-    texts = whole.join(needed, "line_hash", "left_semi").dropDuplicates(["line_hash"])
-    texts = scratch.table(texts.mapInArrow(_printed, "id long, fp long, size int, normal string"))
+    needed = keyed.select("id").distinct().withColumn("range", F.shiftrightunsigned("id", 64 - text_bits))
+    packed = whole.mapInArrow(_text_parts(text_bits), "range long, ids binary, texts binary")
+    texts = packed.groupBy("range").cogroup(needed.groupBy("range"))
+    texts = scratch.table(texts.applyInPandas(_asked, "id long, fp long, size int, normal string"))
+    scratch.drop(split)
     keyed = scratch.table(keyed.join(texts.select("id", "fp", "size"), "id"))
     pairs = scratch.table(dealt(scratch, keyed, "id").mapInPandas(_linked(similarity), "a long, b long").distinct())
     good = _verified(scratch, pairs, texts, similarity)
@@ -445,11 +501,11 @@ def deduplicated(
     text = F.col(text_col).cast("string")
     own = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
     joined = docs.withColumn("_own", own).join(F.broadcast(listed) if small else listed, F.col("_own").eqNullSafe(F.col("_doc")), "left")
-    parts = F.split(text, "\n", -1)
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    new = F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    n_lines = F.when(text.isNull(), 0).otherwise(feeds + 1).cast("long")
-    changed = joined.withColumns({"n_lines": n_lines, "n_removed": F.size(gone).cast("long"), text_col: new})
-    return changed.drop("_own", "_doc", "_gone")
+    # A column of its own: inside the loop over kept lines the text would be split once for each of them.
+    joined = joined.withColumn("_parts", F.split(text, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+    new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts"), i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("_parts")).cast("long")
+    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    changed = joined.withColumns({"n_lines": n_lines, "n_removed": n_removed, text_col: new})
+    return changed.drop("_own", "_doc", "_gone", "_parts")

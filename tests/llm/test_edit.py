@@ -54,3 +54,25 @@ def test_many_pairs_at_once_equal_one_by_one(monkeypatch, fewest, longest):
     assert edit.all_within(pairs, most).tolist() == wanted
     assert 100 < sum(wanted) < 800
     assert edit.all_within([], []).tolist() == []
+
+
+def test_pairs_that_are_far_apart_are_not_compared_to_their_end(monkeypatch):
+    rng, read, take = random.Random(8), [], edit._Sides.take
+    monkeypatch.setattr(edit._Sides, "take", lambda self, rows, side, first, stop: read.append(stop) or take(self, rows, side, first, stop))
+    pairs = [tuple("".join(rng.choices("abcdefgh ", k=1500)) for _ in range(2)) for _ in range(40)]
+    assert not edit.all_within(pairs, [300] * 40).any()
+    assert 0 < max(read) <= 1000
+    # One of them at its limit is still found, also where few are left.
+    a = pairs[0][0]
+    near = (a, "".join(c if i % 5 or i >= 1500 else "x" for i, c in enumerate(a)))
+    assert edit.all_within([*pairs, near, near], [300] * 41 + [299]).tolist() == [False] * 40 + [True, False]
+
+
+def test_distance_ends_above_its_limit(monkeypatch):
+    monkeypatch.setattr(edit, "COLUMNS", 4)
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(2))
+        most, whole = rng.randint(0, 40), table(a, b, False)[-1]
+        found = distance(a, b, most)
+        assert found == whole if whole <= most else most < found <= whole

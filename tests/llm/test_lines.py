@@ -174,3 +174,31 @@ def test_lines_of_one_common_word_are_not_listed_in_pairs(spark, monkeypatch):
     assert sum(t == "" for t in found.values()) == len(at) - len(set(at.values())) > 0
     # At most a forest of each of the ten blocks of a line; all pairs would be a fifth of 402 * 401.
     assert 0 < max(written) <= 10 * len(known)
+
+
+def test_texts_go_packed_to_the_range_of_their_hash():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    import xxhash
+
+    texts = [f"number {i} é" for i in range(500)] + ["number 7 é"]
+    hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 90]), pa.array(texts[k : k + 90])], names=["line_hash", "normal"]) for k in range(0, 501, 90)]
+    parts = pa.Table.from_batches([b for one in batches for b in lines._text_parts(6)(iter([one]))]).to_pandas()
+    asked, found = pd.DataFrame({"id": hashes[::3], "range": hashes[::3].view(np.uint64) >> np.uint64(58)}), []
+    for name, part in parts.groupby("range"):
+        found.append(lines._asked(part, asked[asked["range"] == name]))
+    found = pd.concat(found)
+    assert sorted(found["id"]) == sorted(set(hashes[::3].tolist()))
+    assert {i: (t, n) for i, t, n in zip(found["id"], found["normal"], found["size"])} == {h: (t, len(t)) for h, t in zip(hashes[::3].tolist(), texts[::3])}
+    assert found["fp"].tolist() == [np.int64(np.uint64(f).view(np.int64)) for f in lines.line_fingerprints(*lines._words([t.encode() for t in found["normal"]]))]
+
+
+def test_a_text_is_split_once_for_all_kept_lines(spark):
+    rows = [(0, "\n".join(f"{i} own{i} words{i * 7}" for i in range(300)) + "\nthe same line here"), (1, "the same line here\nonly this is left")]
+    with Scratch(spark) as scratch:
+        found = lines.deduplicated(scratch, table(spark, rows))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in found.collect()}[1] == (2, 1)
