@@ -177,3 +177,30 @@ def test_partner_depth_takes_the_partitions_that_rows_need(spark, rows):
     depth = ms.partner_depth(pairs, gene_list=True, partitions=23)
     assert rows(depth) == rows(ms.partner_depth(pairs, gene_list=True))
     assert depth.rdd.getNumPartitions() == 23
+
+
+def test_partner_depth_keeps_every_pair(spark, tmp_path):
+    """Genes of any balance or without a chromosome and pairs without a comparison count; partner genes are listed."""
+    from syntabula.plans import load, synteny as plans
+    from tools.check_queries import compare
+
+    customers = spark.createDataFrame([(1, 7, -950.0), (2, None, 10.0), (3, 7, None)], "c_custkey long, c_nationkey int, c_acctbal double")
+    suppliers = spark.createDataFrame([(8, 4, -999.0), (9, None, 5.0), (10, 5, 0.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    orders = spark.createDataFrame([(i, i) for i in (1, 2, 3, 4)], "o_orderkey long, o_custkey long")
+    lines = [(1, 8, "A"), (1, 8, "A"), (1, 10, "A"), (1, 9, None), (2, 9, "N"), (2, 10, "N"), (3, 8, None), (3, 10, None), (4, 8, "A"), (3, 11, "A")]
+    lineitem = spark.createDataFrame([(*r, s) for r in lines for s in "OF"], "l_orderkey long, l_suppkey long, l_returnflag string, l_linestatus string")
+    for name, df in {"customer": customers, "supplier": suppliers, "orders": orders, "lineitem": lineitem}.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = {(r.comparison, r.ref_gene): r for r in plans.partner_depth(spark, str(tmp_path)).collect()}
+    assert {k: (r.ref_chr, r.partner_gene_count, r.partner_chromosome_count, r.target_chromosomes, r.target_genes) for k, r in found.items()} == {
+        ("A", 1): (7, 2, 2, "4,5", "10,8"),
+        (None, 1): (7, 1, 0, None, "9"),
+        ("N", 2): (None, 2, 1, "5", "10,9"),
+        (None, 3): (7, 2, 2, "4,5", "10,8"),
+    }
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for path in tmp_path.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    got = plans.partner_depth(spark, str(tmp_path)).toPandas()
+    assert compare(got, con.sql(load()[1]["partner_depth"]).df()) == ""
